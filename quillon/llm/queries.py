@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sentencepiece_codec
+from . import exact_dedup, packing, pii, quality, sentencepiece_codec, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -23,16 +23,29 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), size=2048, end_id=1)
 
 
+def op3_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_changed")
+
+
+def op8_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sum_of_squares_packing, op4_content_sort, op10_sentencepiece)
+    f.__name__: f
+    for f in (op2_sum_of_squares_packing, op3_nonnegative_pu, op4_content_sort, op5_feistel_pseudonyms, op8_attention_mil, op10_sentencepiece)
 }
 
 ORACLE: dict[str, str] = {"op4_content_sort": exact_dedup.ORACLE}
