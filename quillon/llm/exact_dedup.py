@@ -42,12 +42,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranged = keyed.repartitionByRange("head", "text_sha256", "salt")
     part = Window.partitionBy("head", "text_sha256", "norm", "salt")
     first = F.row_number().over(part.orderBy(F.col("doc_id").asc_nulls_last()))
-    placed = ranged.select("doc_id", "text_sha256", first.alias("nth"), F.min("doc_id").over(part).alias("low"), F.count(F.lit(1)).over(part).alias("n"))
+    placed = ranged.select("doc_id", "text_sha256", "salt", first.alias("nth"), F.min("doc_id").over(part).alias("low"), F.count(F.lit(1)).over(part).alias("n"))
     placed = table(placed, "content-sort")
-    groups = placed.where("nth = 1").groupBy("text_sha256").agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"))
-    return placed.join(groups, "text_sha256").select(
-        "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    # A group has SALTS heads at most, so joining its totals to the heads, and the heads to the rows by salt, is even.
+    heads = placed.where("nth = 1").select("text_sha256", "salt", "low", "n")
+    total = heads.groupBy("text_sha256").agg(F.min("low").alias("keep_id"), F.sum("n").cast("long").alias("group_size"))
+    found = heads.select("text_sha256", "salt").join(total, "text_sha256")
+    return placed.select("doc_id", "text_sha256", "salt").join(found, ["text_sha256", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 ORACLE = r"""
