@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, packing, pii, quality, sentencepiece_codec, toxicity
+from . import exact_dedup, html_text, near_dedup, packing, pii, quality, sentencepiece_codec, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -43,13 +43,17 @@ def op8_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_sum_of_squares_packing, op3_nonnegative_pu, op4_content_sort, op5_feistel_pseudonyms, op7_block_labeller, op8_attention_mil, op10_sentencepiece)
+    for f in (op2_sum_of_squares_packing, op3_nonnegative_pu, op4_content_sort, op5_feistel_pseudonyms, op7_block_labeller, op8_attention_mil, op9_circulant_minhash, op10_sentencepiece)
 }
 
-ORACLE: dict[str, str] = {"op4_content_sort": exact_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op4_content_sort": exact_dedup.ORACLE, "op9_circulant_minhash": near_dedup.ORACLE}
