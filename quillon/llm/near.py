@@ -109,22 +109,26 @@ def alike(blocks: DataFrame, least: float, sure: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 
 
-def similar_components(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, slack: float = 0.13) -> DataFrame:
+def similar_components(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, slack: float = 0.13, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified) -> DataFrame:
     """id, label of the sets in a component of two sets or more; label is the smallest id.
 
-    ``signed``: id, bands array<long>, sig binary (a byte of each coordinate), one row for each different set.
-    ``sets_of`` gives id, elements array<long> for the ids of a table. Pairs are verified where their signatures agree
+    ``signed``: id, bands array<long>, sig binary (a byte of each coordinate); rows of one id are equal. ``sets_of``
+    gives what ``verify`` needs for the ids of a table, by default id, elements array<long>. Pairs are verified where their signatures agree
     in ``percent`` / 100 - ``slack`` of the bytes, several deviations below what the threshold makes likely.
     """
     member = signed.select("id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = table(member.join(shared, "bucket"), "members")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    first = table(member.join(shared, "bucket").distinct(), "members")
+    # Rows of one id counted as often as they came; now the ids of a bucket count once.
+    shared = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = table(first.join(shared, "bucket"), "members")
+    drop(first)
     sets = table(sets_of(member.select("id").distinct()), "sets")
 
     degree = member.groupBy("id").agg(F.sum("n").alias("degree"))
     best = member.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("best"))
     pairs = member.join(best.select("bucket", (-F.col("best.id")).alias("hub")), "bucket").where("id <> hub").selectExpr("least(id, hub) as a", "greatest(id, hub) as b").distinct()
-    links = table(verified(pairs, sets, percent), "links")
+    links = table(verify(pairs, sets, percent), "links")
     found = table(components(links), "components")
 
     member = table(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label")), "members")
@@ -133,5 +137,5 @@ def similar_components(signed: DataFrame, sets_of: Callable[[DataFrame], DataFra
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     block = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("block")
     blocks = left.select(block, "id", "label").join(signed.select("id", "sig"), "id").select("block", "id", "label", "sig")
-    more = table(verified(alike(blocks, percent / 100 - slack, percent / 100 + slack), sets, percent), "links")
+    more = table(verify(alike(blocks, percent / 100 - slack, percent / 100 + slack), sets, percent), "links")
     return components(links.union(more)).select(F.col("node").alias("id"), "label")

@@ -52,14 +52,23 @@ def word_shingles(text: str | None, words: WordHashes, k: int = 5) -> np.ndarray
     return np.unique(mixed(out))
 
 
-def char_shingles(line: str, k: int = 8) -> np.ndarray:
-    """Hashes of the stretches of k bytes of a line (of the whole, where it is shorter); repeats are kept."""
-    raw = np.frombuffer(line.encode().ljust(k, b"\0"), np.uint8).astype(np.uint64)
-    n = len(raw) - k + 1
+def char_shingles(lines: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of k bytes (7 at most) of each line as numbers, repeats kept, and the line that each is of.
+
+    A line of fewer bytes is one stretch, filled up with zeros; a number stands for one stretch only.
+    """
+    raw = np.frombuffer(b"".join([x.ljust(k, b"\0") for x in lines]) + bytes(k), np.uint8)
+    sizes = np.array([max(len(x), k) for x in lines], np.int64)
+    n = int(sizes.sum())
     out = np.zeros(n, np.uint64)
     for i in range(k):
         out = out << np.uint64(8) | raw[i : i + n]
-    return mixed(out)
+    owner = np.repeat(np.arange(len(lines)), sizes)
+    inside = np.ones(n, bool)
+    ends = np.cumsum(sizes)
+    for i in range(1, k):
+        inside[ends - i] = False
+    return out[inside], owner[inside]
 
 
 class CirculantMinHash:
@@ -79,14 +88,15 @@ class CirculantMinHash:
         self.rows = np.lib.stride_tricks.sliding_window_view(circle, coordinates)
 
     def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
-        """A row of coordinates for each set; the sets are not empty."""
-        out = np.full((len(sets), self.k), np.iinfo(np.uint32).max, np.uint32)
+        """A row of coordinates for each set; those of an empty set are all the largest number."""
+        elements = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        return self.of(elements, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+
+    def of(self, elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """A row of coordinates for each of n sets: owner tells an element's set and does not fall."""
+        out = np.full((n, self.k), np.iinfo(np.uint32).max, np.uint32)
         step = max(256, (1 << 20) // self.k)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        if not len(sets) or not sizes.sum():
-            return out
-        at = self.scatter[(np.concatenate(sets) & self.mask).astype(np.int64)]
-        owner = np.repeat(np.arange(len(sets)), sizes)
+        at = self.scatter[(elements & self.mask).astype(np.int64)]
         for i in range(0, len(at), step):
             own = owner[i : i + step]
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
