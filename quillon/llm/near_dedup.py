@@ -80,6 +80,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     return full.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` less its near-duplicates: of each component the document with the smallest id stays, once.
+
+    Rows with a null id stay. Of repeated rows of one id one stays.
+    """
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 ORACLE = r"""
 WITH RECURSIVE
 w AS (

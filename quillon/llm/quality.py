@@ -169,6 +169,20 @@ def score_documents(docs: DataFrame, model: AttentionModel, id_col: str = "doc_i
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, score double")
 
 
+def good_documents(docs: DataFrame, model: AttentionModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose whole text scores ``threshold`` or more, with all their columns."""
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                x, owner = passages(part.column(text).to_pylist())
+                yield part.filter(pa.array(model.scores(x, owner, part.num_rows) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted. Repeated rows get equal scores."""
     scored = score_documents(docs, train(docs, labels, folds, held_out))
