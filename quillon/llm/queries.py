@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, line_dedup, near_dedup, packing, pii, quality, sentencepiece_codec, toxicity
+from . import exact_dedup, fingerprints, html_text, line_dedup, near_dedup, packing, pii, quality, sentencepiece_codec, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -39,6 +39,10 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_changed")
 
 
+def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read(spark, sf_dir, "pages"))
 
@@ -57,7 +61,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fuzzy_lines, op2_sum_of_squares_packing, op3_nonnegative_pu, op4_content_sort, op5_feistel_pseudonyms, op7_block_labeller, op8_attention_mil, op9_circulant_minhash, op10_sentencepiece)
+    for f in (op1_fuzzy_lines, op2_sum_of_squares_packing, op3_nonnegative_pu, op4_content_sort, op5_feistel_pseudonyms, op6_weighted_sampling, op7_block_labeller, op8_attention_mil, op9_circulant_minhash, op10_sentencepiece)
 }
 
 ORACLE: dict[str, str] = {"op4_content_sort": exact_dedup.ORACLE, "op9_circulant_minhash": near_dedup.ORACLE}
