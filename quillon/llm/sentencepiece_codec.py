@@ -80,7 +80,7 @@ class CharacterMap:
 
 class Codec:
     #: Stretches up to this many characters are remembered, up to so many of them.
-    MEMO_CHARS, MEMO = 48, 400_000
+    MEMO_CHARS, MEMO = 48, 300_000
 
     def __init__(self, model: bytes) -> None:
         self.pieces: list[tuple[str, float, int]] = []
@@ -100,12 +100,21 @@ class Codec:
         self.unknown = next(i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        newline = any("\n" in p for p in self.ids)
-        # Where no piece has a space mark after another character, merges never cross into a new run of marks.
-        self.cut = re.compile(r"(?s).+" if inner else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if newline else f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
+        self.rank = {p: -self.pieces[i][1] for p, i in self.ids.items()}
+        self.cut = self._cuts()
         self.memo: dict[str, tuple[int, str, str, tuple[int, ...], tuple[int, ...]]] = {}
 
+    def _cuts(self) -> re.Pattern[str]:
+        """Matches the stretches of a normalised text that no merge can cross, one after the other, leaving nothing."""
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            return re.compile(r"(?s).+")
+        end = "" if any("\n" in p for p in self.ids) else "\n"
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        joined = {b for a, b in pairs if re.match(r"\w", a)}  # these follow a word character in some piece
+        marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not re.match(r"\w", c) and c not in joined)
+        word = rf"{SPACE}+\w+(?=[{SPACE}{end}{marks}]|\Z)|"
+        return re.compile(f"{word}{SPACE}+[^{SPACE}{end}]*" + f"|{end}+" * bool(end) + f"|[^{SPACE}{end}]+")
+
     # normalisation ------------------------------------------------------------------------------------------------
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
@@ -160,6 +169,18 @@ class Codec:
     def _merge(self, chunk: str) -> list[str]:
         """Merge neighbours, the best score first and the leftmost of equals."""
         parts: list[str] = list(chunk)
+        if len(parts) <= 64:
+            rank, none = self.rank, float("inf")
+            costs = [rank.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+            while costs and (low := min(costs)) < none:
+                i = costs.index(low)
+                parts[i] += parts.pop(i + 1)
+                del costs[i]
+                if i < len(costs):
+                    costs[i] = rank.get(parts[i] + parts[i + 1], none)
+                if i:
+                    costs[i - 1] = rank.get(parts[i - 1] + parts[i], none)
+            return parts
         n = len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         ids, pieces, heap = self.ids, self.pieces, []
