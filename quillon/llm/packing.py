@@ -8,6 +8,7 @@ partly filled are packed together by cutting their pieces, so a task leaves one
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -112,31 +113,65 @@ def pack(documents: Iterator[tuple[int, np.ndarray]], size: int, first: int = 0)
 
 
 class WordTokenizer:
-    """Ids of the tokenizers library. It is asked once for each word that ASCII white space delimits.
+    """Ids of the tokenizers library. It is asked once for each part of a word that its splitter would make.
 
-    Only for tokenizers that drop white space and never merge across it; ``check`` says whether a file is one.
+    Only for a tokenizer that folds case, drops white space, splits as PART does and marks the end of a part; ``check``
+    says whether a file is one. Plain Latin words are split here into parts, and new parts go to the library together;
+    the ids that end a part tell them apart. Other words go to the library whole.
     """
 
-    MEMO = 300_000
+    #: How the tokenizer splits; on plain words, where this class and the library agree.
+    PART = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    WORDS, PARTS = 400_000, 600_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        words = [(t or "").encode().split() for t in texts]
-        memo = self.memo
-        if len(memo) > self.MEMO:
-            memo.clear()
-        fresh = list({w for ws in words for w in ws if w not in memo})
+    def _learn_parts(self, fresh: list[str]) -> None:
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
-            for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer does not split words as PART does")
+            raw, last = ids.tobytes(), 0
+            for p, end in zip(part, cuts.tolist(), strict=True):
+                self.parts[p] = raw[4 * last : 4 * end]
+                last = end
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        split, other = {}, []
+        for w in fresh:
+            text = w.decode()
+            if self.PLAIN.fullmatch(text) and "<|" not in text:
+                split[w] = self.PART.findall(text.lower())
+            else:
+                other.append(w)
+        if len(self.parts) > self.PARTS:
+            self.parts.clear()
+        parts = self.parts
+        self._learn_parts(list({p for ps in split.values() for p in ps if p not in parts}))
+        for w, ps in split.items():
+            self.words[w] = b"".join(map(parts.__getitem__, ps)) if len(ps) > 1 else parts[ps[0]]
+        for w, e in zip(other, self.library.encode_batch([w.decode() for w in other], add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+        split = [(t or "").encode().split() for t in texts]
+        words = self.words
+        if len(words) > self.WORDS:
+            words.clear()
+        self._learn(list({w for ws in split for w in ws if w not in words}))
         last = np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join([memo[w] for w in ws]) + last, "<u4") for ws in words]
+        return [np.frombuffer(b"".join(map(words.__getitem__, ws)) + last, "<u4") for ws in split]
 
     def check(self, sample: list[str]) -> bool:
         got = self.library.encode_batch(sample, add_special_tokens=False)
