@@ -80,7 +80,7 @@ class CharacterMap:
 
 class Codec:
     #: Stretches up to this many characters are remembered, up to so many of them.
-    MEMO_CHARS, MEMO = 48, 300_000
+    MEMO_CHARS, MEMO = 48, 600_000
 
     def __init__(self, model: bytes) -> None:
         self.pieces: list[tuple[str, float, int]] = []
@@ -102,7 +102,9 @@ class Codec:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.rank = {p: -self.pieces[i][1] for p, i in self.ids.items()}
         self.cut = self._cuts()
-        self.memo: dict[str, tuple[int, str, str, tuple[int, ...], tuple[int, ...]]] = {}
+        self.shown = [str(i) for i in range(len(self.pieces))]
+        self.plain = [p.replace(SPACE, " ") for p, _, _ in self.pieces]
+        self.memo: dict[str, tuple[int, str, str]] = {}
 
     def _cuts(self) -> re.Pattern[str]:
         """Matches the stretches of a normalised text that no merge can cross, one after the other, leaving nothing."""
@@ -203,37 +205,45 @@ class Codec:
             offer(a, after[a])
         return [p for p in parts if p]
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str, tuple[int, ...], tuple[int, ...]]:
-        """Of a stretch: ids, those as text, its decoded text, and the normalised bytes of each id."""
+    def _ids(self, chunk: str) -> tuple[list[int], list[int]]:
+        """Ids of a stretch, and the normalised bytes of each."""
+        parts = self._merge(chunk)
+        ids = list(map(self.ids.get, parts))
+        if None not in ids:
+            return ids, [len(p.encode()) for p in parts]
         ids, sizes = [], []
-        for piece in self._merge(chunk):
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
-                sizes.append(len(piece.encode()))
-            elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode()]
-                sizes += [1] * len(piece.encode())
+        for piece in parts:
+            i, raw = self.ids.get(piece), piece.encode()
+            if i is None and self.bytes:
+                ids += [self.bytes[b] for b in raw]
+                sizes += [1] * len(raw)
             else:
-                ids.append(self.unknown)
-                sizes.append(len(piece.encode()))
-        return len(ids), ",".join(map(str, ids)), self._plain(ids), tuple(ids), tuple(sizes)
-
-    def chunks(self, norm: str) -> list[tuple[int, str, str, tuple[int, ...], tuple[int, ...]]]:
-        memo, out = self.memo, []
+                ids.append(self.unknown if i is None else i)
+                sizes.append(len(raw))
+        return ids, sizes
+
+    def _digested(self, chunk: str) -> tuple[int, str, str]:
+        """Number of ids of a stretch, the ids as text, and their decoded text."""
+        ids = list(map(self.ids.get, self._merge(chunk)))
+        if None in ids:
+            ids = self._ids(chunk)[0]
+            return len(ids), ",".join(map(str, ids)), self._plain(ids)
+        return len(ids), ",".join(map(self.shown.__getitem__, ids)), "".join(map(self.plain.__getitem__, ids))
+
+    def chunks(self, norm: str) -> list[tuple[int, str, str]]:
+        memo = self.memo
         if len(memo) > self.MEMO:
             memo.clear()
-        for c in self.cut.findall(norm):
-            got = memo.get(c)
-            if got is None:
-                got = self._chunk(c)
-                if len(c) <= self.MEMO_CHARS:
-                    memo[c] = got
-            out.append(got)
-        return out
+        found = self.cut.findall(norm)
+        for c in {c for c in found if c not in memo}:
+            if len(c) <= self.MEMO_CHARS:
+                memo[c] = self._digested(c)
+        if len(norm) > self.MEMO_CHARS and any(len(c) > self.MEMO_CHARS for c in found):
+            return [memo[c] if c in memo else self._digested(c) for c in found]
+        return list(map(memo.__getitem__, found))
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for c in self.chunks(self.normalise(text or "")[0]) for i in c[3]]
+        return [i for c in self.cut.findall(self.normalise(text or "")[0]) for i in self._ids(c)[0]]
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """Each id with the original bytes [begin, end) that it stands for; the spans follow each other without a gap."""
@@ -247,8 +257,8 @@ class Codec:
                 source += [shift] * 3 if ch == " " else range(shift, shift + n)
                 shift += n
             source.append(size)
-        for c in self.chunks(norm):
-            for i, n in zip(c[3], c[4], strict=True):
+        for c in self.cut.findall(norm):
+            for i, n in zip(*self._ids(c), strict=True):
                 out.append((i, source[at], source[at + n]))
                 at += n
         return out
