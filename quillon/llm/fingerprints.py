@@ -60,16 +60,35 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(fixed, PAIR_BITS).bitwiseOR(F.xxhash64(term, level).bitwiseAND(F.lit((1 << PAIR_BITS) - 1)))
 
 
+def counted(text: Column) -> Column:
+    """array<struct<word, n>> of the words of a text. Words are what ASCII white space delimits.
+
+    The words are sorted, so that equal ones are neighbours, and each run gives its word and length: no word of a text
+    is looked for in the others.
+    """
+
+    def runs(words: Column) -> Column:
+        starts = F.filter(F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)), lambda i: i.isNotNull())
+
+        def rows(at: Column) -> Column:
+            return F.transform(at, lambda i, k: F.struct(F.get(words, i).alias("word"), (F.coalesce(F.get(at, k + 1), F.size(words)) - i).alias("n")))
+
+        return F.get(F.transform(F.array(starts), rows), F.lit(0))
+
+    words = F.sort_array(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
+
+
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, fingerprint array<int>, one row for each text with words. Words are what ASCII white space delimits.
+    """keys, fingerprint array<int>, one row for each combination of keys; null where the text has no words.
 
-    Give rows that are already dealt by some of the keys: the groupings then need no shuffle.
+    Give rows that are already dealt by some of the keys: the grouping then needs no shuffle.
     """
-    words = texts.select(*keys, F.explode(F.split(text_col, r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    weighed = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("weight"))
-    weighed = weighed.select(*keys, "term", F.ln(F.col("weight").cast("double")).alias("log_weight"))
-    won = weighed.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("log_weight"), k)).alias(f"f{k}") for k in range(COORDINATES)))
-    return won.select(*keys, F.array(*(F.col(f"f{k}").bitwiseAND(F.lit((1 << PAIR_BITS) - 1)).cast("int") for k in range(COORDINATES))).alias("fingerprint"))
+    words = texts.select(*keys, F.explode_outer(counted(F.col(text_col))).alias("w"))
+    weighed = words.select(*keys, F.when(F.col("w").isNotNull(), F.xxhash64("w.word")).alias("term"), F.ln(F.col("w.n").cast("double")).alias("log_weight"))
+    won = weighed.groupBy(*keys).agg(*(F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("log_weight"), k))).alias(f"f{k}") for k in range(COORDINATES)))
+    marks = F.array(*(F.col(f"f{k}").bitwiseAND(F.lit((1 << PAIR_BITS) - 1)).cast("int") for k in range(COORDINATES)))
+    return won.select(*keys, F.when(F.col("f0").isNotNull(), marks).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -94,17 +113,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).where("doc_id is not null")
     ids = source.select("doc_id", F.length("text").cast("long").alias("n_chars")).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
     order = table(neighbours(ids), "order")
-    # One row for each id: a text as long as the longest of its rows.
-    held = source.join(order, "doc_id").where(F.length("text") == F.col("n_chars")).dropDuplicates(["doc_id"])
+    # Equal rows of one id make equal groups below, and count once.
+    held = source.join(order, "doc_id").where(F.length("text") == F.col("n_chars"))
     heads = held.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(prev_chars div 3 as int))").alias("head"))
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), F.coalesce("head", F.lit("")))
     both = held.join(heads, "doc_id").select("doc_id", F.posexplode(F.array("text", edited)).alias("edited", "text"))
-    marks = fingerprints(both, ["doc_id", "edited"]).select("doc_id", "edited", "fingerprint", F.lit(None).cast("string").alias("sha"))
-    hashed = both.where("edited = 1").select("doc_id", F.lit(2).alias("edited"), F.lit(None).cast("array<int>").alias("fingerprint"), F.sha2("text", 256).alias("sha"))
-    found = table(marks.unionByName(hashed), "fingerprints")
-    own, changed = (found.where(F.col("edited") == k).select("doc_id", F.col("fingerprint").alias(name)) for k, name in ((0, "own"), (1, "changed")))
+    hashed = both.select("doc_id", "edited", F.when(F.col("edited") == 1, F.sha2("text", 256)).alias("sha"), "text")
+    found = table(fingerprints(hashed, ["doc_id", "edited", "sha"]), "fingerprints")
+    own, changed = (found.where(F.col("edited") == k).select("doc_id", F.col("fingerprint").alias(name), *extra) for k, name, extra in ((0, "own", []), (1, "changed", ["sha"])))
     after = own.withColumnsRenamed({"doc_id": "next_id", "own": "after"})
-    rows = order.select("doc_id", "n_chars", "next_id").join(own, "doc_id", "left").join(changed, "doc_id", "left").join(found.where("edited = 2").select("doc_id", "sha"), "doc_id").join(after, "next_id", "left")
+    rows = order.select("doc_id", "n_chars", "next_id").join(own, "doc_id").join(changed, "doc_id").join(after, "next_id")
     return rows.select(
         "doc_id",
         "n_chars",
