@@ -117,7 +117,7 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, members: int
     return LinearPU(weights.astype(np.float32), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most_positive: int = 4000, most_unlabelled: int = 8000) -> LinearPU:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most_positive: int = 2000, most_unlabelled: int = 4000) -> LinearPU:
     """Fit on at most ``most_positive`` toxic documents and ``most_unlabelled`` others, all outside the held-out fold.
 
     The class prior is the share of toxic rows among labelled rows there. Without toxic rows all scores are low.
