@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 
 from .near import similar_components
 from .scratch import table
-from .shingles import CirculantMinHash, bands, char_shingles
+from .shingles import CirculantMinHash, bands, char_shingles, mixed
 
-#: Bytes of a shingle; two lines at the threshold of 0.8 miss all of 14 bands of 4 with a chance of 6e-4.
-SHINGLE, COORDINATES, ROWS = 5, 56, 4
+#: Bytes of a shingle; two lines at the threshold of 0.8 miss all of 12 bands of 4 with a chance of 2e-3, at 0.85 6e-5.
+SHINGLE, COORDINATES, ROWS = 8, 48, 4
 SALTS = 64
 WHITE = re.compile(r"[\x20\x09\x0B-\x0D]+")
 
 
 def normalised(line: str) -> str:
-    return WHITE.sub(" ", line).strip(" ")
+    if "  " in line or "\t" in line or "\r" in line or "\x0b" in line or "\x0c" in line:
+        line = WHITE.sub(" ", line)
+    return line.strip(" ")
 
 
 def _id(line: str) -> int:
@@ -34,48 +36,41 @@ def _lines(text: str | None, least: int) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(map(normalised, (text or "").split("\n"))) if len(x) >= least]
 
 
-def signed_lines(docs: DataFrame, least: int) -> DataFrame:
-    """id, bands, sig of the lines; a line comes at least once, and once for most of the places where it stands."""
+def signed_places(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, line_no, id of every line of ``least`` characters or more, and bands and sig at a line's first place in
+    a task (now and then at a later one too); elsewhere bands are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash, seen = CirculantMinHash(COORDINATES), set()
+        minhash, seen = CirculantMinHash(COORDINATES, bits=18), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                fresh = {}
-                for text in batch.column(1).slice(at, 64).to_pylist():
-                    for _, line in _lines(text, least):
+                part = batch.slice(at, 64)
+                doc, no, ids, first, fresh = [], [], [], [], []
+                for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for n, line in _lines(text, least):
                         i = _id(line)
-                        if i not in seen:
+                        doc.append(d)
+                        no.append(n)
+                        ids.append(i)
+                        first.append(i not in seen)
+                        if first[-1]:
                             seen.add(i)
-                            fresh[i] = line.encode()
+                            fresh.append(line.encode())
                 if len(seen) > 500_000:
                     seen.clear()
-                if not fresh:
-                    continue
-                elements, owner = char_shingles(list(fresh.values()), SHINGLE)
+                elements, owner = char_shingles(fresh, SHINGLE)
                 # Spread the numbers, as their low bits alone would not tell stretches apart.
-                signatures = minhash.of(elements * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40), owner, len(fresh))
+                signatures = minhash.of((elements ^ elements >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40), owner, len(fresh))
                 keys = bands(signatures, ROWS)
-                sig = signatures.astype(np.uint8).tobytes()
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(fresh) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), flat, pa.array([sig[i * COORDINATES : (i + 1) * COORDINATES] for i in range(len(fresh))], pa.binary())], ["id", "bands", "sig"])
+                raw = signatures.astype(np.uint8).tobytes()
+                new = np.array(first, bool)
+                offsets = np.concatenate([[0], np.cumsum(np.where(new, keys.shape[1], 0))]).astype(np.int32)
+                nth = np.cumsum(new) - 1
+                sig = [raw[k * COORDINATES : (k + 1) * COORDINATES] if own else None for k, own in zip(nth.tolist(), first, strict=True)]
+                cols = [pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel(), pa.int64())), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", "id", "bands", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, bands array<long>, sig binary")
-
-
-def occurrences(docs: DataFrame, least: int, with_text: bool = False) -> DataFrame:
-    """doc_id, line_no, id (and the normalised text) of every line of ``least`` characters or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [(d, n, _id(x), x) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for n, x in _lines(t, least)]
-                doc, line, ids, texts = zip(*rows, strict=True) if rows else ((), (), (), ())
-                cols = [pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(ids, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.string())] * with_text, ["doc_id", "line_no", "id"] + ["line"] * with_text)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, id long" + ", line string" * with_text)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, id long, bands array<long>, sig binary")
 
 
 def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -87,14 +82,18 @@ def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFram
             keep = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sides = []
-                for c in (2, 3):
-                    x, owner = char_shingles([t.encode() for t in part.column(c).to_pylist()], SHINGLE)
-                    # The pair's number above the 40 bits of a stretch: distinct (pair, stretch) of the whole slice at once.
-                    sides.append(np.unique(owner.astype(np.uint64) << np.uint64(40) | x))
-                common = np.intersect1d(*sides, assume_unique=True)
-                n = [np.bincount((s >> np.uint64(40)).astype(np.int64), minlength=part.num_rows) for s in (common, *sides)]
-                keep.append(100 * n[0] >= percent * (n[1] + n[2] - n[0]))
+                lines = [t.encode() for c in (2, 3) for t in part.column(c).to_pylist()]
+                x, owner = char_shingles(lines, SHINGLE)
+                n, side = part.num_rows, owner >= part.num_rows
+                pair = np.where(side, owner - n, owner).astype(np.uint64)
+                # A 63-bit mark of (pair, stretch) with the side below: sorted, what both sides have are neighbours.
+                mark = mixed(x ^ mixed(pair + np.uint64(1))) & ~np.uint64(1) | side.astype(np.uint64)
+                order = np.argsort(mark)
+                mark, pair = mark[order], pair[order].astype(np.int64)
+                distinct = np.r_[True, mark[1:] != mark[:-1]] if len(mark) else np.zeros(0, bool)
+                mark, pair = mark[distinct], pair[distinct]
+                common = np.bincount(pair[1:][mark[1:] >> np.uint64(1) == mark[:-1] >> np.uint64(1)], minlength=n)
+                keep.append(100 * common >= percent * (np.bincount(pair, minlength=n) - common))
             yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return joined.mapInArrow(run, "a long, b long")
@@ -103,12 +102,12 @@ def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFram
 def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 20) -> DataFrame:
     """doc_id, drops: the numbers of the lines (from 0) that go, for the documents that lose some.
 
-    Lines are linked where 100 * intersection >= percent * union of their 5-byte shingles, white space normalised. Of a
+    Lines are linked where 100 * intersection >= percent * union of their 8-byte shingles, white space normalised. Of a
     component the occurrence with the smallest (doc_id, line number) stays.
     """
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
-    places = table(occurrences(docs, least), "lines")
-    signed = table(signed_lines(docs, least), "signed")
+    lines = table(signed_places(docs, least), "lines")
+    places, signed = lines.select("doc_id", "line_no", "id"), lines.where("size(bands) > 0").select("id", "bands", "sig")
 
     def lines_of(ids: DataFrame) -> DataFrame:
         # One place of each line: its text is read again there.
@@ -121,11 +120,11 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 20) -> DataFr
     similar = similar_components(signed, lines_of, percent, slack=0.25, verify=verified_lines)
     salted = places.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     heads = salted.groupBy("id", "salt").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    lines = heads.groupBy("id").agg(F.min("first").alias("first"), F.sum("n").alias("n")).join(similar, "id", "left")
-    lines = table(lines.where("n > 1 or label is not null").select("id", "first", F.coalesce("label", "id").alias("label")), "repeated")
-    stays = lines.groupBy("label").agg(F.min("first").alias("stays"))
+    repeated = heads.groupBy("id").agg(F.min("first").alias("first"), F.sum("n").alias("n")).join(similar, "id", "left")
+    repeated = table(repeated.where("n > 1 or label is not null").select("id", "first", F.coalesce("label", "id").alias("label")), "repeated")
+    stays = repeated.groupBy("label").agg(F.min("first").alias("stays"))
     # A line has SALTS heads at most, so a line that stands everywhere is dealt to as many tasks.
-    found = lines.join(stays, "label").select("id", "stays").join(heads.select("id", "salt"), "id")
+    found = repeated.join(stays, "label").select("id", "stays").join(heads.select("id", "salt"), "id")
     gone = salted.join(found, ["id", "salt"]).where(~((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no"))))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("drops"))
 

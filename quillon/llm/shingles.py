@@ -52,23 +52,24 @@ def word_shingles(text: str | None, words: WordHashes, k: int = 5) -> np.ndarray
     return np.unique(mixed(out))
 
 
-def char_shingles(lines: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of k bytes (7 at most) of each line as numbers, repeats kept, and the line that each is of.
+def char_shingles(lines: list[bytes], k: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of k bytes (8 at most) of each line as numbers, repeats kept, and the line that each is of.
 
     A line of fewer bytes is one stretch, filled up with zeros; a number stands for one stretch only.
     """
-    raw = np.frombuffer(b"".join([x.ljust(k, b"\0") for x in lines]) + bytes(k), np.uint8)
+    raw = b"".join([x.ljust(k, b"\0") for x in lines]) + bytes(8)
     sizes = np.array([max(len(x), k) for x in lines], np.int64)
     n = int(sizes.sum())
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = out << np.uint64(8) | raw[i : i + n]
-    owner = np.repeat(np.arange(len(lines)), sizes)
+    # Eight bytes from every place on, read as they stand; a shorter stretch drops the last ones.
+    out = np.ndarray((n,), "<u8", buffer=raw, strides=(1,))
     inside = np.ones(n, bool)
     ends = np.cumsum(sizes)
     for i in range(1, k):
         inside[ends - i] = False
-    return out[inside], owner[inside]
+    out = out[inside]
+    if k < 8:
+        out = out << np.uint64(64 - 8 * k)
+    return out, np.repeat(np.arange(len(lines)), sizes - k + 1)
 
 
 class CirculantMinHash:
