@@ -55,21 +55,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def alike(blocks: DataFrame, least: float, sure: float) -> DataFrame:
     """Pairs (a, b) of a block, of different components, whose signatures agree in ``least`` of their bytes or more.
 
-    ``blocks`` has block, id, label, sig and is read in order of block. Agreements of ``sure`` or more first join
-    members, so of a group of close copies only as many pairs come out as it takes to connect it.
+    ``blocks`` has block, bucket, part, id, label, sig, bands. A pair belongs to the first bucket that both share, and
+    is looked at nowhere else; of a hot bucket's block of two parts only pairs across the parts count. Agreements of
+    ``sure`` or more first join members, so of close copies only as many pairs come out as it takes to connect them.
     """
 
-    def pairs_of(ids: np.ndarray, labels: np.ndarray, sig: np.ndarray) -> tuple[list[int], list[int]]:
-        if len(ids) < 2:
+    def pairs_of(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        if len(rows) < 2:
             return [], []
-        comp, a, b, late = labels.copy(), [], [], []
+        bucket = rows[0][0]
+        part, ids, labels = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        sig = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(len(rows), -1)
+        keys = np.stack([r[5] for r in rows])
+        across = len(set(part.tolist())) > 1
+        comp, a, b, late = np.arange(len(ids)), [], [], []
+        at = int(np.flatnonzero(keys[0] == bucket)[0])  # the bucket's place is the same in all rows
         for i in range(1, len(ids)):
-            other = np.flatnonzero(labels[:i] != labels[i])
+            other = np.flatnonzero((labels[:i] != labels[i]) & (ids[:i] != ids[i]) & ((part[:i] != part[i]) | (not across)))
+            if at and len(other):
+                other = other[~(keys[other, :at] == keys[i, :at]).any(1)]
             if not len(other):
                 continue
             agree = (sig[other] == sig[i]).mean(1)
-            for j, s in sorted(zip(other[agree >= least].tolist(), agree[agree >= least].tolist(), strict=True), key=lambda x: -x[1]):
-                if s < sure:
+            near = np.flatnonzero(agree >= least)
+            for k in near[np.argsort(-agree[near], kind="stable")].tolist():
+                j = int(other[k])
+                if agree[k] < sure:
                     late.append((i, j))
                 elif comp[i] != comp[j]:
                     comp[comp == comp[i]] = comp[j]
@@ -82,39 +93,37 @@ def alike(blocks: DataFrame, least: float, sure: float) -> DataFrame:
         return ids[a].tolist(), ids[b].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple] = []
         current, out = None, ([], [])
 
         def close() -> None:
-            seen = {x[0]: x for x in held}
-            own = [seen[k] for k in sorted(seen)]
-            sig = np.frombuffer(b"".join(x[2] for x in own), np.uint8).reshape(len(own), -1) if own else np.zeros((0, 1), np.uint8)
-            for to, got in zip(out, pairs_of(np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64), sig), strict=True):
+            for to, got in zip(out, pairs_of(sorted(held, key=lambda r: r[2])), strict=True):
                 to.extend(got)
 
         for batch in batches:
-            block, ids, labels, sig = (c.to_pylist() for c in batch.columns)
-            for row in range(batch.num_rows):
-                if block[row] != current:
+            keys = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for row in zip(*(c.to_pylist() for c in batch.columns[:-1]), keys, strict=True):
+                if row[0] != current:
                     close()
-                    held, current = [], block[row]
-                held.append((ids[row], labels[row], sig[row]))
+                    held, current = [], row[0]
+                held.append(row[1:])
             if len(out[0]) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
                 out = ([], [])
         close()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
-    dealt = blocks.repartition("block").sortWithinPartitions("block")
+    dealt = blocks.select("block", "bucket", "part", "id", "label", "sig", "bands").repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "a long, b long").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 
 
-def similar_components(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, slack: float = 0.13, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified) -> DataFrame:
+def similar_components(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, slack: float, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified) -> DataFrame:
     """id, label of the sets in a component of two sets or more; label is the smallest id.
 
     ``signed``: id, bands array<long>, sig binary (a byte of each coordinate); rows of one id are equal. ``sets_of``
-    gives what ``verify`` needs for the ids of a table, by default id, elements array<long>. Pairs are verified where their signatures agree
-    in ``percent`` / 100 - ``slack`` of the bytes, several deviations below what the threshold makes likely.
+    gives what ``verify`` needs for the ids of a table, by default id, elements array<long>; if it gives a sig too, a
+    longer one, that is compared instead. Pairs are verified where their signatures agree in ``percent`` / 100 -
+    ``slack`` of the bytes, several deviations below what the threshold makes likely.
     """
     member = signed.select("id", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
@@ -135,7 +144,11 @@ def similar_components(signed: DataFrame, sets_of: Callable[[DataFrame], DataFra
     mixed = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     left = member.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Parts p and q of a bucket meet in one block; a part meets itself in a block of its own.
     block = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("block")
-    blocks = left.select(block, "id", "label").join(signed.select("id", "sig"), "id").select("block", "id", "label", "sig")
+    marks = signed.dropDuplicates(["id"]).select("id", "sig", "bands")
+    if "sig" in sets.columns:
+        marks = marks.drop("sig").join(sets.select("id", "sig"), "id")
+    blocks = left.select(block, "bucket", F.col("own").alias("part"), "id", "label").join(marks, "id")
     more = table(verify(alike(blocks, percent / 100 - slack, percent / 100 + slack), sets, percent), "links")
     return components(links.union(more)).select(F.col("node").alias("id"), "label")
