@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near import similar_components
-from .scratch import table
+from .scratch import drop, release, table
 from .shingles import CirculantMinHash, bands, char_shingles, mixed
 
-#: Bytes of a shingle; two lines at the threshold of 0.8 miss all of 12 bands of 4 with a chance of 2e-3, at 0.85 6e-5.
-SHINGLE, COORDINATES, ROWS = 8, 48, 4
+#: Characters of a shingle; two lines at the threshold of 0.8 miss all of 20 bands of 5 with a chance of 4e-4, at 0.85 8e-6.
+SHINGLE, COORDINATES, ROWS = 5, 100, 5
 SALTS = 64
 WHITE = re.compile(r"[\x20\x09\x0B-\x0D]+")
 
@@ -37,8 +37,8 @@ def _lines(text: str | None, least: int) -> list[tuple[int, str]]:
 
 
 def signed_places(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, line_no, id of every line of ``least`` characters or more, and bands and sig at a line's first place in
-    a task (now and then at a later one too); elsewhere bands are empty."""
+    """doc_id, line_no, id of every line of ``least`` characters or more, and bands at a line's first place in a task
+    (now and then at a later one too); elsewhere bands are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash, seen = CirculantMinHash(COORDINATES, bits=18), set()
@@ -55,22 +55,32 @@ def signed_places(docs: DataFrame, least: int) -> DataFrame:
                         first.append(i not in seen)
                         if first[-1]:
                             seen.add(i)
-                            fresh.append(line.encode())
+                            fresh.append(line)
                 if len(seen) > 500_000:
                     seen.clear()
-                elements, owner = char_shingles(fresh, SHINGLE)
-                # Spread the numbers, as their low bits alone would not tell stretches apart.
-                signatures = minhash.of((elements ^ elements >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40), owner, len(fresh))
-                keys = bands(signatures, ROWS)
-                raw = signatures.astype(np.uint8).tobytes()
+                keys = bands(minhash.of(*char_shingles(fresh, SHINGLE), len(fresh)), ROWS)
                 new = np.array(first, bool)
                 offsets = np.concatenate([[0], np.cumsum(np.where(new, keys.shape[1], 0))]).astype(np.int32)
-                nth = np.cumsum(new) - 1
-                sig = [raw[k * COORDINATES : (k + 1) * COORDINATES] if own else None for k, own in zip(nth.tolist(), first, strict=True)]
-                cols = [pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel(), pa.int64())), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", "id", "bands", "sig"])
+                cols = [pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", "id", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, id long, bands array<long>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, id long, bands array<long>")
+
+
+def signed_lines(lines: DataFrame) -> DataFrame:
+    """id, line with the line's bands and sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minhash = CirculantMinHash(COORDINATES, bits=18)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                own = part.column(1).to_pylist()
+                signatures = minhash.of(*char_shingles(own, SHINGLE), len(own))
+                cols = [pa.array(list(bands(signatures, ROWS)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in signatures.astype(np.uint8)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], ["id", "line", "bands", "sig"])
+
+    return lines.select("id", "line").mapInArrow(run, "id long, line string, bands array<long>, sig binary")
 
 
 def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -82,7 +92,7 @@ def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFram
             keep = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lines = [t.encode() for c in (2, 3) for t in part.column(c).to_pylist()]
+                lines = [t for c in (2, 3) for t in part.column(c).to_pylist()]
                 x, owner = char_shingles(lines, SHINGLE)
                 n, side = part.num_rows, owner >= part.num_rows
                 pair = np.where(side, owner - n, owner).astype(np.uint64)
@@ -102,20 +112,24 @@ def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFram
 def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 20) -> DataFrame:
     """doc_id, drops: the numbers of the lines (from 0) that go, for the documents that lose some.
 
-    Lines are linked where 100 * intersection >= percent * union of their 8-byte shingles, white space normalised. Of a
+    Lines are linked where 100 * intersection >= percent * union of their 5-character shingles, white space normalised. Of a
     component the occurrence with the smallest (doc_id, line number) stays.
     """
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
     lines = table(signed_places(docs, least), "lines")
-    places, signed = lines.select("doc_id", "line_no", "id"), lines.where("size(bands) > 0").select("id", "bands", "sig")
+    places, signed = table(lines.select("doc_id", "line_no", "id"), "places"), lines.where("size(bands) > 0").select("id", "bands")
 
     def lines_of(ids: DataFrame) -> DataFrame:
+        # The buckets are written by now. The bands of the few lines that share one are made again with their text,
+        # so those of all lines need not lie on disk any longer.
+        drop(lines)
+        release(docs.sparkSession)
         # One place of each line: its text is read again there.
         at = places.join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("x")).select("id", "x.doc_id", "x.line_no")
         wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("own"))
         held = docs.join(wanted, "doc_id").select(F.explode("own").alias("x"), F.split("text", "\n").alias("all"))
         line = F.trim(F.regexp_replace(F.get("all", F.col("x.line_no")), r"[\x20\x09\x0B-\x0D]+", " "))
-        return held.select(F.col("x.id").alias("id"), line.alias("line")).dropDuplicates(["id"])
+        return signed_lines(held.select(F.col("x.id").alias("id"), line.alias("line")).dropDuplicates(["id"]))
 
     similar = similar_components(signed, lines_of, percent, slack=0.25, verify=verified_lines)
     salted = places.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))

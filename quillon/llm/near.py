@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import drop, table
+from .scratch import drop, release, table
 
 #: Members of a bucket that are compared in one block.
 BLOCK = 1024
@@ -122,23 +122,25 @@ def similar_components(signed: DataFrame, sets_of: Callable[[DataFrame], DataFra
 
     ``signed``: id, bands array<long>, sig binary (a byte of each coordinate); rows of one id are equal. ``sets_of``
     gives what ``verify`` needs for the ids of a table, by default id, elements array<long>; if it gives a sig too, a
-    longer one, that is compared instead. Pairs are verified where their signatures agree in ``percent`` / 100 -
+    longer one, that is compared instead, and if it gives sig and bands, ``signed`` needs no sig and is read no more
+    once ``sets_of`` is called. Pairs are verified where their signatures agree in ``percent`` / 100 -
     ``slack`` of the bytes, several deviations below what the threshold makes likely.
     """
+    # One shuffle by bucket serves all steps: buckets of one id go, and the ids of the others count once.
+    whole = Window.partitionBy("bucket")
     member = signed.select("id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    first = table(member.join(shared, "bucket").distinct(), "members")
-    # Rows of one id counted as often as they came; now the ids of a bucket count once.
-    shared = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = table(first.join(shared, "bucket"), "members")
-    drop(first)
+    member = member.withColumn("lo", F.min("id").over(whole)).withColumn("hi", F.max("id").over(whole)).where("lo < hi").select("bucket", "id").distinct()
+    member = table(member.withColumn("n", F.count(F.lit(1)).over(whole)), "members")
     sets = table(sets_of(member.select("id").distinct()), "sets")
+    release(signed.sparkSession)
 
     degree = member.groupBy("id").agg(F.sum("n").alias("degree"))
     best = member.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("best"))
     pairs = member.join(best.select("bucket", (-F.col("best.id")).alias("hub")), "bucket").where("id <> hub").selectExpr("least(id, hub) as a", "greatest(id, hub) as b").distinct()
     links = table(verify(pairs, sets, percent), "links")
+    release(signed.sparkSession)
     found = table(components(links), "components")
+    release(signed.sparkSession)
 
     member = table(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label")), "members")
     mixed = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
@@ -146,9 +148,12 @@ def similar_components(signed: DataFrame, sets_of: Callable[[DataFrame], DataFra
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Parts p and q of a bucket meet in one block; a part meets itself in a block of its own.
     block = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("block")
-    marks = signed.dropDuplicates(["id"]).select("id", "sig", "bands")
-    if "sig" in sets.columns:
-        marks = marks.drop("sig").join(sets.select("id", "sig"), "id")
+    if "bands" in sets.columns:
+        marks = sets.select("id", "sig", "bands")
+    else:
+        marks = signed.dropDuplicates(["id"]).select("id", "sig", "bands")
+        if "sig" in sets.columns:
+            marks = marks.drop("sig").join(sets.select("id", "sig"), "id")
     blocks = left.select(block, "bucket", F.col("own").alias("part"), "id", "label").join(marks, "id")
     more = table(verify(alike(blocks, percent / 100 - slack, percent / 100 + slack), sets, percent), "links")
     return components(links.union(more)).select(F.col("node").alias("id"), "label")

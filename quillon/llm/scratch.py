@@ -22,14 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files of what was written, which are of no more use: Spark deletes them once the driver has."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later failures restart from these files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # The shuffle files of what was written are of no more use; Spark deletes them once the driver has let them go.
-    gc.collect()
-    spark._jvm.System.gc()
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

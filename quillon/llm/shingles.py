@@ -52,24 +52,25 @@ def word_shingles(text: str | None, words: WordHashes, k: int = 5) -> np.ndarray
     return np.unique(mixed(out))
 
 
-def char_shingles(lines: list[bytes], k: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of k bytes (8 at most) of each line as numbers, repeats kept, and the line that each is of.
+def char_shingles(lines: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the stretches of k characters of each line, repeats kept, and the line that each is of.
 
-    A line of fewer bytes is one stretch, filled up with zeros; a number stands for one stretch only.
+    A line of fewer characters is one stretch, filled up with a number that no character has.
     """
-    raw = b"".join([x.ljust(k, b"\0") for x in lines]) + bytes(8)
-    sizes = np.array([max(len(x), k) for x in lines], np.int64)
-    n = int(sizes.sum())
-    # Eight bytes from every place on, read as they stand; a shorter stretch drops the last ones.
-    out = np.ndarray((n,), "<u8", buffer=raw, strides=(1,))
-    inside = np.ones(n, bool)
-    ends = np.cumsum(sizes)
+    sizes = np.array([len(x) for x in lines], np.int64)
+    full = np.maximum(sizes, k)
+    ends = np.cumsum(full)
+    codes = np.full(int(full.sum()), 0x110000, np.uint64)
+    codes[np.arange(int(sizes.sum())) + np.repeat(ends - full - np.cumsum(sizes) + sizes, sizes)] = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    out = np.zeros(len(codes), np.uint64)
+    for i in range(k):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out[: len(out) - i] += codes[i:]
+        out ^= out >> np.uint64(29)
+    inside = np.ones(len(out), bool)
     for i in range(1, k):
         inside[ends - i] = False
-    out = out[inside]
-    if k < 8:
-        out = out << np.uint64(64 - 8 * k)
-    return out, np.repeat(np.arange(len(lines)), sizes - k + 1)
+    return mixed(out[inside]), np.repeat(np.arange(len(lines)), full - k + 1)
 
 
 class CirculantMinHash:
