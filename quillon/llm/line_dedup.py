@@ -109,7 +109,7 @@ def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFram
     return joined.mapInArrow(run, "a long, b long")
 
 
-def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 20) -> DataFrame:
+def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
     """doc_id, drops: the numbers of the lines (from 0) that go, for the documents that lose some.
 
     Lines are linked where 100 * intersection >= percent * union of their 5-character shingles, white space normalised. Of a
@@ -143,11 +143,11 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 20) -> DataFr
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
     """``docs`` with its text less the lines that go, and n_lines, n_dropped.
 
-    A document that loses no line keeps its text byte for byte. Lines shorter than ``least`` characters always stay
-    (closing brackets, single words). Null texts stay null, with counts 0; texts that lose all lines become empty.
+    A document that loses no line keeps its text byte for byte. Lines shorter than ``least`` characters, by default the
+    empty ones, always stay; a line of five characters or fewer is similar to equal ones only. Null texts stay null, with counts 0; texts that lose all lines become empty.
     Rows with a null id stay as they are and do not count; repeated rows (same id and text) are treated alike. Other
     columns stay, but for ones named n_lines or n_dropped, which are replaced. Rows of an empty table: none.
     """

@@ -50,3 +50,12 @@ def test_stretches_are_told_apart():
     elements, owner = shingles.char_shingles(lines)
     got = [set(elements[owner == i].tolist()) for i in range(len(lines))]
     assert [len(g) for g in got] == [1, 1, 1, 1, 1, 2, 1] and len(set.union(*got)) == 8
+
+
+def test_short_lines_take_part(spark):
+    rows = [(1, "Les.\nA line that is long enough to stand in every count\n}"), (2, "Les.\n\n  Les. \nLas.\n}"), (3, "\n\nErheed. Titionly.\nErheed. Titionly"), (4, "Erheed. Titionly.\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {2: [0, 2, 4], 3: [3], 4: [0]}
+    assert dropped(rows) == want
+    assert {r.doc_id: r.drops for r in line_dedup.dropped_lines(df).collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}[2] == "\nLas."
