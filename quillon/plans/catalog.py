@@ -451,7 +451,7 @@ def degree_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT DISTINCT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
 SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.connected_components(supplier_pairs(spark, sf_dir).where("n >= 35"))
+    return grouping.connected_components(supplier_pairs(spark, sf_dir))
 
 
 @query(_PAIRS_SQL + """, top AS (SELECT node FROM (SELECT a AS node FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY 1 HAVING node % 2 = 0)
