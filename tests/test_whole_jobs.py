@@ -3,6 +3,8 @@
 from collections import Counter
 from itertools import combinations
 
+from oracle import check
+
 from quillon.plans import catalog
 
 
@@ -21,3 +23,26 @@ def test_components_of_rare_pairs(spark, tmp_path):
             component[a] = component[b] = min(component[a], component[b])
     got = catalog.connected_components(spark, str(tmp_path)).collect()
     assert {r.node: r.component for r in got} == component == {1: 1, 2: 1, 3: 1, 6: 6, 8: 6, 9: 6}
+
+
+def test_profit_of_every_line(spark, sf):
+    check(spark, catalog.realised_pnl, catalog.ORACLE["realised_pnl"].replace("WHERE l_linenumber = 1", ""), sf)
+
+
+def test_subgraph_of_the_nodes_of_highest_degree(spark, tmp_path):
+    orders = {i: [i, i + 1] for i in range(1, 60)} | {100: [1, 60], 101: [1, 7], 102: [3, 60], 103: [60, 58]}
+    pairs = supplied(spark, tmp_path, orders)
+    degree = Counter(i for p in pairs for i in p)
+    top = sorted(degree, key=lambda i: (-degree[i], i))[:50]
+    want = sorted((a, b, n) for (a, b), n in pairs.items() if a in top and b in top)
+    got = catalog.induced_subgraph(spark, str(tmp_path)).select("a", "b", "n").collect()
+    assert sorted(map(tuple, got)) == want and len(want) < len(pairs)
+
+
+def test_keywords_of_the_whole_text(spark, tmp_path):
+    text = "one two three four five six seven eight nineteen twenty thirty forty fifty sixty seventy eighty"
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "nineteen twenty thirty forty fifty sixty seventy eighty"), (2, "one two three four"), (3, text.upper())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.keyword_trigger(spark, str(tmp_path)).collect()
+    assert sorted((r.indicator_id, r.event_id, r.n_hits) for r in got) == [(1, 1, 8), (1, 3, 16)]
