@@ -64,16 +64,20 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vec
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
         a, b = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(r["v"].to_numpy()).astype(np.float64)
         qi, ri = q["id"].to_numpy(), r["id"].to_numpy()
+        sizes = (b * b).sum(1)
+        longest, slack = sizes[np.isfinite(sizes)].max(initial=0.0), 8 * (b.shape[1] + 2) * np.finfo(np.float64).eps
         out = []
         for at in range(0, len(a), 256):
             part = a[at : at + 256]
             d = (part * part).sum(1)[:, None] + (b * b).sum(1) - 2 * part @ b.T
             if not include_self:
                 d[qi[at : at + 256, None] == ri] = np.inf
-            m = min(k + 8, len(b))  # a few more than k: near ties are settled on exact distances
-            near = np.argpartition(d, m - 1, axis=1)[:, :m]
-            for i, own in enumerate(near):
-                own = own[np.isfinite(d[i, own])]
+            # All rows within the k-th smallest distance and what rounding may add: ties are settled on exact distances.
+            d[~np.isfinite(d)] = np.inf
+            m = min(k, len(b))
+            most = np.partition(d, m - 1, axis=1)[:, m - 1] + slack * ((part * part).sum(1) + longest)
+            for i in range(len(part)):
+                own = np.flatnonzero((d[i] <= most[i]) & (d[i] < np.inf))
                 exact = np.sqrt(((b[own] - part[i]) ** 2).sum(1))
                 order = np.lexsort((ri[own], exact))[:k]
                 out += [(qi[at + i], ri[own[o]], exact[o]) for o in order]

@@ -3,8 +3,11 @@
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+import pytest
 from oracle import check
 
+from quillon.operators import vectors
 from quillon.plans import catalog
 
 
@@ -46,3 +49,16 @@ def test_keywords_of_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.keyword_trigger(spark, str(tmp_path)).collect()
     assert sorted((r.indicator_id, r.event_id, r.n_hits) for r in got) == [(1, 1, 8), (1, 3, 16)]
+
+
+@pytest.mark.parametrize("block", [4096, 64])
+def test_neighbours_among_many_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 8)).astype(np.float32)
+    v[rng.permutation(300)[:120]] = v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {(r.id, r["rank"]): r.neighbour for r in vectors.knn(df, df, 5).collect()}
+    d = np.sqrt(((v[:, None].astype(float) - v[None]) ** 2).sum(2))
+    want = {(i, k + 1): j for i in range(300) for k, j in enumerate([j for j in np.lexsort((np.arange(300), d[i])).tolist() if j != i][:5])}
+    assert got == want
