@@ -17,13 +17,14 @@ ROUNDS = 8
 EPOCH, DAYS_HIGH, DAYS_LOW = "1800-01-01", 189, 773
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{16})(?=[A-Za-z_-]*[0-9])(?<=(?i:token|secret|password|api.?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_-]{16,512}+"
+SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{16})(?=[A-Za-z_-]*[0-9])(?<=(?i:token|secret|password|api.?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_-]{16,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = r"(?<![0-9+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,5})(?![0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
+#: A last group of one to three digits is not the start of a date, a phone number, an address or the like.
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}(?![\p{L}\p{N}]|[./-][0-9]|[\p{L}\p{N}._%+-]*+@)|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])"
 ANY = f"{EMAIL}|{SECRET}|(?=[A-Z]){IBAN}|(?=[0-9+(])(?:{PHONE}|{IP}|{SSN}|{DATE}|{CARD})"
 
 
@@ -41,6 +42,8 @@ def feistel(values: Column, moduli: Column, key: str, kind: str) -> Column:
 
     def shifted(own: Column, mods: Column, other: Column, i: Column) -> Column:
         base = F.concat_ws("|", F.lit(key), F.lit(kind), i, F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+        # Of a long value a digest stands for the other half, so the work grows with the length only.
+        base = let(base, lambda b: F.when(F.length(b) > 2048, F.sha2(b, 256)).otherwise(b))
         return let(base, lambda b: F.transform(own, lambda x, j: F.pmod(x + _number(F.sha2(F.concat_ws("|", b, j), 256)), F.get(mods, j))))
 
     def halves(pair: Column, half: Column) -> Column:
@@ -178,8 +181,14 @@ def _card(m: Column, key: str) -> Column:
     def whole(new: Column) -> Column:
         return F.concat(new, ((10 - luhn(F.concat(F.regexp_replace(new, "[ -]", ""), F.lit("0")))) % 10).cast("string"))
 
-    valid = luhn(F.regexp_replace(m, "[ -]", "")) == 0
-    return F.when(valid, let(permuted(F.substring(m, F.lit(1), F.length(m) - 1), key, "card"), whole)).otherwise(m)
+    def card(s: Column, otherwise: Column) -> Column:
+        valid = luhn(F.regexp_replace(s, "[ -]", "")) == 0
+        return F.when(valid, let(permuted(F.substring(s, F.lit(1), F.length(s) - 1), key, "card"), whole)).otherwise(otherwise)
+
+    # Four groups of four and one to three digits more may also be a card number and another one beside it.
+    beside = m.rlike("^[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}$")
+    first = card(F.substring(m, 1, 19), F.substring(m, 1, 19))
+    return card(m, F.when(beside, F.concat(first, F.substring(m, 20, 64))).otherwise(m))
 
 
 #: In the order in which the pattern tries them.
