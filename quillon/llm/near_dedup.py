@@ -49,11 +49,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     Documents are linked where 100 * intersection >= percent * union of their sets of k-word shingles; component_id is
     the smallest doc_id that links reach. Texts without words (null, empty, white space) have an empty set and stay
-    alone. Repeated rows are all returned; all copies of the kept one have kept = true. Other columns are ignored; an
+    alone, and so do rows with a null id, whose component_id is null and which are kept. Repeated rows are all returned; all copies of the kept one have kept = true. Other columns are ignored; an
     empty table gives an empty result.
     """
     rows = table(signed(docs, id_col, text_col, k), "signed")
-    first = table(rows.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x")).select("key", F.col("x.doc_id").alias("id"), "x.bands", "x.sig"), "classes")
+    first = table(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x")).select("key", F.col("x.doc_id").alias("id"), "x.bands", "x.sig"), "classes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         source = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text")
@@ -78,9 +78,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     labelled = first.select("key", "id").join(found, "id", "left").select("key", F.coalesce("label", "id").alias("component_id"))
     # A class of equal sets has SALTS heads at most, so no join has a hot key.
     salted = rows.select("doc_id", "n_shingles", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-    heads = salted.where("key is not null").select("key", "salt").distinct().join(labelled, "key")
-    full = salted.where("key is not null").join(heads, ["key", "salt"]).select("doc_id", "n_shingles", "component_id")
-    alone = salted.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    heads = salted.where("key is not null and doc_id is not null").select("key", "salt").distinct().join(labelled, "key")
+    full = salted.where("key is not null and doc_id is not null").join(heads, ["key", "salt"]).select("doc_id", "n_shingles", "component_id")
+    alone = salted.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

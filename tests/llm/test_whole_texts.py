@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("sentencepiece")
 
-from quillon.llm import pii  # noqa: E402
+from quillon.llm import near_dedup, pii  # noqa: E402
 
 
 def luhn(d):
@@ -30,3 +30,13 @@ def test_card_groupings_and_long_secrets(spark):
     assert got[3].n_changed == 2 and "123-45-6789" not in got[3].text and card not in got[3].text
     assert got[4].n_changed == 2 and card not in got[4].text
     assert len(got[5].text) == len(texts[5]) and "a1b2_a1b2_" not in got[5].text
+
+
+def test_null_ids_stay_alone(spark):
+    words = [f"w{i}" for i in range(60)]
+    same, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, same), (None, same), (7, same), (5, same), (3, near), (9, "something else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(3, 3, True), (5, 3, False), (7, 3, False), (9, 9, True), (None, None, True), (None, None, True)], key=repr)
+    assert sorted((r.doc_id for r in near_dedup.one_of_each(df).collect()), key=repr) == [3, 9, None, None]
