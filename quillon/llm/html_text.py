@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 #: Fixed values of the HTML standard: elements without an end tag, and those whose content is not text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title select iframe svg math object head".split())
+#: Of RAW, those that may close themselves or be left open; the content of the others goes on to their end tag.
+CLOSED = frozenset("select svg math object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: A start tag of the first kind ends an open element of the second.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -40,17 +42,43 @@ class Block:
     heading: bool = False
 
 
+def end_of(page: str, tag: str, at: int) -> int:
+    """Where the next end tag of an element ends, or the page."""
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def ends_of(page: str) -> dict[int, int]:
+    """Where the elements of CLOSED that are closed end, by the place of their start tag."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in CLOSED}
+    at = 0
+    while (m := TAG.search(page, at)) is not None:
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in CLOSED and m[1]:
+            if opened[tag]:
+                out[opened[tag].pop()] = at
+        elif tag in CLOSED:
+            if not m[3].rstrip().endswith("/"):
+                opened[tag].append(m.start())
+        elif tag in RAW and tag != "head" and not m[1]:
+            at = end_of(page, tag, at)
+    return out
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The text blocks of a page in order, each with the tags and class words above it.
 
     A block is the text between two block-level tags; inline tags and line breaks do not end it (a line break is white
     space). Unclosed elements end where an enclosing one ends. Nothing in scripts, styles and comments is text.
+    An element of CLOSED that closes itself or is never closed has no content.
     """
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked = 0
+    closed: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -98,8 +126,11 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag not in INLINE:
             flush()
         if tag in RAW and tag != "head":
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            if tag in CLOSED:
+                closed = ends_of(page) if closed is None else closed
+                at = closed.get(m.start(), at)
+            else:
+                at = end_of(page, tag, at)
             continue
         if tag in ENDS_P:
             for i in range(len(stack) - 1, -1, -1):
@@ -138,14 +169,14 @@ def _hashed(word: str, dims: int) -> tuple[int, float]:
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: hashed tag path, hashed words (the first and last ones of a long block), shape."""
+    """A row for each block: hashed tag path, hashed words (the mean over all of them), shape."""
     x = np.zeros((len(blocks), DIMS), np.float32)
     for r, b in enumerate(blocks):
         for depth, part in enumerate(b.path):
             for name in (part, f"{part}>{b.path[depth - 1]}") if depth else (part,):
                 i, sign = _hashed(name, PATH_DIMS)
                 x[r, i] += sign
-        words = b.text.lower().split(" ", 40)[:40]
+        words = b.text.lower().split(" ")
         for w in words:
             i, sign = _hashed(f"w {w}", WORD_DIMS)
             x[r, PATH_DIMS + i] += sign / len(words)

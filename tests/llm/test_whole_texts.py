@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("sentencepiece")
 
-from quillon.llm import near_dedup, pii  # noqa: E402
+from quillon.llm import html_text, near_dedup, pii  # noqa: E402
 
 
 def luhn(d):
@@ -40,3 +40,19 @@ def test_null_ids_stay_alone(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(3, 3, True), (5, 3, False), (7, 3, False), (9, 9, True), (None, None, True), (None, None, True)], key=repr)
     assert sorted((r.doc_id for r in near_dedup.one_of_each(df).collect()), key=repr) == [3, 9, None, None]
+
+
+def test_all_words_of_a_block_count():
+    head = " ".join(["word"] * 40)
+    a, b = (html_text.vectors([html_text.Block(("p",), f"{head} {end * 30}")]) for end in ("alpha ", "gamma "))
+    assert (a != b).any()
+
+
+@pytest.mark.parametrize("tag", sorted(html_text.CLOSED))
+def test_elements_without_content(tag):
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts(f"<p>one</p><{tag} class='x'/><p>two</p>") == ["one", "two"]
+    assert texts(f"<p>one</p><{tag}><p>two</p>") == ["one", "two"]
+    assert texts(f"<p>one</p><{tag}><p>two</p><{tag}>no</{tag}><p>three</p>") == ["one", "two", "three"]
+    assert texts(f"<p>one</p><{tag}>no<{tag}>no</{tag}>no</{tag}><p>two</p>") == ["one", "two"]
+    assert texts(f"<p>one</p><{tag}/><script>'<{tag}>'</script><p>two</p><script>'</{tag}>'") == ["one", "two"]
