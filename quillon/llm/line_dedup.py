@@ -6,18 +6,23 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near import similar_components
-from .scratch import drop, release, table
-from .shingles import CirculantMinHash, bands, char_shingles, mixed
+from .near import PACKED, pack, similar_components, slots_of
+from .scratch import drop, release, table, unused
+from .shingles import MinHash, bands, char_shingles, mixed
 
-#: Characters of a shingle; two lines at the threshold of 0.8 miss all of 20 bands of 5 with a chance of 4e-4, at 0.85 8e-6.
-SHINGLE, COORDINATES, ROWS = 5, 100, 5
-SALTS = 64
+#: Characters of a shingle; two lines at the threshold of 0.8 miss all of 24 bands of 6 with a chance of 7e-4, at 0.85 1e-5.
+SHINGLE, COORDINATES, ROWS = 5, 144, 6
+#: Lines are not verified in the second round if their signatures agree in less than 0.55, seven deviations below 0.8.
+SLACK = 0.25
+#: Characters of lines that are signed together.
+TOGETHER = 1 << 18
 WHITE = re.compile(r"[\x20\x09\x0B-\x0D]+")
 
 
@@ -27,65 +32,102 @@ def normalised(line: str) -> str:
     return line.strip(" ")
 
 
-def _id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
-
-
-def _lines(text: str | None, least: int) -> list[tuple[int, str]]:
+def lines_of(text: str | None, least: int) -> list[tuple[int, str]]:
     """Numbers and normalised texts of the lines of ``least`` characters or more."""
     return [(i, x) for i, x in enumerate(map(normalised, (text or "").split("\n"))) if len(x) >= least]
 
 
-def signed_places(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, line_no, id of every line of ``least`` characters or more, and bands at a line's first place in a task
-    (now and then at a later one too); elsewhere bands are empty."""
+def digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines are equal if these 96 bits are: id, by which candidates are found, and chk."""
+    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for x in lines]), np.dtype([("id", "<i8"), ("chk", "<u4"), ("rest", "<u4")]))
+    return raw["id"].astype(np.int64), raw["chk"].astype(np.int64)
+
+
+def places_of(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, line_no, id, chk of every line of ``least`` characters or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash, seen = CirculantMinHash(COORDINATES, bits=18), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                doc, no, ids, first, fresh = [], [], [], [], []
-                for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for n, line in _lines(text, least):
-                        i = _id(line)
-                        doc.append(d)
-                        no.append(n)
-                        ids.append(i)
-                        first.append(i not in seen)
-                        if first[-1]:
-                            seen.add(i)
-                            fresh.append(line)
-                if len(seen) > 500_000:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own = [lines_of(t, least) for t in part.column(1).to_pylist()]
+                doc = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
+                ids, chk = digests([x for lines in own for _, x in lines])
+                no = np.array([n for lines in own for n, _ in lines], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, no, ids, chk)], ["doc_id", "line_no", "id", "chk"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, id long, chk long")
+
+
+def packed_lines(docs: DataFrame, least: int) -> DataFrame:
+    """The buckets of all lines, as ``near`` packs them."""
+    slots = slots_of(docs)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        minhash, seen = MinHash(COORDINATES), set()
+        fresh, size = [], 0
+
+        def keys() -> tuple[np.ndarray, np.ndarray]:
+            return digests(fresh)[0], bands(minhash.of(*char_shingles(fresh, SHINGLE), len(fresh)), ROWS)
+
+        for batch in batches:
+            for text in batch.column(0):
+                for _, line in lines_of(text.as_py(), least):
+                    mark = hash(line)
+                    if mark not in seen:  # equal lines are signed once in a task, most of the time
+                        seen.add(mark)
+                        fresh.append(line)
+                        size += len(line)
+                    if size > TOGETHER:
+                        yield keys()
+                        fresh, size = [], 0
+                if len(seen) > 1_000_000:
                     seen.clear()
-                keys = bands(minhash.of(*char_shingles(fresh, SHINGLE), len(fresh)), ROWS)
-                new = np.array(first, bool)
-                offsets = np.concatenate([[0], np.cumsum(np.where(new, keys.shape[1], 0))]).astype(np.int32)
-                cols = [pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", "id", "bands"])
+        if fresh:
+            yield keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pack(signed(batches), slots, TaskContext.get().partitionId())
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, id long, bands array<long>")
+    return docs.select("text").mapInArrow(run, PACKED)
 
 
-def signed_lines(lines: DataFrame) -> DataFrame:
-    """id, line with the line's bands and sig."""
+def texts_at(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """id, sig, content: the texts of lines (id, chk, doc_id, line_no), which are read again from their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = CirculantMinHash(COORDINATES, bits=18)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                own = part.column(1).to_pylist()
-                signatures = minhash.of(*char_shingles(own, SHINGLE), len(own))
-                cols = [pa.array(list(bands(signatures, ROWS)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in signatures.astype(np.uint8)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], ["id", "line", "bands", "sig"])
+        minhash = MinHash(COORDINATES)
 
-    return lines.select("id", "line").mapInArrow(run, "id long, line string, bands array<long>, sig binary")
+        def rows(found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+            lines = [x for _, _, x in found]
+            ids, chk = digests(lines)
+            # A repeated document id may stand for another text, which is not the one that is asked for.
+            right = (ids == np.array([i for i, _, _ in found], np.int64)) & (chk == np.array([c for _, c, _ in found], np.int64))
+            sig = minhash.of(*char_shingles(lines, SHINGLE), len(lines)).astype(np.uint8)
+            cols = [pa.array(ids), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(lines, pa.string())]
+            return pa.RecordBatch.from_arrays(cols, ["id", "sig", "content"]).filter(pa.array(right))
+
+        for batch in batches:
+            found, size = [], 0
+            for text, own in zip(batch.column(0), batch.column(1), strict=True):
+                lines = (text.as_py() or "").split("\n")
+                for x in own.as_py():
+                    if x["line_no"] < len(lines):
+                        found.append((x["id"], x["chk"], normalised(lines[x["line_no"]])))
+                        size += len(found[-1][2])
+                if size > TOGETHER:
+                    yield rows(found)
+                    found, size = [], 0
+            if found:
+                yield rows(found)
+
+    wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id", "chk")).alias("own"))
+    return docs.join(wanted, "doc_id").select("text", "own").mapInArrow(run, "id long, sig binary, content string").dropDuplicates(["id"])
 
 
 def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose lines (id, line) have 100 * intersection >= percent * union of their shingles."""
-    joined = pairs.join(lines.selectExpr("id as b", "line as lb"), "b").join(lines.selectExpr("id as a", "line as la"), "a").select("a", "b", "la", "lb")
+    """The pairs (a, b) whose lines (id, content) have 100 * intersection >= percent * union of their shingles."""
+    joined = pairs.join(lines.selectExpr("id as b", "content as lb"), "b").join(lines.selectExpr("id as a", "content as la"), "a").select("a", "b", "la", "lb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,52 +154,66 @@ def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFram
 def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
     """doc_id, drops: the numbers of the lines (from 0) that go, for the documents that lose some.
 
-    Lines are linked where 100 * intersection >= percent * union of their 5-character shingles, white space normalised. Of a
-    component the occurrence with the smallest (doc_id, line number) stays.
+    Lines are linked where 100 * intersection >= percent * union of their 5-character shingles, white space normalised.
+    Of a component the occurrence with the smallest (doc_id, line number) stays; of two rows with that id and different
+    texts, the line of that number stays in both. Rows with a null id do not count. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
-    lines = table(signed_places(docs, least), "lines")
-    places, signed = table(lines.select("doc_id", "line_no", "id"), "places"), lines.where("size(bands) > 0").select("id", "bands")
-
-    def lines_of(ids: DataFrame) -> DataFrame:
-        # The buckets are written by now. The bands of the few lines that share one are made again with their text,
-        # so those of all lines need not lie on disk any longer.
-        drop(lines)
-        release(docs.sparkSession)
-        # One place of each line: its text is read again there.
-        at = places.join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("x")).select("id", "x.doc_id", "x.line_no")
-        wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("own"))
-        held = docs.join(wanted, "doc_id").select(F.explode("own").alias("x"), F.split("text", "\n").alias("all"))
-        line = F.trim(F.regexp_replace(F.get("all", F.col("x.line_no")), r"[\x20\x09\x0B-\x0D]+", " "))
-        return signed_lines(held.select(F.col("x.id").alias("id"), line.alias("line")).dropDuplicates(["id"]))
-
-    similar = similar_components(signed, lines_of, percent, slack=0.25, verify=verified_lines)
-    salted = places.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    heads = salted.groupBy("id", "salt").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = heads.groupBy("id").agg(F.min("first").alias("first"), F.sum("n").alias("n")).join(similar, "id", "left")
-    repeated = table(repeated.where("n > 1 or label is not null").select("id", "first", F.coalesce("label", "id").alias("label")), "repeated")
-    stays = repeated.groupBy("label").agg(F.min("first").alias("stays"))
-    # A line has SALTS heads at most, so a line that stands everywhere is dealt to as many tasks.
-    found = repeated.join(stays, "label").select("id", "stays").join(heads.select("id", "salt"), "id")
-    gone = salted.join(found, ["id", "salt"]).where(~((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no"))))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("drops"))
-
-
-def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
-    """``docs`` with its text less the lines that go, and n_lines, n_dropped.
+    places = table(places_of(docs, least), "places")
+    classes = table(places.groupBy("id", "chk").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    release(spark)
+    candidates: list[DataFrame] = []
+
+    def contents_of(ids: DataFrame) -> DataFrame:
+        # Of different lines with one id, about as likely as a wrong bit on disk, one takes part in links.
+        at = classes.join(ids, "id").groupBy("id").agg(F.min(F.struct("chk", "first")).alias("x")).select("id", "x.chk", "x.first.doc_id", "x.first.line_no")
+        candidates.append(table(at, "candidates"))
+        return texts_at(docs, candidates[0])
+
+    similar = similar_components(packed_lines(docs, least), contents_of, lambda pairs, lines: verified_lines(pairs, lines, percent), lambda lines: char_shingles(lines, SHINGLE), percent, SLACK)
+    release(spark)
+    linked = similar.join(candidates[0].select("id", "chk"), "id")
+    repeated = classes.join(linked, ["id", "chk"], "left").where("n > 1 or label is not null")
+    repeated = table(repeated.select("id", "chk", "first", F.coalesce("label", "id").alias("group"), F.when(F.col("label").isNull(), F.col("chk")).otherwise(-1).alias("kind")), "repeated")
+    drop(classes, candidates[0])
+    # Minima are combined before they are shuffled; of the joins with written tables adaptive execution splits hot keys.
+    stays = table(repeated.groupBy("group", "kind").agg(F.min("first").alias("stays")), "stays")
+    found = table(repeated.join(stays, ["group", "kind"]).select("id", "chk", "stays"), "found")
+    gone = places.join(found, ["id", "chk"]).where(~((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no"))))
+    drops = table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("drops")), "drops")
+    drop(places, repeated, stays, found)
+    release(spark)
+    return drops
+
+
+def _without(texts: pd.Series, drops: pd.Series) -> pd.Series:
+    def left(text: str | None, own: np.ndarray | None) -> str | None:
+        if text is None or own is None:
+            return None
+        gone = set(own.tolist())
+        return "\n".join([x for i, x in enumerate(text.split("\n")) if i not in gone])
+
+    return pd.Series([left(t, d) for t, d in zip(texts, drops, strict=True)], dtype=object)
+
+
+def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, counts: bool = True) -> DataFrame:
+    """``docs`` with its text less the lines that go, and with ``counts`` n_lines, n_dropped.
 
     A document that loses no line keeps its text byte for byte. Lines shorter than ``least`` characters, by default the
-    empty ones, always stay; a line of five characters or fewer is similar to equal ones only. Null texts stay null, with counts 0; texts that lose all lines become empty.
-    Rows with a null id stay as they are and do not count; repeated rows (same id and text) are treated alike. Other
-    columns stay, but for ones named n_lines or n_dropped, which are replaced. Rows of an empty table: none.
+    empty ones, always stay; a line of five characters or fewer is similar to equal ones only. Texts and lines of any
+    length are read whole. Null texts stay null, with counts 0; texts that lose all lines become empty. Rows with a null
+    id stay as they are and do not count; repeated rows (same id and text) are treated alike. Of equal lines the
+    smallest (doc_id, line number) stays. Other columns stay, whatever their names, but n_lines and n_dropped are
+    replaced where they are asked for. An empty table gives an empty result.
     """
-    drops = dropped_lines(docs, percent, least).withColumnsRenamed({"doc_id": "__id", "drops": "__drops"})
-    joined = docs.join(drops, docs["doc_id"].cast("long") == drops["__id"], "left")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drops"), i)), "\n")
-    return (
-        joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.when(F.col("text").isNull() | F.col("__drops").isNull(), 0).otherwise(F.size("__drops")).cast("long"))
-        .withColumn("text", F.when(F.col("__drops").isNull(), F.col("text")).otherwise(left))
-        .drop("__id", "__drops")
-    )
+    own, gone = unused(docs.columns, "own_id"), unused(docs.columns, "gone")
+    drops = dropped_lines(docs, percent, least).withColumnsRenamed({"doc_id": own, "drops": gone})
+    joined = docs.join(drops, docs["doc_id"].cast("long") == drops[own], "left")
+    out = joined
+    if counts:
+        out = out.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
+        out = out.withColumn("n_dropped", F.when(F.col("text").isNull() | F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+    # Texts that lose nothing don't leave the JVM.
+    left = F.pandas_udf(_without, "string")(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone))
+    return out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).drop(own, gone)

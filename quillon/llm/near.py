@@ -1,9 +1,12 @@
 """Links between similar sets, and the components that they make, at any size of bucket or component.
 
-Candidates share a bucket (a band of their signatures). A first round verifies every member of a bucket against the
-bucket's best connected member, which is linear in the members and joins most copies. What it leaves, members of one
-bucket in different components, is compared pair by pair through the stored signatures, a hot bucket in blocks; the
-pairs whose signatures agree enough are verified on their full sets. No bucket and no component is held in one place.
+Candidates share a bucket (a band of their signatures). Each task packs its pairs of bucket and id into one binary row
+for each slot of the buckets' range, with two members of a bucket at most: the others are known to share it, and link
+to the smallest id of that task. So a bucket that holds a third of all rows is dealt out evenly, and one shuffle of 16
+bytes a pair finds all candidates. Every member is verified against the smallest id of its bucket, which is linear in
+the members and joins most copies. Members of one bucket that are still in different components are then compared with
+each other, a hot bucket in blocks, and verified on their full sets inside the block: of a block only as many links
+come out as it takes to connect what it has found, never all its pairs.
 """
 
 from __future__ import annotations
@@ -12,148 +15,250 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop, release, table
 
-#: Members of a bucket that are compared in one block.
-BLOCK = 1024
+#: Members of each side of a block.
+BLOCK = 512
+#: Pairs that a task holds before it hands them on.
+HELD = 2_000_000
+#: Slots of the buckets' range for each shuffle partition.
+SLOTS = 8
+PACKED = "slot int, direct boolean, data binary"
+#: Gives the hashed elements of some contents, and the one that each is of; elements may repeat.
+Elements = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node of the edges (a, b): the smallest node that can be reached.
 
-    Large-star and small-star steps in turn, each a grouped minimum and a join, until the edges no longer change.
+    Large-star and small-star steps in turn until the edges no longer change, each a grouped minimum, which is combined
+    before it is shuffled, and a join of two written tables, of which adaptive execution splits a hub's edges.
     """
     edges = table(edges.selectExpr("least(a, b) as lo", "greatest(a, b) as hi").where("lo < hi").distinct(), "edges")
     before = None
     while True:
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select("hi", "lo"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
+        low = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = table(both.join(low, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct(), "edges")
         # Each node now looks at its smaller neighbours only.
         down = large.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("m").alias("lo"), F.explode(F.array("u", "v")).alias("hi")).where("lo < hi").distinct()
-        new = table(small, "edges")
-        drop(edges)
-        edges = new
+        least = table(down.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = table(down.join(least, "u").select(F.col("m").alias("lo"), F.explode(F.array("u", "v")).alias("hi")).where("lo < hi").distinct(), "edges")
+        drop(edges, low, large, least)
+        edges = small
         now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 40)))).first()
         if now == before:
             return edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("label")).union(edges.select("lo", "lo").distinct())
         before = now
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (id, elements) have 100 * intersection >= percent * union."""
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
-    both = joined.select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("n"), (F.size("ea") + F.size("eb")).alias("total"))
-    return both.where((100 * F.col("n") >= percent * (F.col("total") - F.col("n")))).select("a", "b")
+def slots_of(df: DataFrame) -> int:
+    """Slots of the buckets' range; a reading task holds one at a time."""
+    return SLOTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def alike(blocks: DataFrame, least: float, sure: float) -> DataFrame:
-    """Pairs (a, b) of a block, of different components, whose signatures agree in ``least`` of their bytes or more.
+def pack(signed: Iterator[tuple[np.ndarray, np.ndarray]], slots: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED from (ids, a row of buckets for each): the pairs of each slot, and direct ones with their link.
 
-    ``blocks`` has block, bucket, part, id, label, sig, bands. A pair belongs to the first bucket that both share, and
-    is looked at nowhere else; of a hot bucket's block of two parts only pairs across the parts count. Agreements of
-    ``sure`` or more first join members, so of close copies only as many pairs come out as it takes to connect them.
+    Rows of one id have the same buckets. ``seed`` deals the direct rows out.
     """
+    ids, keys, held = [], [], 0
 
-    def pairs_of(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        if len(rows) < 2:
-            return [], []
-        bucket = rows[0][0]
-        part, ids, labels = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+    def rows() -> pa.RecordBatch:
+        nonlocal seed
+        own, first = np.unique(np.concatenate(ids), return_index=True)
+        bands = np.concatenate(keys)[first]
+        bucket, node = bands.view(np.uint64).ravel(), np.repeat(own, bands.shape[1])
+        order = np.argsort(bucket, kind="stable")  # the ids ascend in each bucket
+        bucket, node = bucket[order], node[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        begin = np.repeat(starts, np.diff(np.r_[starts, len(bucket)]))
+        more = np.arange(len(bucket)) - begin >= 2
+        slot, direct, data = [], [], []
+        if more.any():
+            found = [x[more] for x in (bucket, node, node[begin])]
+            for at in range(0, len(found[0]), 65_536):
+                slot.append((seed * 7919 + at) % slots)
+                data.append(b"".join(x[at : at + 65_536].tobytes() for x in found))
+                direct.append(True)
+        bucket, node = bucket[~more], node[~more]
+        place = ((bucket >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)], strict=True):
+            slot.append(int(place[a]))
+            data.append(bucket[a:b].tobytes() + node[a:b].tobytes())
+            direct.append(False)
+        seed += 1
+        return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(direct, pa.bool_()), pa.array(data, pa.binary())], ["slot", "direct", "data"])
+
+    for i, k in signed:
+        if len(i) and k.shape[1]:
+            ids.append(i)
+            keys.append(k)
+            held += k.size
+        if held >= HELD:
+            yield rows()
+            ids, keys, held = [], [], 0
+    if held:
+        yield rows()
+
+
+def shared_buckets(packed: DataFrame) -> DataFrame:
+    """bucket, id, hub of the members of buckets with two ids or more; hubs are members, and lead to the smallest id."""
+
+    def members(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [np.frombuffer(x, np.int64).reshape(2, -1) for x in data]
+        bucket, node = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.lexsort((node, bucket))
+        bucket, node = bucket[order], node[order]
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])]
+        bucket, node = bucket[new], node[new]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        sizes = np.diff(np.r_[starts, len(bucket)])
+        keep, hub = np.repeat(sizes > 1, sizes), np.repeat(node[starts], sizes)
+        return bucket[keep], node[keep], hub[keep]
+
+    def batch_of(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["bucket", "id", "hub"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+        for batch in batches:
+            for slot, direct, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if direct:
+                    yield batch_of(tuple(np.frombuffer(data, np.int64).reshape(3, -1)))
+                    continue
+                if slot != current:
+                    if held:
+                        yield batch_of(members(held))
+                    held, current = [], slot
+                held.append(data)
+        if held:
+            yield batch_of(members(held))
+
+    return packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "bucket long, id long, hub long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted arrays of distinct elements have 100 * intersection >= percent * union."""
+    small, large = sorted((len(x), len(y)))
+    if 100 * small < percent * large:
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    n = int((both[1:] == both[:-1]).sum())
+    return 100 * n >= percent * (len(both) - n)
+
+
+def alike(blocks: DataFrame, percent: int, least: float, elements: Elements) -> DataFrame:
+    """Pairs (a, b) of labels whose members are linked, as many as connect what a block has found.
+
+    ``blocks`` has block, side, across, id, label, sig, content. Of members with different labels (and sides, where
+    across), those whose signatures agree in ``least`` of their bytes or more are verified on their full sets.
+    """
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows = list({r[2]: r for r in rows}.values())
+        across, side = rows[0][1], np.array([r[0] for r in rows])
+        labels, comp = np.unique(np.array([r[3] for r in rows], np.int64), return_inverse=True)
+        if len(labels) < 2 or across and len(set(side.tolist())) < 2:
+            return []
         sig = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(len(rows), -1)
-        keys = np.stack([r[5] for r in rows])
-        across = len(set(part.tolist())) > 1
-        comp, a, b, late = np.arange(len(ids)), [], [], []
-        at = int(np.flatnonzero(keys[0] == bucket)[0])  # the bucket's place is the same in all rows
-        for i in range(1, len(ids)):
-            other = np.flatnonzero((labels[:i] != labels[i]) & (ids[:i] != ids[i]) & ((part[:i] != part[i]) | (not across)))
-            if at and len(other):
-                other = other[~(keys[other, :at] == keys[i, :at]).any(1)]
+        sets: dict[int, np.ndarray] = {}
+        out, root = [], np.arange(len(labels))
+
+        def elements_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.unique(elements([rows[i][5]])[0])
+            return sets[i]
+
+        for i in range(1, len(rows)):
+            own = root[comp]
+            other = np.flatnonzero((own[:i] != own[i]) & ((side[:i] != side[i]) | (not across)))
             if not len(other):
                 continue
             agree = (sig[other] == sig[i]).mean(1)
             near = np.flatnonzero(agree >= least)
             for k in near[np.argsort(-agree[near], kind="stable")].tolist():
                 j = int(other[k])
-                if agree[k] < sure:
-                    late.append((i, j))
-                elif comp[i] != comp[j]:
-                    comp[comp == comp[i]] = comp[j]
-                    a.append(j)
-                    b.append(i)
-        for i, j in late:
-            if comp[i] != comp[j]:
-                a.append(j)
-                b.append(i)
-        return ids[a].tolist(), ids[b].tolist()
+                x, y = int(root[comp[i]]), int(root[comp[j]])
+                if x != y and similar(elements_of(i), elements_of(j), percent):
+                    out.append((int(labels[comp[i]]), int(labels[comp[j]])))
+                    root[root == x] = y
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        current, out = None, ([], [])
+        current, out = None, []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        def close() -> None:
-            for to, got in zip(out, pairs_of(sorted(held, key=lambda r: r[2])), strict=True):
-                to.extend(got)
+        def contents(column: pa.Array) -> list:
+            lists = pa.types.is_list(column.type)
+            return [x.values.to_numpy(zero_copy_only=False) for x in column] if lists else column.to_pylist()
 
         for batch in batches:
-            keys = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)
-            for row in zip(*(c.to_pylist() for c in batch.columns[:-1]), keys, strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns[:-1]), contents(batch.column(6)), strict=True):
                 if row[0] != current:
-                    close()
+                    out += links(held) if held else []
                     held, current = [], row[0]
                 held.append(row[1:])
-            if len(out[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-                out = ([], [])
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+            if len(out) > 20_000:
+                yield batch_of()
+                out = []
+        out += links(held) if held else []
+        yield batch_of()
 
-    dealt = blocks.select("block", "bucket", "part", "id", "label", "sig", "bands").repartition("block").sortWithinPartitions("block")
+    dealt = blocks.select("block", "side", "across", "id", "label", "sig", "content").repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "a long, b long").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 
 
-def similar_components(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, slack: float, verify: Callable[[DataFrame, DataFrame, int], DataFrame] = verified) -> DataFrame:
+def meetings(member: DataFrame, found: DataFrame) -> DataFrame:
+    """block, side, across, id, label: the members of a bucket that are not in its largest component meet each other
+    and all the rest, in blocks of BLOCK members a side. Two members alone have met in the first round."""
+    labelled = table(member.select("bucket", "id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "labelled")
+    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1 and all > 2")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = table(mixed.select("bucket", F.col("most.label").alias("main"), parts(F.col("all") - F.col("most.n")).alias("apart"), parts(F.col("most.n")).alias("rest")), "mixed")
+    rows = labelled.join(mixed, "bucket").withColumn("other", F.col("label") != F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("apart")).otherwise(F.col("rest"))).cast("int"))
+    apart = F.sequence(F.lit(0), F.col("apart") - 1)
+    met = lambda x, y, across, side: F.struct(F.xxhash64("bucket", x, y, across).alias("block"), side.alias("side"), (across | (x != y)).alias("across"))
+    own, yes, no = F.col("own"), F.lit(True), F.lit(False)
+    among = F.transform(apart, lambda q: met(F.least(own, q), F.greatest(own, q), no, own))
+    beside = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda q: met(own, q, yes, F.lit(0)))
+    of_rest = F.transform(apart, lambda q: met(q, own, yes, F.lit(1)))
+    return rows.select("id", "label", F.explode(F.when(F.col("other"), F.concat(among, beside)).otherwise(of_rest)).alias("m")).select("m.*", "id", "label")
+
+
+def similar_components(packed: DataFrame, contents_of: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], elements: Elements, percent: int, slack: float) -> DataFrame:
     """id, label of the sets in a component of two sets or more; label is the smallest id.
 
-    ``signed``: id, bands array<long>, sig binary (a byte of each coordinate); rows of one id are equal. ``sets_of``
-    gives what ``verify`` needs for the ids of a table, by default id, elements array<long>; if it gives a sig too, a
-    longer one, that is compared instead, and if it gives sig and bands, ``signed`` needs no sig and is read no more
-    once ``sets_of`` is called. Pairs are verified where their signatures agree in ``percent`` / 100 -
-    ``slack`` of the bytes, several deviations below what the threshold makes likely.
+    ``packed``: rows of PACKED. ``contents_of`` gives id, sig (a byte of each coordinate), content for the ids of a table,
+    one row for each id that it finds; ``verify`` the pairs (a, b) that are linked on their full contents. Of what the
+    first round leaves, pairs whose signatures agree in less than ``percent`` / 100 - ``slack`` of the bytes are not
+    verified; slack is six deviations or more of what the threshold makes likely.
     """
-    # One shuffle by bucket serves all steps: buckets of one id go, and the ids of the others count once.
-    whole = Window.partitionBy("bucket")
-    member = signed.select("id", F.explode("bands").alias("bucket"))
-    member = member.withColumn("lo", F.min("id").over(whole)).withColumn("hi", F.max("id").over(whole)).where("lo < hi").select("bucket", "id").distinct()
-    member = table(member.withColumn("n", F.count(F.lit(1)).over(whole)), "members")
-    sets = table(sets_of(member.select("id").distinct()), "sets")
-    release(signed.sparkSession)
-
-    degree = member.groupBy("id").agg(F.sum("n").alias("degree"))
-    best = member.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("best"))
-    pairs = member.join(best.select("bucket", (-F.col("best.id")).alias("hub")), "bucket").where("id <> hub").selectExpr("least(id, hub) as a", "greatest(id, hub) as b").distinct()
-    links = table(verify(pairs, sets, percent), "links")
-    release(signed.sparkSession)
+    spark = packed.sparkSession
+    member = table(shared_buckets(packed), "members")
+    release(spark)
+    contents = table(contents_of(member.select("id").distinct()), "contents")
+    pairs = member.where("id <> hub").selectExpr("least(id, hub) as a", "greatest(id, hub) as b").distinct()
+    links = table(verify(pairs, contents), "links")
     found = table(components(links), "components")
-    release(signed.sparkSession)
-
-    member = table(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label")), "members")
-    mixed = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    left = member.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # Parts p and q of a bucket meet in one block; a part meets itself in a block of its own.
-    block = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("block")
-    if "bands" in sets.columns:
-        marks = sets.select("id", "sig", "bands")
-    else:
-        marks = signed.dropDuplicates(["id"]).select("id", "sig", "bands")
-        if "sig" in sets.columns:
-            marks = marks.drop("sig").join(sets.select("id", "sig"), "id")
-    blocks = left.select(block, "bucket", F.col("own").alias("part"), "id", "label").join(marks, "id")
-    more = table(verify(alike(blocks, percent / 100 - slack, percent / 100 + slack), sets, percent), "links")
-    return components(links.union(more)).select(F.col("node").alias("id"), "label")
+    drop(links)
+    release(spark)
+    blocks = meetings(member, found).join(contents.select("id", "sig", "content"), "id")
+    more = table(alike(blocks, percent, percent / 100 - slack, elements), "links")
+    drop(member, contents)
+    if more.isEmpty():
+        return found.select(F.col("node").alias("id"), "label")
+    merged = table(components(more), "components")
+    label = found.join(merged.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    alone = merged.join(found, "node", "left_anti").select("node", "label")
+    return table(label.union(alone), "components").select(F.col("node").alias("id"), "label")

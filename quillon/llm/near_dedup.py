@@ -6,88 +6,143 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near import similar_components
-from .scratch import table
+from .near import PACKED, pack, similar_components, slots_of
+from .scratch import drop, release, table
 from .shingles import CirculantMinHash, WordHashes, bands, digest, word_shingles
 
 #: Two texts at the threshold of 0.75 miss all of 48 bands of 5 with a chance of 2e-6.
 COORDINATES, ROWS = 240, 5
-#: Coordinates of the longer signature of candidates; at the threshold its share of agreements has a deviation of 0.014.
-SHARP, SLACK = 1024, 0.06
+#: Coordinates of the longer signature of candidates. At the threshold its share of agreements has a deviation of 0.0135;
+#: the second round verifies pairs from six deviations below on.
+SHARP, SLACK = 1024, 0.08
+#: Texts whose shingles are signed together.
+TOGETHER = 128
 SALTS = 64
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, key, bands, sig of every row; key is null and bands are empty where the set is empty."""
+def shingled(docs: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, n_shingles, id, key of every row (doc_id, text): a digest of the set, and its first 64 bits; null where
+    the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, minhash = WordHashes(), CirculantMinHash(COORDINATES)
+        words = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                sets = [word_shingles(t, words, k) for t in part.column(1).to_pylist()]
-                signatures = minhash.signatures(sets)
-                keys = bands(signatures, ROWS)
-                low = signatures.astype(np.uint8)
-                cols = [
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([b if len(s) else b[:0] for b, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
-                    pa.array([b.tobytes() for b in low], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n_shingles", "key", "bands", "sig"])
+            sizes, keys = [], []
+            for text in batch.column(1):
+                own = word_shingles(text.as_py(), words, k)
+                sizes.append(len(own))
+                keys.append(digest(own) if len(own) else None)
+            ids = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in keys]
+            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "id", "key"])
 
-    source = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    return source.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, id long, key binary")
+
+
+def packed_sets(docs: DataFrame, k: int = 5) -> DataFrame:
+    """The buckets of the sets of all rows (doc_id, text), as ``near`` packs them. Equal sets have one id."""
+    slots = slots_of(docs)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words, minhash, seen = WordHashes(), CirculantMinHash(COORDINATES), set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                sets = {}
+                for text in batch.column(0).slice(at, TOGETHER):
+                    own = word_shingles(text.as_py(), words, k)
+                    if len(own) and (key := digest(own)[:8]) not in seen:
+                        seen.add(key)
+                        sets[key] = own
+                if sets:
+                    yield np.frombuffer(b"".join(sets), np.int64), bands(minhash.signatures(list(sets.values())), ROWS)
+            if len(seen) > 1_000_000:
+                seen.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pack(signed(batches), slots, TaskContext.get().partitionId())
+
+    return docs.select("text").mapInArrow(run, PACKED)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
+    """id, sig, content: the sets (their 64-bit elements, in order) of the documents (doc_id, id, key) that are wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, minhash = WordHashes(), CirculantMinHash(SHARP, seed=23)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                sets = [word_shingles(t, words, k) for t in part.column(0).to_pylist()]
+                # A repeated document id may stand for another text, which is not the one that is asked for.
+                right = [digest(s) == key for s, key in zip(sets, part.column(2).to_pylist(), strict=True)]
+                sets, own = [s for s, ok in zip(sets, right, strict=True) if ok], part.column(1).filter(pa.array(right))
+                sig = minhash.signatures(sets).astype(np.uint8)
+                cols = [own, pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "sig", "content"])
+
+    return docs.join(wanted, "doc_id").select("text", "id", "key").mapInArrow(run, "id long, sig binary, content array<long>").dropDuplicates(["id"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets (id, content) have 100 * intersection >= percent * union."""
+    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("content").alias("eb")), "b").join(sets.select(F.col("id").alias("a"), F.col("content").alias("ea")), "a")
+    both = joined.select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("n"), (F.size("ea") + F.size("eb")).alias("total"))
+    return both.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
+
+
+def _elements(contents: list) -> tuple[np.ndarray, np.ndarray]:
+    sets = [np.asarray(c, np.int64).view(np.uint64) for c in contents]
+    return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * intersection >= percent * union of their sets of k-word shingles; component_id is
-    the smallest doc_id that links reach. Texts without words (null, empty, white space) have an empty set and stay
-    alone, and so do rows with a null id, whose component_id is null and which are kept. Repeated rows are all returned; all copies of the kept one have kept = true. Other columns are ignored; an
-    empty table gives an empty result.
+    the smallest doc_id that links reach. Texts of any length are read whole; texts without words (null, empty, white
+    space) have an empty set and stay alone, and so do rows with a null id, whose component_id is null and which are
+    kept. Repeated rows are all returned; all copies of the kept one have kept = true. Of rows with one id and
+    different texts each has the component of its own text. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    rows = table(signed(docs, id_col, text_col, k), "signed")
-    first = table(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x")).select("key", F.col("x.doc_id").alias("id"), "x.bands", "x.sig"), "classes")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        source = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text")
-        wanted = ids.join(first.select("id", "key"), "id")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, minhash = WordHashes(), CirculantMinHash(SHARP, seed=23)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    sets = [word_shingles(t, words, k) for t in part.column(1).to_pylist()]
-                    own = [digest(s) == key for s, key in zip(sets, part.column(2).to_pylist(), strict=True)]
-                    ids = [i for i, ok in zip(part.column(0).to_pylist(), own, strict=True) if ok]
-                    sets = [s for s, ok in zip(sets, own, strict=True) if ok]
-                    sig = minhash.signatures(sets).astype(np.uint8)
-                    cols = [pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, ["id", "elements", "sig"])
-
-        return source.join(wanted, "id").select("id", "text", "key").mapInArrow(run, "id long, elements array<long>, sig binary").dropDuplicates(["id"])
-
-    found = similar_components(first.select("id", "bands", "sig"), sets_of, percent, SLACK)
-    labelled = first.select("key", "id").join(found, "id", "left").select("key", F.coalesce("label", "id").alias("component_id"))
-    # A class of equal sets has SALTS heads at most, so no join has a hot key.
-    salted = rows.select("doc_id", "n_shingles", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-    heads = salted.where("key is not null and doc_id is not null").select("key", "salt").distinct().join(labelled, "key")
-    full = salted.where("key is not null and doc_id is not null").join(heads, ["key", "salt"]).select("doc_id", "n_shingles", "component_id")
-    alone = salted.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    spark = docs.sparkSession
+    source = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
+    rows = table(shingled(source, k), "shingled")
+    there = rows.where("key is not null and doc_id is not null")
+    classes = table(there.groupBy("id", "key").agg(F.min("doc_id").alias("doc_id")), "classes")
+    release(spark)
+    candidates: list[DataFrame] = []
+
+    def contents_of(ids: DataFrame) -> DataFrame:
+        # Of different sets with one id, about as likely as a wrong bit on disk, one takes part in links.
+        at = classes.join(ids, "id").groupBy("id").agg(F.min(F.struct("key", "doc_id")).alias("x")).select("id", "x.key", "x.doc_id")
+        candidates.append(table(at, "candidates"))
+        return sets_of(source.where("doc_id is not null"), candidates[0], k)
+
+    found = similar_components(packed_sets(source.where("doc_id is not null"), k), contents_of, lambda pairs, sets: verified(pairs, sets, percent), _elements, percent, SLACK)
+    linked = found.join(candidates[0].select("id", "key"), "id")
+    nodes = table(classes.join(linked, ["id", "key"], "left").select("key", "doc_id", "label"), "nodes")
+    drop(candidates[0], classes)
+    least = table(nodes.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+    labelled = nodes.join(least, "label").select("key", "component_id").union(nodes.where("label is null").select("key", F.col("doc_id").alias("component_id")))
+    labelled = table(labelled, "labelled")
+    drop(nodes, least)
+    # Of joins with written tables adaptive execution splits hot keys; a class of equal sets has SALTS heads at most.
+    salted = there.select("doc_id", "n_shingles", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    heads = salted.select("key", "salt").distinct().join(labelled, "key")
+    full = salted.join(heads, ["key", "salt"]).select("doc_id", "n_shingles", "component_id")
+    alone = rows.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` less its near-duplicates: of each component the document with the smallest id stays, once.
 
-    Rows with a null id stay. Of repeated rows of one id one stays.
+    Rows with a null id stay. Of repeated rows of one id one stays. Texts without words stay. All columns stay, whatever
+    their names; an empty table gives an empty result.
     """
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])

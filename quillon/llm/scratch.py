@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Where it is unset (tests on one machine) a folder is made and set, so all tables of a session share it.
+    Where it is unset and all runs in one process on one machine (tests), a folder is made and set, so that all tables
+    of a session share it. On a cluster executors could not read such a folder: there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -23,17 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of shuffle files of what was written, which are of no more use: Spark deletes them once the driver has."""
+    """Let go of shuffle files of what is written and read no more.
+
+    Spark deletes them once the driver has collected their plans. Results don't depend on it; without it a long chain of
+    steps keeps the shuffles of all of them on disk until memory runs short.
+    """
     gc.collect()
     spark._jvm.System.gc()
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: later failures restart from these files."""
+    """Write ``df`` as Parquet in the shared folder and read it back: later failures restart from these files.
+
+    ``drop`` deletes it once no later step reads it; what a result still reads goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,5 +60,13 @@ def drop(*frames: DataFrame) -> None:
         spark = df.sparkSession
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if "/quillon/" in path:
-                target = spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+                files, target = _file_system(spark, path)
+                files.delete(target, True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with marks before it until no column has it (Spark's names know no case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -1,12 +1,10 @@
-"""Sets of hashed shingles, and circulant MinHash signatures of them."""
+"""Sets of hashed shingles, and MinHash signatures of them: circulant ones and plain ones."""
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (xor-shift and multiply steps)."""
@@ -107,6 +105,36 @@ class CirculantMinHash:
         return out
 
 
+class MinHash:
+    """Each coordinate ranks elements by the product of an odd number and their lower 32 bits, some of them flipped.
+
+    The ranks of a coordinate for many sets are one array, so a coordinate is three passes of whole-array arithmetic.
+    """
+
+    #: Elements that are ranked together, so that they stay in the processor's cache.
+    TOGETHER = 1 << 18
+
+    def __init__(self, coordinates: int, seed: int = 5) -> None:
+        rng = np.random.default_rng(seed)
+        self.flip = rng.integers(0, 1 << 32, coordinates, dtype=np.uint32)
+        self.factor = rng.integers(0, 1 << 32, coordinates, dtype=np.uint32) | np.uint32(1)
+
+    def of(self, elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """A row of coordinates for each of n sets: owner tells an element's set and does not fall."""
+        out = np.full((n, len(self.flip)), np.iinfo(np.uint32).max, np.uint32)
+        low = elements.astype(np.uint32)
+        for i in range(0, len(low), self.TOGETHER):
+            part, own = low[i : i + self.TOGETHER], owner[i : i + self.TOGETHER]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            rank, least = np.empty_like(part), np.empty((len(self.flip), len(starts)), np.uint32)
+            for k in range(len(self.flip)):
+                np.bitwise_xor(part, self.flip[k], out=rank)
+                np.multiply(rank, self.factor[k], out=rank)
+                least[k] = np.minimum.reduceat(rank, starts)
+            out[own[starts]] = np.minimum(out[own[starts]], least.T)
+        return out
+
+
 def bands(signatures: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key for each band of ``rows`` coordinates; keys of different bands differ."""
     n, k = signatures.shape
