@@ -17,12 +17,12 @@ from .near import PACKED, pack, similar_components, slots_of
 from .scratch import drop, release, table, unused
 from .shingles import MinHash, bands, char_shingles, mixed
 
-#: Characters of a shingle; two lines at the threshold of 0.8 miss all of 24 bands of 6 with a chance of 7e-4, at 0.85 1e-5.
-SHINGLE, COORDINATES, ROWS = 5, 144, 6
-#: Lines are not verified in the second round if their signatures agree in less than 0.55, seven deviations below 0.8.
+#: Characters of a shingle; two lines at the threshold of 0.8 miss all of 20 bands of 6 with a chance of 2e-3, at 0.85 8e-5.
+SHINGLE, COORDINATES, ROWS = 5, 120, 6
+#: Lines are not verified in the second round if their signatures agree in less than 0.55, almost seven deviations below 0.8.
 SLACK = 0.25
 #: Characters of lines that are signed together.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 16
 WHITE = re.compile(r"[\x20\x09\x0B-\x0D]+")
 
 
@@ -34,7 +34,12 @@ def normalised(line: str) -> str:
 
 def lines_of(text: str | None, least: int) -> list[tuple[int, str]]:
     """Numbers and normalised texts of the lines of ``least`` characters or more."""
-    return [(i, x) for i, x in enumerate(map(normalised, (text or "").split("\n"))) if len(x) >= least]
+    lines = (text or "").split("\n")
+    if text and ("  " in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text):
+        lines = map(normalised, lines)
+    else:
+        lines = [x.strip(" ") for x in lines]
+    return [(i, x) for i, x in enumerate(lines) if len(x) >= least]
 
 
 def digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -72,10 +72,12 @@ def pack(signed: Iterator[tuple[np.ndarray, np.ndarray]], slots: int, seed: int)
         own, first = np.unique(np.concatenate(ids), return_index=True)
         bands = np.concatenate(keys)[first]
         bucket, node = bands.view(np.uint64).ravel(), np.repeat(own, bands.shape[1])
-        order = np.argsort(bucket, kind="stable")  # the ids ascend in each bucket
+        order = np.argsort(bucket)
         bucket, node = bucket[order], node[order]
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        begin = np.repeat(starts, np.diff(np.r_[starts, len(bucket)]))
+        sizes = np.diff(np.r_[starts, len(bucket)])
+        begin, large = np.repeat(starts, sizes), np.flatnonzero(np.repeat(sizes > 2, sizes))
+        node[large] = node[large[np.lexsort((node[large], bucket[large]))]]  # ids ascend in the larger buckets
         more = np.arange(len(bucket)) - begin >= 2
         slot, direct, data = [], [], []
         if more.any():

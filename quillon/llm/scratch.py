@@ -30,10 +30,12 @@ def release(spark: SparkSession) -> None:
     """Let go of shuffle files of what is written and read no more.
 
     Spark deletes them once the driver has collected their plans. Results don't depend on it; without it a long chain of
-    steps keeps the shuffles of all of them on disk until memory runs short.
+    steps keeps the shuffles of all of them on disk until memory runs short. What Python lets go of reaches the driver
+    after the first round, so there are two.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def _file_system(spark: SparkSession, path: str) -> tuple:

@@ -53,22 +53,21 @@ def word_shingles(text: str | None, words: WordHashes, k: int = 5) -> np.ndarray
 def char_shingles(lines: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the stretches of k characters of each line, repeats kept, and the line that each is of.
 
-    A line of fewer characters is one stretch, filled up with a number that no character has.
+    A line of fewer characters is one stretch, filled up with what is no character.
     """
+    # A lone surrogate stands in no text, so it can fill up short lines.
+    lines = [x if len(x) >= k else x.ljust(k, "\ud800") for x in lines]
     sizes = np.array([len(x) for x in lines], np.int64)
-    full = np.maximum(sizes, k)
-    ends = np.cumsum(full)
-    codes = np.full(int(full.sum()), 0x110000, np.uint64)
-    codes[np.arange(int(sizes.sum())) + np.repeat(ends - full - np.cumsum(sizes) + sizes, sizes)] = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
-    out = np.zeros(len(codes), np.uint64)
-    for i in range(k):
+    ends = np.cumsum(sizes)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    out = codes.copy()
+    for i in range(1, k):  # a polynomial of the codes, whose bits are spread below
         out *= np.uint64(0x9E3779B97F4A7C15)
         out[: len(out) - i] += codes[i:]
-        out ^= out >> np.uint64(29)
     inside = np.ones(len(out), bool)
     for i in range(1, k):
         inside[ends - i] = False
-    return mixed(out[inside]), np.repeat(np.arange(len(lines)), full - k + 1)
+    return mixed(out[inside]), np.repeat(np.arange(len(lines), dtype=np.int32), sizes - k + 1)
 
 
 class CirculantMinHash:
@@ -106,31 +105,29 @@ class CirculantMinHash:
 
 
 class MinHash:
-    """Each coordinate ranks elements by the product of an odd number and their lower 32 bits, some of them flipped.
+    """Each coordinate ranks hashed elements by the product of an odd number of its own and their lower 32 bits.
 
-    The ranks of a coordinate for many sets are one array, so a coordinate is three passes of whole-array arithmetic.
+    The ranks of a coordinate for many sets are one array, so a coordinate is two passes of whole-array arithmetic.
     """
 
     #: Elements that are ranked together, so that they stay in the processor's cache.
-    TOGETHER = 1 << 18
+    TOGETHER = 1 << 16
 
     def __init__(self, coordinates: int, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        self.flip = rng.integers(0, 1 << 32, coordinates, dtype=np.uint32)
         self.factor = rng.integers(0, 1 << 32, coordinates, dtype=np.uint32) | np.uint32(1)
 
     def of(self, elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """A row of coordinates for each of n sets: owner tells an element's set and does not fall."""
-        out = np.full((n, len(self.flip)), np.iinfo(np.uint32).max, np.uint32)
+        out = np.full((n, len(self.factor)), np.iinfo(np.uint32).max, np.uint32)
         low = elements.astype(np.uint32)
         for i in range(0, len(low), self.TOGETHER):
             part, own = low[i : i + self.TOGETHER], owner[i : i + self.TOGETHER]
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            rank, least = np.empty_like(part), np.empty((len(self.flip), len(starts)), np.uint32)
-            for k in range(len(self.flip)):
-                np.bitwise_xor(part, self.flip[k], out=rank)
-                np.multiply(rank, self.factor[k], out=rank)
-                least[k] = np.minimum.reduceat(rank, starts)
+            rank, least = np.empty_like(part), np.empty((len(self.factor), len(starts)), np.uint32)
+            for factor, row in zip(self.factor, least, strict=True):
+                np.multiply(part, factor, out=rank)
+                np.minimum.reduceat(rank, starts, out=row)
             out[own[starts]] = np.minimum(out[own[starts]], least.T)
         return out
 
