@@ -13,12 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near import PACKED, pack, similar_components, slots_of
+from .near import PACKED, pack, shared_buckets, similar_components, slots_of, travelled
 from .scratch import drop, release, table, unused
-from .shingles import MinHash, bands, char_shingles, mixed
+from .shingles import MinHash, bands, char_shingles
 
-#: Characters of a shingle; two lines at the threshold of 0.8 miss all of 20 bands of 6 with a chance of 2e-3, at 0.85 8e-5.
-SHINGLE, COORDINATES, ROWS = 5, 120, 6
+#: Characters of a shingle; two lines at the threshold of 0.8 miss all of 24 bands of 7 with a chance of 3.5e-3, at 0.85 1e-4.
+#: Shorter bands bring together many more lines that have nothing in common, the more the larger the corpus is.
+SHINGLE, COORDINATES, ROWS = 5, 168, 7
 #: Lines are not verified in the second round if their signatures agree in less than 0.55, almost seven deviations below 0.8.
 SLACK = 0.25
 #: Characters of lines that are signed together.
@@ -48,57 +49,52 @@ def digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return raw["id"].astype(np.int64), raw["chk"].astype(np.int64)
 
 
-def places_of(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, line_no, id, chk of every line of ``least`` characters or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                own = [lines_of(t, least) for t in part.column(1).to_pylist()]
-                doc = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
-                ids, chk = digests([x for lines in own for _, x in lines])
-                no = np.array([n for lines in own for n, _ in lines], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, no, ids, chk)], ["doc_id", "line_no", "id", "chk"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, id long, chk long")
-
-
 def packed_lines(docs: DataFrame, least: int) -> DataFrame:
-    """The buckets of all lines, as ``near`` packs them."""
+    """The buckets of all lines, as ``near`` packs them, and the places of all lines of ``least`` characters or more
+    along with them, so that texts are read once for both."""
     slots = slots_of(docs)
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
         minhash, seen = MinHash(COORDINATES), set()
-        fresh, size = [], 0
-
-        def keys() -> tuple[np.ndarray, np.ndarray]:
-            return digests(fresh)[0], bands(minhash.of(*char_shingles(fresh, SHINGLE), len(fresh)), ROWS)
+        lines, counts, numbers, size, ids = [], [], [], 0, []
+
+        def rows() -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+            own, chk = digests(lines)
+            fresh = []
+            for k, i in enumerate(own.tolist()):  # equal lines are signed once in a task, most of the time
+                if i not in seen:
+                    seen.add(i)
+                    fresh.append(k)
+            new = [lines[k] for k in fresh]
+            places = [np.repeat(np.array(ids, np.int64), counts), np.array(numbers, np.int32), own, chk]
+            return own[fresh], bands(minhash.of(*char_shingles(new, SHINGLE), len(new)), ROWS), pa.RecordBatch.from_arrays([pa.array(c) for c in places], ["doc_id", "line_no", "id", "chk"])
 
         for batch in batches:
-            for text in batch.column(0):
-                for _, line in lines_of(text.as_py(), least):
-                    mark = hash(line)
-                    if mark not in seen:  # equal lines are signed once in a task, most of the time
-                        seen.add(mark)
-                        fresh.append(line)
-                        size += len(line)
-                    if size > TOGETHER:
-                        yield keys()
-                        fresh, size = [], 0
-                if len(seen) > 1_000_000:
-                    seen.clear()
-        if fresh:
-            yield keys()
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = lines_of(text.as_py(), least)
+                ids.append(i)
+                counts.append(len(found))
+                for n, line in found:
+                    numbers.append(n)
+                    lines.append(line)
+                    size += len(line)
+                if size > TOGETHER:
+                    yield rows()
+                    lines, counts, numbers, size, ids = [], [], [], 0, []
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+        if lines:
+            yield rows()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pack(signed(batches), slots, TaskContext.get().partitionId())
 
-    return docs.select("text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
 def texts_at(docs: DataFrame, at: DataFrame) -> DataFrame:
-    """id, sig, content: the texts of lines (id, chk, doc_id, line_no), which are read again from their documents."""
+    """id, sig, content: the texts of lines (id, chk, doc_id, line_no), which are read again from their documents, once
+    for each row of the document's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(COORDINATES)
@@ -127,7 +123,7 @@ def texts_at(docs: DataFrame, at: DataFrame) -> DataFrame:
                 yield rows(found)
 
     wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id", "chk")).alias("own"))
-    return docs.join(wanted, "doc_id").select("text", "own").mapInArrow(run, "id long, sig binary, content string").dropDuplicates(["id"])
+    return docs.join(wanted, "doc_id").select("text", "own").mapInArrow(run, "id long, sig binary, content string")
 
 
 def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -141,16 +137,16 @@ def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFram
                 part = batch.slice(at, 256)
                 lines = [t for c in (2, 3) for t in part.column(c).to_pylist()]
                 x, owner = char_shingles(lines, SHINGLE)
-                n, side = part.num_rows, owner >= part.num_rows
-                pair = np.where(side, owner - n, owner).astype(np.uint64)
-                # A 63-bit mark of (pair, stretch) with the side below: sorted, what both sides have are neighbours.
-                mark = mixed(x ^ mixed(pair + np.uint64(1))) & ~np.uint64(1) | side.astype(np.uint64)
-                order = np.argsort(mark)
-                mark, pair = mark[order], pair[order].astype(np.int64)
-                distinct = np.r_[True, mark[1:] != mark[:-1]] if len(mark) else np.zeros(0, bool)
-                mark, pair = mark[distinct], pair[distinct]
-                common = np.bincount(pair[1:][mark[1:] >> np.uint64(1) == mark[:-1] >> np.uint64(1)], minlength=n)
-                keep.append(100 * common >= percent * (np.bincount(pair, minlength=n) - common))
+                n = part.num_rows
+                # The pair, 55 bits of the stretch, and the side in one number: sorted, what both sides have are neighbours.
+                side = (owner >= n).astype(np.uint64)
+                mark = np.where(owner < n, owner, owner - n).astype(np.uint64) << np.uint64(56) | x >> np.uint64(9) << np.uint64(1) | side
+                mark.sort()
+                mark = mark[np.r_[True, mark[1:] != mark[:-1]]] if len(mark) else mark
+                whole = mark >> np.uint64(1)
+                common = np.bincount((mark[1:][whole[1:] == whole[:-1]] >> np.uint64(56)).astype(np.int64), minlength=n)
+                total = np.bincount((mark >> np.uint64(56)).astype(np.int64), minlength=n)
+                keep.append(100 * common >= percent * (total - common))
             yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return joined.mapInArrow(run, "a long, b long")
@@ -165,7 +161,8 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFra
     """
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
-    places = table(places_of(docs, least), "places")
+    shared = table(shared_buckets(packed_lines(docs, least)), "shared")
+    places = table(travelled(shared, "doc_id long, line_no int, id long, chk long"), "places")
     classes = table(places.groupBy("id", "chk").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     release(spark)
     candidates: list[DataFrame] = []
@@ -176,12 +173,12 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFra
         candidates.append(table(at, "candidates"))
         return texts_at(docs, candidates[0])
 
-    similar = similar_components(packed_lines(docs, least), contents_of, lambda pairs, lines: verified_lines(pairs, lines, percent), lambda lines: char_shingles(lines, SHINGLE), percent, SLACK)
+    similar = similar_components(shared, contents_of, lambda pairs, lines: verified_lines(pairs, lines, percent), lambda lines: char_shingles(lines, SHINGLE), percent, SLACK)
     release(spark)
     linked = similar.join(candidates[0].select("id", "chk"), "id")
     repeated = classes.join(linked, ["id", "chk"], "left").where("n > 1 or label is not null")
     repeated = table(repeated.select("id", "chk", "first", F.coalesce("label", "id").alias("group"), F.when(F.col("label").isNull(), F.col("chk")).otherwise(-1).alias("kind")), "repeated")
-    drop(classes, candidates[0])
+    drop(classes, candidates[0], shared)
     # Minima are combined before they are shuffled; of the joins with written tables adaptive execution splits hot keys.
     stays = table(repeated.groupBy("group", "kind").agg(F.min("first").alias("stays")), "stays")
     found = table(repeated.join(stays, ["group", "kind"]).select("id", "chk", "stays"), "found")

@@ -26,7 +26,9 @@ BLOCK = 512
 HELD = 2_000_000
 #: Slots of the buckets' range for each shuffle partition.
 SLOTS = 8
-PACKED = "slot int, direct boolean, data binary"
+PACKED = "slot int, kind int, data binary"
+#: Kinds of packed rows: pairs of bucket and id, members with their link, and rows of the caller that travel along.
+PAIRS, LINKS, EXTRA = 0, 1, 2
 #: Gives the hashed elements of some contents, and the one that each is of; elements may repeat.
 Elements = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
@@ -60,15 +62,20 @@ def slots_of(df: DataFrame) -> int:
     return SLOTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pack(signed: Iterator[tuple[np.ndarray, np.ndarray]], slots: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Rows of PACKED from (ids, a row of buckets for each): the pairs of each slot, and direct ones with their link.
+def pack(signed: Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch | None]], slots: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED from (ids, a row of buckets for each, rows of the caller's own).
 
-    Rows of one id have the same buckets. ``seed`` deals the direct rows out.
+    Rows of one id have the same buckets. ``seed`` deals out what belongs to no slot.
     """
     ids, keys, held = [], [], 0
+    slot, kind, data = [], [], []
 
-    def rows() -> pa.RecordBatch:
-        nonlocal seed
+    def add(at: int, of: int, raw: bytes) -> None:
+        slot.append(at % slots)
+        kind.append(of)
+        data.append(raw)
+
+    def deal() -> None:
         own, first = np.unique(np.concatenate(ids), return_index=True)
         bands = np.concatenate(keys)[first]
         bucket, node = bands.view(np.uint64).ravel(), np.repeat(own, bands.shape[1])
@@ -79,37 +86,62 @@ def pack(signed: Iterator[tuple[np.ndarray, np.ndarray]], slots: int, seed: int)
         begin, large = np.repeat(starts, sizes), np.flatnonzero(np.repeat(sizes > 2, sizes))
         node[large] = node[large[np.lexsort((node[large], bucket[large]))]]  # ids ascend in the larger buckets
         more = np.arange(len(bucket)) - begin >= 2
-        slot, direct, data = [], [], []
         if more.any():
             found = [x[more] for x in (bucket, node, node[begin])]
             for at in range(0, len(found[0]), 65_536):
-                slot.append((seed * 7919 + at) % slots)
-                data.append(b"".join(x[at : at + 65_536].tobytes() for x in found))
-                direct.append(True)
+                add(seed * 7919 + at, LINKS, b"".join(x[at : at + 65_536].tobytes() for x in found))
         bucket, node = bucket[~more], node[~more]
         place = ((bucket >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)], strict=True):
-            slot.append(int(place[a]))
-            data.append(bucket[a:b].tobytes() + node[a:b].tobytes())
-            direct.append(False)
-        seed += 1
-        return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(direct, pa.bool_()), pa.array(data, pa.binary())], ["slot", "direct", "data"])
-
-    for i, k in signed:
-        if len(i) and k.shape[1]:
-            ids.append(i)
-            keys.append(k)
-            held += k.size
+            add(int(place[a]), PAIRS, bucket[a:b].tobytes() + node[a:b].tobytes())
+
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["slot", "kind", "data"])
+        slot.clear()
+        kind.clear()
+        data.clear()
+        return out
+
+    for own, bands, extra in signed:
+        if extra is not None and extra.num_rows:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, extra.schema) as to:
+                to.write_batch(extra)
+            add(seed := seed * 31 + 7 & 0xFFFF_FFFF, EXTRA, sink.getvalue().to_pybytes())
+        if len(own) and bands.shape[1]:
+            ids.append(own)
+            keys.append(bands)
+            held += bands.size
         if held >= HELD:
+            deal()
             yield rows()
             ids, keys, held = [], [], 0
     if held:
+        deal()
+    if slot:
         yield rows()
 
 
+def travelled(shared: DataFrame, schema: str) -> DataFrame:
+    """The caller's own rows that ``pack`` took along, out of what ``shared_buckets`` gives."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                for found in pa.ipc.open_stream(data.as_py()).read_all().select(wanted.names).to_batches():
+                    yield found
+
+    return shared.where("extra is not null").select("extra").mapInArrow(run, schema)
+
+
 def shared_buckets(packed: DataFrame) -> DataFrame:
-    """bucket, id, hub of the members of buckets with two ids or more; hubs are members, and lead to the smallest id."""
+    """bucket, id, hub of the members of buckets with two ids or more; hubs are members, and lead to the smallest id.
+    Rows with extra hold what travelled along."""
 
     def members(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = [np.frombuffer(x, np.int64).reshape(2, -1) for x in data]
@@ -124,24 +156,33 @@ def shared_buckets(packed: DataFrame) -> DataFrame:
         return bucket[keep], node[keep], hub[keep]
 
     def batch_of(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["bucket", "id", "hub"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(cols[0]), pa.binary())], ["bucket", "id", "hub", "extra"])
+
+    def extra(data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(data), pa.int64()) for _ in range(3)), pa.array(data, pa.binary())], ["bucket", "id", "hub", "extra"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, current = [], None
         for batch in batches:
-            for slot, direct, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if direct:
+            along = []
+            for slot, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == LINKS:
                     yield batch_of(tuple(np.frombuffer(data, np.int64).reshape(3, -1)))
                     continue
+                if kind == EXTRA:
+                    along.append(data)
+                    continue
                 if slot != current:
                     if held:
                         yield batch_of(members(held))
                     held, current = [], slot
                 held.append(data)
+            if along:
+                yield extra(along)
         if held:
             yield batch_of(members(held))
 
-    return packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "bucket long, id long, hub long")
+    return packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "bucket long, id long, hub long, extra binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -169,6 +210,8 @@ def alike(blocks: DataFrame, percent: int, least: float, elements: Elements) ->
         if len(labels) < 2 or across and len(set(side.tolist())) < 2:
             return []
         sig = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(len(rows), -1)
+        if len(rows) <= 16 and (np.triu((sig[:, None] == sig[None]).mean(2), 1) < least).all():
+            return []
         sets: dict[int, np.ndarray] = {}
         out, root = [], np.arange(len(labels))
 
@@ -223,8 +266,10 @@ def meetings(member: DataFrame, found: DataFrame) -> DataFrame:
     """block, side, across, id, label: the members of a bucket that are not in its largest component meet each other
     and all the rest, in blocks of BLOCK members a side. Two members alone have met in the first round."""
     labelled = table(member.select("bucket", "id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "labelled")
-    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1 and all > 2")
+    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("own"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels"), F.bit_xor("own").alias("own"))
+    # Similar sets share several buckets: of those with the same members one is looked at.
+    mixed = mixed.where("labels > 1 and all > 2").groupBy("own", "all").agg(F.min(F.struct("bucket", "most")).alias("x")).select("x.*", "all")
     parts = lambda n: F.ceil(n / BLOCK).cast("int")
     mixed = table(mixed.select("bucket", F.col("most.label").alias("main"), parts(F.col("all") - F.col("most.n")).alias("apart"), parts(F.col("most.n")).alias("rest")), "mixed")
     rows = labelled.join(mixed, "bucket").withColumn("other", F.col("label") != F.col("main"))
@@ -238,26 +283,24 @@ def meetings(member: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("id", "label", F.explode(F.when(F.col("other"), F.concat(among, beside)).otherwise(of_rest)).alias("m")).select("m.*", "id", "label")
 
 
-def similar_components(packed: DataFrame, contents_of: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], elements: Elements, percent: int, slack: float) -> DataFrame:
+def similar_components(shared: DataFrame, contents_of: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], elements: Elements, percent: int, slack: float) -> DataFrame:
     """id, label of the sets in a component of two sets or more; label is the smallest id.
 
-    ``packed``: rows of PACKED. ``contents_of`` gives id, sig (a byte of each coordinate), content for the ids of a table,
-    one row for each id that it finds; ``verify`` the pairs (a, b) that are linked on their full contents. Of what the
-    first round leaves, pairs whose signatures agree in less than ``percent`` / 100 - ``slack`` of the bytes are not
-    verified; slack is six deviations or more of what the threshold makes likely.
+    ``shared``: a written table of ``shared_buckets``. ``contents_of`` gives id, sig (a byte of each coordinate), content
+    for the ids of a table; ``verify`` the pairs (a, b) that are linked on their full contents. Of what the first round
+    leaves, pairs whose signatures agree in less than ``percent`` / 100 - ``slack`` of the bytes are not verified; slack
+    is six deviations or more of what the threshold makes likely.
     """
-    spark = packed.sparkSession
-    member = table(shared_buckets(packed), "members")
-    release(spark)
+    member = shared.where("bucket is not null").select("bucket", "id", "hub")
     contents = table(contents_of(member.select("id").distinct()), "contents")
     pairs = member.where("id <> hub").selectExpr("least(id, hub) as a", "greatest(id, hub) as b").distinct()
     links = table(verify(pairs, contents), "links")
     found = table(components(links), "components")
     drop(links)
-    release(spark)
+    release(shared.sparkSession)
     blocks = meetings(member, found).join(contents.select("id", "sig", "content"), "id")
     more = table(alike(blocks, percent, percent / 100 - slack, elements), "links")
-    drop(member, contents)
+    drop(contents)
     if more.isEmpty():
         return found.select(F.col("node").alias("id"), "label")
     merged = table(components(more), "components")

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near import PACKED, pack, similar_components, slots_of
+from .near import PACKED, pack, shared_buckets, similar_components, slots_of, travelled
 from .scratch import drop, release, table
 from .shingles import CirculantMinHash, WordHashes, bands, digest, word_shingles
 
@@ -24,52 +24,42 @@ TOGETHER = 128
 SALTS = 64
 
 
-def shingled(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, id, key of every row (doc_id, text): a digest of the set, and its first 64 bits; null where
-    the set is empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            sizes, keys = [], []
-            for text in batch.column(1):
-                own = word_shingles(text.as_py(), words, k)
-                sizes.append(len(own))
-                keys.append(digest(own) if len(own) else None)
-            ids = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in keys]
-            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "id", "key"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, id long, key binary")
+ROWS_OF = "doc_id long, n_shingles long, id long, key binary"
 
 
 def packed_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The buckets of the sets of all rows (doc_id, text), as ``near`` packs them. Equal sets have one id."""
+    """The buckets of the sets of all rows (doc_id, text), as ``near`` packs them, and ROWS_OF of every row along with
+    them: a digest of its set, and the first 64 bits of that; null where the set is empty. Equal sets have one id."""
     slots = slots_of(docs)
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
         words, minhash, seen = WordHashes(), CirculantMinHash(COORDINATES), set()
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
-                sets = {}
-                for text in batch.column(0).slice(at, TOGETHER):
+                part, fresh, sizes, keys = batch.slice(at, TOGETHER), {}, [], []
+                for text, known in zip(part.column(1), part.column(0).is_valid().to_pylist(), strict=True):
                     own = word_shingles(text.as_py(), words, k)
-                    if len(own) and (key := digest(own)[:8]) not in seen:
-                        seen.add(key)
-                        sets[key] = own
-                if sets:
-                    yield np.frombuffer(b"".join(sets), np.int64), bands(minhash.signatures(list(sets.values())), ROWS)
+                    key = digest(own) if len(own) else None
+                    sizes.append(len(own))
+                    keys.append(key)
+                    if known and key and key[:8] not in seen:
+                        seen.add(key[:8])
+                        fresh[key[:8]] = own
+                ids = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in keys]
+                rows = pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "id", "key"])
+                yield np.frombuffer(b"".join(fresh), np.int64), bands(minhash.signatures(list(fresh.values())), ROWS), rows
             if len(seen) > 1_000_000:
                 seen.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pack(signed(batches), slots, TaskContext.get().partitionId())
 
-    return docs.select("text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
-    """id, sig, content: the sets (their 64-bit elements, in order) of the documents (doc_id, id, key) that are wanted."""
+    """id, sig, content: the sets (their 64-bit elements, in order) of the documents (doc_id, id, key) that are wanted,
+    once for each row of the document's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, minhash = WordHashes(), CirculantMinHash(SHARP, seed=23)
@@ -84,7 +74,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
                 cols = [own, pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "sig", "content"])
 
-    return docs.join(wanted, "doc_id").select("text", "id", "key").mapInArrow(run, "id long, sig binary, content array<long>").dropDuplicates(["id"])
+    return docs.join(wanted, "doc_id").select("text", "id", "key").mapInArrow(run, "id long, sig binary, content array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -110,7 +100,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     source = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    rows = table(shingled(source, k), "shingled")
+    shared = table(shared_buckets(packed_sets(source, k)), "shared")
+    rows = table(travelled(shared, ROWS_OF), "shingled")
     there = rows.where("key is not null and doc_id is not null")
     classes = table(there.groupBy("id", "key").agg(F.min("doc_id").alias("doc_id")), "classes")
     release(spark)
@@ -122,10 +113,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         candidates.append(table(at, "candidates"))
         return sets_of(source.where("doc_id is not null"), candidates[0], k)
 
-    found = similar_components(packed_sets(source.where("doc_id is not null"), k), contents_of, lambda pairs, sets: verified(pairs, sets, percent), _elements, percent, SLACK)
+    found = similar_components(shared, contents_of, lambda pairs, sets: verified(pairs, sets, percent), _elements, percent, SLACK)
     linked = found.join(candidates[0].select("id", "key"), "id")
     nodes = table(classes.join(linked, ["id", "key"], "left").select("key", "doc_id", "label"), "nodes")
-    drop(candidates[0], classes)
+    drop(candidates[0], classes, shared)
     least = table(nodes.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     labelled = nodes.join(least, "label").select("key", "component_id").union(nodes.where("label is null").select("key", F.col("doc_id").alias("component_id")))
     labelled = table(labelled, "labelled")
