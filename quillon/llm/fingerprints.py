@@ -18,7 +18,7 @@ COORDINATES = 48
 #: A coordinate keeps this many bits of the pair's hash.
 PAIR_BITS = 24
 #: Pairs of a term and its count whose draws are kept at hand, and of how many documents one is asked for such pairs.
-DRAWN, SAMPLED = 1 << 16, 32
+DRAWN, SAMPLED = 1 << 15, 32
 #: Spans of ids for each shuffle partition, so that hashing deals them out evenly, and spans at most.
 SPANS, MOST_SPANS = 8, 8192
 WHITE = "\t\n\x0b\x0c\r"
