@@ -2,8 +2,9 @@
 
 Each task packs its own rows in their order. A document longer than a window fills whole windows of its own; what is
 left is one item. The item goes to the fill level, or to a new window, that leaves the sum of squared counts of
-partially filled windows smallest. The counts are a level array. When a task's rows end, the windows that are still
-partly filled are packed together by cutting their pieces, so a task leaves one padded window.
+partially filled windows smallest. The counts are a level array. When a task's rows end, the fullest of the windows
+that are still open leave as they are, as long as all their padding is within a share of the task's ids; the pieces of
+the others are cut and joined, so that a task that has few rows leaves little padding too.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class LevelPacker:
     """Open windows by fill level. ``place`` returns (window, offset) for an item shorter than a window."""
 
-    #: Open windows beyond which the packer cuts and joins what they hold, so that memory stays bounded.
+    #: Open windows beyond which those of the commonest level are cut and joined, so that memory stays bounded. Of sizes
+    #: that never fit together (all over half a window) no placement could close them.
     MOST_OPEN = 8192
 
     def __init__(self, size: int, first: int = 0) -> None:
@@ -66,24 +68,32 @@ class LevelPacker:
             self.held[window] = [*held, piece]
         return window, at
 
-    def close(self) -> list[Piece]:
-        """Take what the open windows hold; their numbers are free again for the pieces packed together."""
-        held = [p for w in sorted(self.held) for p in self.held[w]]
-        self.held, self.open = {}, 0
-        self.windows.clear()
-        self.counts[:] = 0
-        return held
+    def take(self, window: int) -> list[Piece]:
+        """What an open window holds; it is open no more."""
+        level = self.fill(window)
+        self.windows[level].remove(window)
+        self.counts[level] -= 1
+        self.open -= 1
+        return self.held.pop(window)
 
+    def fill(self, window: int) -> int:
+        return sum(len(p[2]) for p in self.held[window])
 
-def pack(documents: Iterator[tuple[int, np.ndarray]], size: int, first: int = 0) -> Iterator[tuple[int, int, np.ndarray, int, int, int]]:
+
+def pack(documents: Iterator[tuple[int, np.ndarray]], size: int, first: int = 0, padding: float = 0.02) -> Iterator[tuple[int, int, np.ndarray, int, int, int]]:
     """Pieces (doc_id, start, ids, doc_tokens, sequence_id, offset) of documents (doc_id, ids).
 
-    Pieces of a window come out once the window is full, or at the end, when it can no longer change.
+    Pieces of a window come out once the window is full, or at the end, when it can no longer change. The windows left
+    as they are then have ``padding`` of all ids at most; beside them there is one padded window.
     """
     packer = LevelPacker(size, first)
     rows: dict[int, list[tuple[Piece, int]]] = defaultdict(list)
+    seen = 0
 
-    def joined(pieces: list[Piece]) -> Iterator[tuple[int, int, np.ndarray, int, int, int]]:
+    def joined(windows: list[int]) -> Iterator[tuple[int, int, np.ndarray, int, int, int]]:
+        pieces = [p for w in windows for p in packer.take(w)]
+        for w in windows:
+            del rows[w]
         window, at = packer.new(), 0
         for doc, start, ids, total in pieces:
             while len(ids):
@@ -95,6 +105,7 @@ def pack(documents: Iterator[tuple[int, np.ndarray]], size: int, first: int = 0)
 
     for doc, ids in documents:
         total, whole = len(ids), len(ids) // size * size
+        seen += total
         for at in range(0, whole, size):
             yield doc, at, ids[at : at + size], total, packer.new(), 0
         if total > whole:
@@ -105,11 +116,17 @@ def pack(documents: Iterator[tuple[int, np.ndarray]], size: int, first: int = 0)
                 for p, offset in rows.pop(window):
                     yield *p, window, offset
         if packer.open > packer.MOST_OPEN:
-            rows.clear()
-            yield from joined(packer.close())
-    rows.clear()
-    if held := packer.close():
-        yield from joined(held)
+            yield from joined(list(packer.windows[int(np.argmax(packer.counts))]))
+    spare, left = padding * seen, []
+    for window in sorted(packer.held, key=lambda w: (-packer.fill(w), w)):
+        spare -= size - packer.fill(window)
+        if spare < 0:
+            left.append(window)
+            continue
+        for p, offset in rows.pop(window):
+            yield *p, window, offset
+    if left:
+        yield from joined(left)
 
 
 class WordTokenizer:
@@ -134,6 +151,8 @@ class WordTokenizer:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        if not self.check(["It's 12 o'clock: don't SAY \u00c9t\u00e9--x_y! a  b", "\u65e5\u672c <|x|> 9's", ""]):
+            raise ValueError(f"{path} does not hold a tokenizer that this class can stand for")
 
     def _learn_parts(self, fresh: list[str]) -> None:
         for at in range(0, len(fresh), 4096):
@@ -187,12 +206,15 @@ def _word_tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, tokenize: Callable[[list[str | None], int], list[np.ndarray]] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, tokenize: Callable[[list[str | None], int], list[np.ndarray]] | None = None, padding: float = 0.02) -> DataFrame:
     """Pieces of all documents in windows of ``size``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are one id, ``end_id``. Repeated rows are packed each time. ``with_ids`` adds ids array<int>.
-    ``tokenize`` replaces the word tokenizer. There is no shuffle: every task numbers its windows from its own start,
-    so a task that runs again makes the same rows. Other columns are ignored; an empty table gives an empty result.
+    Null and empty texts are one id, ``end_id``; texts of any length are read whole, and fill as many windows as they
+    need. Repeated rows are packed each time, and rows with a null id too. Of levels with equal sums the fullest is taken.
+    ``padding`` is the share of the ids that open windows may leave as padding at the end of a task. ``with_ids`` adds
+    ids array<int>. ``tokenize`` replaces the word tokenizer, for files of another kind than it knows (which it refuses).
+    There is no shuffle: every task numbers its windows from its own start, so a task that runs again makes the same
+    rows. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +237,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_i
             return pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
         rows: list = []
-        for row in pack(documents(), size, first):
+        for row in pack(documents(), size, first, padding):
             rows.append(row)
             if len(rows) == 2000:
                 yield batch_of(rows)
