@@ -22,6 +22,8 @@ from .scratch import drop, release, table
 
 #: Members of each side of a block.
 BLOCK = 512
+#: Members of a bucket of which all pairs with signatures that agree may come out: at most seven for a member.
+SMALL = 16
 #: Pairs that a task holds before it hands them on.
 HELD = 2_000_000
 #: Slots of the buckets' range for each shuffle partition.
@@ -146,6 +148,13 @@ def shared_buckets(packed: DataFrame) -> DataFrame:
     def members(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = [np.frombuffer(x, np.int64).reshape(2, -1) for x in data]
         bucket, node = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.argsort(bucket)
+        bucket, node = bucket[order], node[order]
+        same = bucket[1:] == bucket[:-1]
+        some = np.r_[False, same] | np.r_[same, False]
+        bucket, node = bucket[some], node[some]
+        if not len(bucket):
+            return bucket, node, node
         order = np.lexsort((node, bucket))
         bucket, node = bucket[order], node[order]
         new = np.r_[True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])]
@@ -196,6 +205,41 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(both) - n)
 
 
+def agreeing(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of ids and la, lb of labels, different ones, of small buckets whose signatures agree in ``least`` of
+    their bytes or more. ``rows`` has bucket, id, hub, label, sig. A member has met its hub in the first round."""
+
+    def pairs(held: list[tuple]) -> list[tuple[int, int, int, int]]:
+        ids, hubs, labels = (np.array([r[k] for r in held], np.int64) for k in range(3))
+        sig = np.frombuffer(b"".join([r[3] for r in held]), np.uint8).reshape(len(held), -1)
+        agree = np.count_nonzero(sig[:, None] == sig[None], axis=2)
+        new = (labels[:, None] != labels[None]) & (ids[:, None] < ids[None]) & (hubs[:, None] != ids[None]) & (ids[:, None] != hubs[None])
+        i, j = np.nonzero(new & (agree >= least * sig.shape[1]))
+        return list(zip(ids[i].tolist(), ids[j].tolist(), labels[i].tolist(), labels[j].tolist(), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        current, out = None, []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["a", "b", "la", "lb"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != current:
+                    out += pairs(held) if held else []
+                    held, current = [], row[0]
+                held.append(row[1:])
+            if len(out) > 20_000:
+                yield batch_of()
+                out = []
+        out += pairs(held) if held else []
+        yield batch_of()
+
+    dealt = rows.select("bucket", "id", "hub", "label", "sig").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "a long, b long, la long, lb long").distinct()
+
+
 def alike(blocks: DataFrame, percent: int, least: float, elements: Elements) -> DataFrame:
     """Pairs (a, b) of labels whose members are linked, as many as connect what a block has found.
 
@@ -210,8 +254,6 @@ def alike(blocks: DataFrame, percent: int, least: float, elements: Elements) ->
         if len(labels) < 2 or across and len(set(side.tolist())) < 2:
             return []
         sig = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(len(rows), -1)
-        if len(rows) <= 16 and (np.triu((sig[:, None] == sig[None]).mean(2), 1) < least).all():
-            return []
         sets: dict[int, np.ndarray] = {}
         out, root = [], np.arange(len(labels))
 
@@ -262,17 +304,25 @@ def alike(blocks: DataFrame, percent: int, least: float, elements: Elements) ->
     return dealt.mapInArrow(run, "a long, b long").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 
 
-def meetings(member: DataFrame, found: DataFrame) -> DataFrame:
-    """block, side, across, id, label: the members of a bucket that are not in its largest component meet each other
-    and all the rest, in blocks of BLOCK members a side. Two members alone have met in the first round."""
-    labelled = table(member.select("bucket", "id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "labelled")
+def mixed_buckets(member: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """bucket, id, hub, label of the members, and bucket, main, apart, rest, all of the buckets with several labels: the
+    commonest one, and the members that have another, and that one. Two members alone have met in the first round; of
+    buckets with the same members one is looked at, since similar sets share several."""
+    once = member.groupBy("bucket", "id").agg(F.min("hub").alias("hub"))
+    labelled = once.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "hub", F.coalesce("label", "id").alias("label"))
+    labelled = table(labelled, "labelled")
     sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("own"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels"), F.bit_xor("own").alias("own"))
-    # Similar sets share several buckets: of those with the same members one is looked at.
     mixed = mixed.where("labels > 1 and all > 2").groupBy("own", "all").agg(F.min(F.struct("bucket", "most")).alias("x")).select("x.*", "all")
-    parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = table(mixed.select("bucket", F.col("most.label").alias("main"), parts(F.col("all") - F.col("most.n")).alias("apart"), parts(F.col("most.n")).alias("rest")), "mixed")
-    rows = labelled.join(mixed, "bucket").withColumn("other", F.col("label") != F.col("main"))
+    mixed = mixed.select("bucket", F.col("most.label").alias("main"), (F.col("all") - F.col("most.n")).alias("apart"), F.col("most.n").alias("rest"), "all")
+    return labelled, table(mixed, "mixed")
+
+
+def meetings(labelled: DataFrame, mixed: DataFrame) -> DataFrame:
+    """block, side, across, id, label: the members of a bucket that are not in its largest component meet each other
+    and all the rest, in blocks of BLOCK members a side."""
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias(n)
+    rows = labelled.join(mixed.select("bucket", "main", parts("apart"), parts("rest")), "bucket").withColumn("other", F.col("label") != F.col("main"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("apart")).otherwise(F.col("rest"))).cast("int"))
     apart = F.sequence(F.lit(0), F.col("apart") - 1)
     met = lambda x, y, across, side: F.struct(F.xxhash64("bucket", x, y, across).alias("block"), side.alias("side"), (across | (x != y)).alias("across"))
@@ -298,9 +348,14 @@ def similar_components(shared: DataFrame, contents_of: Callable[[DataFrame], Dat
     found = table(components(links), "components")
     drop(links)
     release(shared.sparkSession)
-    blocks = meetings(member, found).join(contents.select("id", "sig", "content"), "id")
-    more = table(alike(blocks, percent, percent / 100 - slack, elements), "links")
-    drop(contents)
+    least = percent / 100 - slack
+    labelled, mixed = mixed_buckets(member, found)
+    few = labelled.join(mixed.where(F.col("all") <= SMALL).select("bucket"), "bucket").join(contents.select("id", "sig"), "id")
+    near = table(agreeing(few, least), "near")
+    checked = near.join(verify(near.select("a", "b"), contents), ["a", "b"]).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    blocks = meetings(labelled, mixed.where(F.col("all") > SMALL)).join(contents.select("id", "sig", "content"), "id")
+    more = table(checked.union(alike(blocks, percent, least, elements)).distinct(), "links")
+    drop(contents, labelled, mixed, near)
     if more.isEmpty():
         return found.select(F.col("node").alias("id"), "label")
     merged = table(components(more), "components")
