@@ -20,8 +20,8 @@ from .shingles import MinHash, bands, char_shingles
 #: Characters of a shingle; two lines at the threshold of 0.8 miss all of 20 bands of 7 with a chance of 9e-3, at 0.85 5e-4.
 #: Shorter bands bring together many more lines that have nothing in common, the more the larger the corpus is.
 SHINGLE, COORDINATES, ROWS = 5, 140, 7
-#: Lines are not verified in the second round if their signatures agree in less than 0.59, over six deviations below 0.8.
-SLACK = 0.21
+#: Lines are not verified in the second round if their signatures agree in less than 0.64, 4.7 deviations below 0.8.
+SLACK = 0.16
 #: Characters of lines that are signed together.
 TOGETHER = 1 << 16
 WHITE = re.compile(r"[\x20\x09\x0B-\x0D]+")

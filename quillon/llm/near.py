@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, release, table
+from .scratch import bucketed, drop, release, table
 
 #: Members of each side of a block.
 BLOCK = 512
@@ -339,10 +339,11 @@ def similar_components(shared: DataFrame, contents_of: Callable[[DataFrame], Dat
     ``shared``: a written table of ``shared_buckets``. ``contents_of`` gives id, sig (a byte of each coordinate), content
     for the ids of a table; ``verify`` the pairs (a, b) that are linked on their full contents. Of what the first round
     leaves, pairs whose signatures agree in less than ``percent`` / 100 - ``slack`` of the bytes are not verified; slack
-    is six deviations or more of what the threshold makes likely.
+    is four deviations or more of what the threshold makes likely.
     """
     member = shared.where("bucket is not null").select("bucket", "id", "hub")
-    contents = table(contents_of(member.select("id").distinct()), "contents")
+    # Four joins by id read the contents: in buckets by id they are shuffled once.
+    contents, forget = bucketed(contents_of(member.select("id").distinct()), "contents", "id")
     pairs = member.where("id <> hub").selectExpr("least(id, hub) as a", "greatest(id, hub) as b").distinct()
     links = table(verify(pairs, contents), "links")
     found = table(components(links), "components")
@@ -355,7 +356,8 @@ def similar_components(shared: DataFrame, contents_of: Callable[[DataFrame], Dat
     checked = near.join(verify(near.select("a", "b"), contents), ["a", "b"]).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
     blocks = meetings(labelled, mixed.where(F.col("all") > SMALL)).join(contents.select("id", "sig", "content"), "id")
     more = table(checked.union(alike(blocks, percent, least, elements)).distinct(), "links")
-    drop(contents, labelled, mixed, near)
+    drop(labelled, mixed, near)
+    forget()
     if more.isEmpty():
         return found.select(F.col("node").alias("id"), "label")
     merged = table(components(more), "components")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,24 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``table`` in buckets by a key, sorted in each, so that joins on the key need no shuffle of it; and what deletes
+    it. The catalogue knows it by a name of its own until then; its files are in the shared folder too."""
+    spark = df.sparkSession
+    own = f"quillon_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillon/{own}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(own)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
+
+    def forget() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {own}")
+        files.delete(target, True)
+
+    return spark.table(own), forget
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables that ``table`` wrote and that no later result reads."""
     for df in frames:
