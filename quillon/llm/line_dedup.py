@@ -123,12 +123,12 @@ def texts_at(docs: DataFrame, at: DataFrame) -> DataFrame:
                 yield rows(found)
 
     wanted = at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id", "chk")).alias("own"))
-    return docs.join(wanted, "doc_id").select("text", "own").mapInArrow(run, "id long, sig binary, content string")
+    return docs.join(wanted.hint("merge"), "doc_id").select("text", "own").mapInArrow(run, "id long, sig binary, content string")
 
 
 def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose lines (id, content) have 100 * intersection >= percent * union of their shingles."""
-    joined = pairs.join(lines.selectExpr("id as b", "content as lb"), "b").join(lines.selectExpr("id as a", "content as la"), "a").select("a", "b", "la", "lb")
+    joined = pairs.join(lines.selectExpr("id as b", "content as lb").hint("merge"), "b").join(lines.selectExpr("id as a", "content as la").hint("merge"), "a").select("a", "b", "la", "lb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,20 +169,20 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFra
 
     def contents_of(ids: DataFrame) -> DataFrame:
         # Of different lines with one id, about as likely as a wrong bit on disk, one takes part in links.
-        at = classes.join(ids, "id").groupBy("id").agg(F.min(F.struct("chk", "first")).alias("x")).select("id", "x.chk", "x.first.doc_id", "x.first.line_no")
+        at = classes.join(ids.hint("merge"), "id").groupBy("id").agg(F.min(F.struct("chk", "first")).alias("x")).select("id", "x.chk", "x.first.doc_id", "x.first.line_no")
         candidates.append(table(at, "candidates"))
         return texts_at(docs, candidates[0])
 
     similar = similar_components(shared, contents_of, lambda pairs, lines: verified_lines(pairs, lines, percent), lambda lines: char_shingles(lines, SHINGLE), percent, SLACK)
     release(spark)
     linked = similar.join(candidates[0].select("id", "chk"), "id")
-    repeated = classes.join(linked, ["id", "chk"], "left").where("n > 1 or label is not null")
+    repeated = classes.join(linked.hint("merge"), ["id", "chk"], "left").where("n > 1 or label is not null")
     repeated = table(repeated.select("id", "chk", "first", F.coalesce("label", "id").alias("group"), F.when(F.col("label").isNull(), F.col("chk")).otherwise(-1).alias("kind")), "repeated")
     drop(classes, candidates[0], shared)
     # Minima are combined before they are shuffled; of the joins with written tables adaptive execution splits hot keys.
     stays = table(repeated.groupBy("group", "kind").agg(F.min("first").alias("stays")), "stays")
     found = table(repeated.join(stays, ["group", "kind"]).select("id", "chk", "stays"), "found")
-    gone = places.join(found, ["id", "chk"]).where(~((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no"))))
+    gone = places.join(found.hint("merge"), ["id", "chk"]).where(~((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no"))))
     drops = table(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("drops")), "drops")
     drop(places, repeated, stays, found)
     release(spark)
@@ -211,7 +211,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, counts: bool
     """
     own, gone = unused(docs.columns, "own_id"), unused(docs.columns, "gone")
     drops = dropped_lines(docs, percent, least).withColumnsRenamed({"doc_id": own, "drops": gone})
-    joined = docs.join(drops, docs["doc_id"].cast("long") == drops[own], "left")
+    joined = docs.join(drops.hint("merge"), docs["doc_id"].cast("long") == drops[own], "left")
     out = joined
     if counts:
         out = out.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))

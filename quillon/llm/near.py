@@ -309,7 +309,7 @@ def mixed_buckets(member: DataFrame, found: DataFrame) -> tuple[DataFrame, DataF
     commonest one, and the members that have another, and that one. Two members alone have met in the first round; of
     buckets with the same members one is looked at, since similar sets share several."""
     once = member.groupBy("bucket", "id").agg(F.min("hub").alias("hub"))
-    labelled = once.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "hub", F.coalesce("label", "id").alias("label"))
+    labelled = once.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("bucket", "id", "hub", F.coalesce("label", "id").alias("label"))
     labelled = table(labelled, "labelled")
     sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("own"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels"), F.bit_xor("own").alias("own"))
@@ -349,12 +349,13 @@ def similar_components(shared: DataFrame, contents_of: Callable[[DataFrame], Dat
     found = table(components(links), "components")
     drop(links)
     release(shared.sparkSession)
+    # These tables grow with the corpus: their joins are shuffled at every size, never broadcast.
     least = percent / 100 - slack
     labelled, mixed = mixed_buckets(member, found)
-    few = labelled.join(mixed.where(F.col("all") <= SMALL).select("bucket"), "bucket").join(contents.select("id", "sig"), "id")
+    few = labelled.join(mixed.where(F.col("all") <= SMALL).select("bucket"), "bucket").join(contents.select("id", "sig").hint("merge"), "id")
     near = table(agreeing(few, least), "near")
     checked = near.join(verify(near.select("a", "b"), contents), ["a", "b"]).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-    blocks = meetings(labelled, mixed.where(F.col("all") > SMALL)).join(contents.select("id", "sig", "content"), "id")
+    blocks = meetings(labelled, mixed.where(F.col("all") > SMALL)).join(contents.select("id", "sig", "content").hint("merge"), "id")
     more = table(checked.union(alike(blocks, percent, least, elements)).distinct(), "links")
     drop(labelled, mixed, near)
     forget()

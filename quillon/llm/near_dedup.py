@@ -74,12 +74,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
                 cols = [own, pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "sig", "content"])
 
-    return docs.join(wanted, "doc_id").select("text", "id", "key").mapInArrow(run, "id long, sig binary, content array<long>")
+    return docs.join(wanted.hint("merge"), "doc_id").select("text", "id", "key").mapInArrow(run, "id long, sig binary, content array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets (id, content) have 100 * intersection >= percent * union."""
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("content").alias("eb")), "b").join(sets.select(F.col("id").alias("a"), F.col("content").alias("ea")), "a")
+    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("content").alias("eb")).hint("merge"), "b").join(sets.select(F.col("id").alias("a"), F.col("content").alias("ea")).hint("merge"), "a")
     both = joined.select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("n"), (F.size("ea") + F.size("eb")).alias("total"))
     return both.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b")
 
@@ -109,13 +109,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     def contents_of(ids: DataFrame) -> DataFrame:
         # Of different sets with one id, about as likely as a wrong bit on disk, one takes part in links.
-        at = classes.join(ids, "id").groupBy("id").agg(F.min(F.struct("key", "doc_id")).alias("x")).select("id", "x.key", "x.doc_id")
+        at = classes.join(ids.hint("merge"), "id").groupBy("id").agg(F.min(F.struct("key", "doc_id")).alias("x")).select("id", "x.key", "x.doc_id")
         candidates.append(table(at, "candidates"))
         return sets_of(source.where("doc_id is not null"), candidates[0], k)
 
     found = similar_components(shared, contents_of, lambda pairs, sets: verified(pairs, sets, percent), _elements, percent, SLACK)
     linked = found.join(candidates[0].select("id", "key"), "id")
-    nodes = table(classes.join(linked, ["id", "key"], "left").select("key", "doc_id", "label"), "nodes")
+    nodes = table(classes.join(linked.hint("merge"), ["id", "key"], "left").select("key", "doc_id", "label"), "nodes")
     drop(candidates[0], classes, shared)
     least = table(nodes.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     labelled = nodes.join(least, "label").select("key", "component_id").union(nodes.where("label is null").select("key", F.col("doc_id").alias("component_id")))
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     # Of joins with written tables adaptive execution splits hot keys; a class of equal sets has SALTS heads at most.
     salted = there.select("doc_id", "n_shingles", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     heads = salted.select("key", "salt").distinct().join(labelled, "key")
-    full = salted.join(heads, ["key", "salt"]).select("doc_id", "n_shingles", "component_id")
+    full = salted.join(heads.hint("merge"), ["key", "salt"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
