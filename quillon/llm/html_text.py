@@ -10,8 +10,10 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,15 @@ CLOSED = frozenset("select svg math object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: A start tag of the first kind ends an open element of the second.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+START = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
+STOP = re.compile("[>\"']")
 CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[^\W_]+")
 WHITE = re.compile(r"\s+")
 
+#: Elements above a block, the nearest ones, that its features tell of.
+DEPTH = 48
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 64, 32, 10
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 
@@ -48,34 +54,132 @@ def end_of(page: str, tag: str, at: int) -> int:
     return end.end() if end else len(page)
 
 
+@dataclass
+class Tag:
+    begin: int
+    name: str
+    closing: bool
+    attributes: str
+
+    @property
+    def closed(self) -> bool:
+        return self.attributes.rstrip().endswith("/")
+
+
+class Tags:
+    """The tags of a page in turn; every character is looked at a bounded number of times.
+
+    A quote that nothing closes is a character like others. A tag, comment or declaration that the page ends in goes on
+    to its end.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.alone = page, {"'": len(page), '"': len(page)}
+
+    def _end(self, at: int) -> int:
+        page = self.page
+        while (m := STOP.search(page, at)) is not None:
+            at = m.end()
+            mark = m[0]
+            if mark == ">":
+                return at
+            if m.start() < self.alone[mark]:
+                end = page.find(mark, at)
+                if end < 0:
+                    self.alone[mark] = m.start()  # none from here on is closed
+                else:
+                    at = end + 1
+        return len(page) + 1
+
+    def next(self, at: int) -> tuple[int, int, Tag | None] | None:
+        """Begin and end of the next piece of markup, and what tag it is if it is one."""
+        m = START.search(self.page, at)
+        if m is None:
+            return None
+        if m[2] is None:
+            end = self.page.find("-->" if m[0] == "<!--" else ">", m.end())
+            return m.start(), len(self.page) if end < 0 else end + (3 if m[0] == "<!--" else 1), None
+        end = self._end(m.end())
+        if end > len(self.page):
+            return m.start(), len(self.page), None
+        return m.start(), end, Tag(m.start(), m[2].lower(), bool(m[1]), self.page[m.end() : end - 1])
+
+
 def ends_of(page: str) -> dict[int, int]:
     """Where the elements of CLOSED that are closed end, by the place of their start tag."""
     out: dict[int, int] = {}
     opened: dict[str, list[int]] = {tag: [] for tag in CLOSED}
-    at = 0
-    while (m := TAG.search(page, at)) is not None:
-        at, tag = m.end(), (m[2] or "").lower()
-        if tag in CLOSED and m[1]:
-            if opened[tag]:
-                out[opened[tag].pop()] = at
-        elif tag in CLOSED:
-            if not m[3].rstrip().endswith("/"):
-                opened[tag].append(m.start())
-        elif tag in RAW and tag != "head" and not m[1]:
-            at = end_of(page, tag, at)
+    at, tags = 0, Tags(page)
+    while (found := tags.next(at)) is not None:
+        _, at, tag = found
+        if tag is None:
+            continue
+        if tag.name in CLOSED and tag.closing:
+            if opened[tag.name]:
+                out[opened[tag.name].pop()] = at
+        elif tag.name in CLOSED:
+            if not tag.closed:
+                opened[tag.name].append(tag.begin)
+        elif tag.name in RAW and tag.name != "head" and not tag.closing:
+            at = end_of(page, tag.name, at)
     return out
 
 
+class Open:
+    """The open elements, how many there are of each, and the nearest ones that are not inline."""
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.levels: list[tuple[int, tuple[str, ...]]] = []
+
+    def push(self, tag: str, words: list[str]) -> None:
+        if tag not in INLINE:
+            self.levels.append((len(self.stack), (tag, *(f".{w}" for w in words))))
+        self.stack.append(tag)
+        self.count[tag] += 1
+
+    def cut(self, at: int) -> None:
+        """Close the elements from a place on."""
+        for tag in self.stack[at:]:
+            self.count[tag] -= 1
+        del self.stack[at:]
+        while self.levels and self.levels[-1][0] >= at:
+            self.levels.pop()
+
+    def remove(self, at: int) -> None:
+        """Close one inline element; what is open within it stays open."""
+        self.count[self.stack.pop(at)] -= 1
+
+    def last(self, tag: str, until: Callable[[str], bool]) -> int | None:
+        """The place of the last open element of a name, unless one of another kind is met before."""
+        if self.count[tag]:
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i] == tag:
+                    return i
+                if until(self.stack[i]):
+                    return None
+        return None
+
+    def path(self) -> tuple[str, ...]:
+        return tuple(x for _, own in self.levels[-DEPTH:] for x in own)
+
+
+#: A start tag ends an open element of its own name unless one of these is met before.
+ENDS_OWN = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """The text blocks of a page in order, each with the tags and class words above it.
+    """The text blocks of a page in order, each with the tags and class words of the nearest DEPTH elements above it.
 
     A block is the text between two block-level tags; inline tags and line breaks do not end it (a line break is white
-    space). Unclosed elements end where an enclosing one ends. Nothing in scripts, styles and comments is text.
-    An element of CLOSED that closes itself or is never closed has no content.
+    space). Unclosed elements end where an enclosing one ends. Nothing in scripts, styles and comments is text, nor is
+    a tag that the page ends in. An element of CLOSED that closes itself or is never closed has no content. The work
+    grows with the page's length, whatever is nested or left open in it.
     """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    opened, tags = Open(), Tags(page)
     parts: list[str] = []
     linked = 0
     closed: dict[int, int] | None = None
@@ -85,72 +189,55 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                path = tuple(x for tag, words in stack if tag not in INLINE for x in ([tag, *(f".{w}" for w in words.split())]))
-                out.append(Block(path, text, linked, any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _ in stack)))
+                out.append(Block(opened.path(), text, linked, any(opened.count[h] for h in HEADINGS)))
             parts.clear()
         linked = 0
 
-    at, size = 0, len(page)
-    while at < size:
-        m = TAG.search(page, at)
-        if m is None:
-            rest = page[at:]
-            parts.append(rest)
+    at = 0
+    while at < len(page):
+        found = tags.next(at)
+        begin = len(page) if found is None else found[0]
+        if begin > at:
+            parts.append(page[at:begin])
+            if opened.count["a"]:
+                linked += begin - at
+        if found is None:
             break
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            if any(t == "a" for t, _ in stack):
-                linked += len(piece)
-        at = m.end()
-        if m[2] is None:
+        _, at, tag = found
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in INLINE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+        name = tag.name
+        if tag.closing:
+            if name in INLINE:
+                i = opened.last(name, lambda t: t not in INLINE)
+                if i is not None:
+                    opened.remove(i)  # only inline ones lie above it, so no level moves
                 continue
             flush()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            i = opened.last(name, lambda t: False)
+            if i is not None:
+                opened.cut(i)
             continue
-        if tag == "br":
+        if name == "br":
             parts.append(" ")
             continue
-        if tag not in INLINE:
+        if name not in INLINE:
             flush()
-        if tag in RAW and tag != "head":
-            if tag in CLOSED:
+        if name in RAW and name != "head":
+            if name in CLOSED:
                 closed = ends_of(page) if closed is None else closed
-                at = closed.get(m.start(), at)
+                at = closed.get(tag.begin, at)
             else:
-                at = end_of(page, tag, at)
+                at = end_of(page, name, at)
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        for ended, until in (("li", ("ul", "ol")), ("dt", ("dl",)), ("dd", ("dl",)), ("tr", ("table",)), ("td", ("tr", "table")), ("th", ("tr", "table")), ("option", ("select",))):
-            if tag == ended:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == ended:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in until:
-                        break
-        if tag in VOID or m[3].rstrip().endswith("/"):
+        if name in ENDS_P and (i := opened.last("p", lambda t: t not in INLINE)) is not None:
+            opened.cut(i)
+        if name in ENDS_OWN and (i := opened.last(name, lambda t: t in ENDS_OWN[name])) is not None:
+            opened.cut(i)
+        if name in VOID or tag.closed:
             continue
-        words = " ".join(WORD.findall(" ".join(a or b or c for a, b, c in CLASS.findall(m[3])).lower())) if m[3] and tag not in INLINE else ""
-        stack.append((tag, words))
+        words = WORD.findall(" ".join(a or b or c for a, b, c in CLASS.findall(tag.attributes)).lower()) if tag.attributes and name not in INLINE else []
+        opened.push(name, words)
     flush()
     return out
 
@@ -357,6 +444,12 @@ def train(pages: int = 900, epochs: int = 8, batch: int = 24, rate: float = 6e-3
     return model
 
 
+@cache
+def trained() -> BiLSTM:
+    """The model of the defaults, trained once in a process."""
+    return train()
+
+
 def extract(model: BiLSTM, pages: list[str | None]) -> list[str]:
     """The main text of each page: blocks judged main, joined by an empty line; page order, nothing cut."""
     found = [blocks_of(p) for p in pages]
@@ -377,9 +470,11 @@ def extract(model: BiLSTM, pages: list[str | None]) -> list[str]:
 def main_text(pages: DataFrame, model: BiLSTM | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row. Null or empty html, and pages without main blocks, have empty text.
 
-    Rows are independent: there is no shuffle. Repeated rows give repeated results; other columns are ignored.
+    Pages of any length are read whole, in time that grows with the length. Rows are independent: there is no shuffle.
+    Repeated rows and null ids give a result each; other columns are ignored, whatever their names; an empty table gives
+    an empty result. Without a model the default one is trained, once in a process.
     """
-    model = model or train()
+    model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
