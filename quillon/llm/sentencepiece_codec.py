@@ -13,6 +13,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -104,7 +105,7 @@ class Codec:
         self.cut = self._cuts()
         self.shown = [str(i) for i in range(len(self.pieces))]
         self.plain = [p.replace(SPACE, " ") for p, _, _ in self.pieces]
-        self.memo: dict[str, tuple[int, str, str]] = {}
+        self.memo: dict[str, tuple[int, str, str, bytes]] = {}
 
     def _cuts(self) -> re.Pattern[str]:
         """Matches the stretches of a normalised text that no merge can cross, one after the other, leaving nothing."""
@@ -222,15 +223,28 @@ class Codec:
                 sizes.append(len(raw))
         return ids, sizes
 
-    def _digested(self, chunk: str) -> tuple[int, str, str]:
-        """Number of ids of a stretch, the ids as text, and their decoded text."""
-        ids = list(map(self.ids.get, self._merge(chunk)))
+    def _digested(self, chunk: str) -> tuple[int, str, str, bytes]:
+        """Number of ids of a stretch, the ids as text, their decoded text, and the normalised bytes of each id, as
+        little-endian unsigned 32-bit numbers; a space mark counts as the one byte that it stands for."""
+        parts = self._merge(chunk)
+        ids = list(map(self.ids.get, parts))
         if None in ids:
-            ids = self._ids(chunk)[0]
-            return len(ids), ",".join(map(str, ids)), self._plain(ids)
-        return len(ids), ",".join(map(self.shown.__getitem__, ids)), "".join(map(self.plain.__getitem__, ids))
+            ids, sizes = self._ids(chunk)
+            return len(ids), ",".join(map(str, ids)), self._plain(ids), np.array(self._marked(chunk, sizes), "<u4").tobytes()
+        sizes = [len(p.encode()) - 2 * p.count(SPACE) for p in parts]
+        return len(ids), ",".join(map(self.shown.__getitem__, ids)), "".join(map(self.plain.__getitem__, ids)), np.array(sizes, "<u4").tobytes()
+
+    @staticmethod
+    def _marked(chunk: str, sizes: list[int]) -> list[int]:
+        """Sizes of consecutive pieces of a stretch's bytes, a space mark counting one where it begins."""
+        weight = [w for c in chunk for w in ((1, 0, 0) if c == SPACE else (1,) * len(c.encode()))]
+        out, at = [], 0
+        for n in sizes:
+            out.append(sum(weight[at : at + n]))
+            at += n
+        return out
 
-    def chunks(self, norm: str) -> list[tuple[int, str, str]]:
+    def chunks(self, norm: str) -> list[tuple[int, str, str, bytes]]:
         memo = self.memo
         if len(memo) > self.MEMO:
             memo.clear()
@@ -307,11 +321,19 @@ class Codec:
         first = next((i for i in ids if self.pieces[i][2] != CONTROL), self.unknown)
         return text[1:] if self.dummy and self.pieces[first][0].startswith(SPACE) else text
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, and of the text that they decode to."""
-        got = self.chunks(self.normalise(text or "")[0])
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return sum(c[0] for c in got), sha(",".join([c[1] for c in got])), sha("".join([c[2] for c in got])[self.dummy and bool(got) :])
+    def digests(self, text: str | None) -> tuple[int, str, str, str]:
+        """Number of ids, and SHA-256 of the ids joined by commas, of the text that they decode to, and of the ends of
+        all ids in the original bytes, as little-endian unsigned 64-bit numbers."""
+        text = text or ""
+        norm, source = self.normalise(text)
+        got = self.chunks(norm)
+        sha = lambda s: hashlib.sha256(s).hexdigest()
+        if source is None and SPACE not in text:
+            # Each normalised character is one of the text; the prefix's mark is none.
+            ends = np.cumsum(np.frombuffer(b"".join([c[3] for c in got]), "<u4"), dtype="<u8") - np.uint64(self.dummy and bool(got))
+        else:
+            ends = np.array([end for _, _, end in self.spans(text)], "<u8")
+        return sum([c[0] for c in got]), sha(",".join([c[1] for c in got]).encode()), sha("".join([c[2] for c in got])[self.dummy and bool(got) :].encode()), sha(ends.tobytes())
 
 
 def load(path: str) -> Codec:
@@ -332,9 +354,11 @@ def _codec(path: str) -> Codec:
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Encode whole texts: doc_id, ids array<int>, begins and ends array<long> (original bytes), decoded string.
 
-    With ``digests`` the columns are doc_id, n_tokens, ids_sha256, decoded_sha256, so that long lists of ids need not
-    leave the worker. Null texts count as empty and have no ids. Rows are independent: there is no shuffle, repeated
-    rows give repeated results, other columns are ignored, and an empty table gives an empty result.
+    With ``digests`` the columns are doc_id, n_tokens, ids_sha256, decoded_sha256 and ends_sha256 (of the ends of all
+    pieces in the original bytes, little-endian unsigned 64-bit numbers; a piece begins where the one before ends), so
+    that long lists need not leave the worker. Texts of any length are read whole; null texts count as empty and have no
+    ids. Rows are independent: there is no shuffle, repeated rows and null ids give a result each, other columns are
+    ignored, whatever their names, and an empty table gives an empty result.
     """
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,10 +375,10 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         codec = _codec(model_path)
         for batch in batches:
             rows = [codec.digests(t) for t in batch.column(1).to_pylist()]
-            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, *shas = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in shas)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256"])
 
     source = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     if digests:
-        return source.mapInArrow(digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return source.mapInArrow(digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string")
     return source.mapInArrow(plain, "doc_id long, ids array<int>, begins array<long>, ends array<long>, decoded string")
