@@ -1,18 +1,24 @@
 """Format-preserving pseudonyms of personal data, with DataFrame functions only.
 
 A value that its own rule accepts (check digits, ranges, the calendar) is permuted by a keyed Feistel network over the
-positions of its format, so equal values get equal pseudonyms in every document, different ones different pseudonyms,
-and a pseudonym is again valid for its format. What fails its rule stays as it is.
+positions of its format, so equal values get equal pseudonyms in every document, different ones of one format different
+pseudonyms, and a pseudonym is again valid for its format. What fails its rule stays as it is. Whoever has the key can
+undo it all: it belongs to the session's settings, not to code.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import unused
+
 ROUNDS = 8
+#: The setting that holds the key.
+KEY = "spark.quillon.pseudonym.key"
 #: Days of 400 years of the calendar, 189 * 773, from the first day of 1800.
 EPOCH, DAYS_HIGH, DAYS_LOW = "1800-01-01", 189, 773
 
@@ -105,9 +111,11 @@ def mod97(s: Column) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    # Letters outside ASCII have no class of their own to be permuted in: a keyed letter stands for each.
-    letter = lambda c: F.char(97 + _number(F.sha2(F.concat_ws("|", F.lit(key), c), 256)) % 26)
-    plain = F.array_join(F.transform(_chars(F.substring_index(m, "@", 1)), lambda c: F.when(c.rlike("^[\\x00-\\x7F]$"), c).otherwise(letter(c))), "")
+    # Letters outside ASCII have no class of their own to be permuted in: keyed letters stand for each, as many as it
+    # takes to tell all characters apart.
+    letter = lambda n, i: F.char(97 + (F.floor(n / 26**i) % 26).cast("int"))
+    code = lambda c: let(F.get(feistel(F.array(F.floor(F.ascii(c) / 1056).cast("long"), F.ascii(c).cast("long") % 1056), F.array(F.lit(1056).cast("long"), F.lit(1056).cast("long")), key, "letter"), F.lit(0)) * 1056 + F.get(feistel(F.array(F.floor(F.ascii(c) / 1056).cast("long"), F.ascii(c).cast("long") % 1056), F.array(F.lit(1056).cast("long"), F.lit(1056).cast("long")), key, "letter"), F.lit(1)), lambda n: F.concat(*(letter(n, i) for i in range(5))))
+    plain = F.array_join(F.transform(_chars(F.substring_index(m, "@", 1)), lambda c: F.when(c.rlike("^[\\x00-\\x7F]$"), c).otherwise(code(c))), "")
     return F.concat(permuted(plain, key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
 
@@ -203,23 +211,34 @@ def pseudonym(value: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "quillon", text_col: str = "text") -> DataFrame:
-    """``docs`` with its text pseudonymised, and n_found and n_changed, the values of a known shape and those replaced.
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's setting KEY. A session without one gets a random key, and keeps it: values are then
+    linked within what it writes, and to nothing else."""
+    key = spark.conf.get(KEY, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY, key)
+    return key
+
 
-    All other columns stay (columns named n_found or n_changed are replaced). Null texts stay null, with counts 0;
-    the rest of a text is not touched. Rows are independent: there is no shuffle.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` with its text pseudonymised, and with ``counts`` n_found and n_changed, the values of a known shape and
+    those replaced.
+
+    All other columns stay, whatever their names, but n_found and n_changed are replaced where they are asked for. Texts
+    of any length are read whole; null texts stay null, with counts 0, empty ones empty; the rest of a text is not
+    touched. Rows are independent: repeated rows give equal results, null ids count like others, there is no shuffle,
+    and an empty table gives an empty result.
     """
     text = F.col(text_col)
+    found_col, new_col = unused(docs.columns, "found"), unused(docs.columns, "replaced")
     # Every shape has a digit or an at sign; most texts have neither and need no closer look.
     near = F.contains(text, F.lit("@")) | text.rlike("[0-9]")
     found = F.when(near, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    held = docs.withColumn("__found", found)
-    held = held.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
-    whole = F.array_join(F.zip_with(F.split(text, ANY, -1), F.array_append(F.col("__new"), F.lit("")), lambda gap, value: F.concat(gap, value)), "")
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
-    return (
-        held.withColumn("n_found", F.size("__found").cast("long"))
-        .withColumn("n_changed", changed.cast("long"))
-        .withColumn(text_col, F.when(F.size("__found") > 0, whole).otherwise(text))
-        .drop("__found", "__new")
-    )
+    held = docs.withColumn(found_col, found)
+    held = held.withColumn(new_col, F.transform(found_col, lambda m: pseudonym(m, key)))
+    whole = F.array_join(F.zip_with(F.split(text, ANY, -1), F.array_append(F.col(new_col), F.lit("")), lambda gap, value: F.concat(gap, value)), "")
+    changed = F.size(F.filter(F.zip_with(found_col, new_col, lambda a, b: a != b), lambda x: x))
+    if counts:
+        held = held.withColumn("n_found", F.coalesce(F.size(found_col), F.lit(0)).cast("long")).withColumn("n_changed", F.coalesce(changed, F.lit(0)).cast("long"))
+    return held.withColumn(text_col, F.when(F.size(found_col) > 0, whole).otherwise(text)).drop(found_col, new_col)

@@ -36,7 +36,7 @@ def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_changed")
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), pii.session_key(spark)).select("doc_id", "text", "n_found", "n_changed")
 
 
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

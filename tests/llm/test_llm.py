@@ -261,11 +261,13 @@ def test_codec_is_exact(docs, none):
         assert codec.encode(t) == ids and codec.decode(ids) == sp.decode(ids)
         spans, raw = codec.spans(t), t.encode()
         assert [s[0] for s in spans] == ids
+        assert codec.digests(t)[3] == hashlib.sha256(np.array([s[2] for s in spans], "<u8").tobytes()).hexdigest()
         assert all(a[2] == b[1] for a, b in zip(spans, spans[1:])) and (not spans or (spans[0][1], spans[-1][2]) == (0, len(raw)))
     got = by_id(sentencepiece_codec.encode_documents(docs, P.path("piece_bpe_32k.model"), digests=True))
     for i, t in texts_of(docs).items():
         ids = sp.encode(t)
-        assert tuple(got[i])[1:] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+        assert tuple(got[i])[1:4] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+        assert got[i].ends_sha256 == hashlib.sha256(np.array([s[2] for s in codec.spans(t)], "<u8").tobytes()).hexdigest()
     full = by_id(sentencepiece_codec.encode_documents(docs, P.path("piece_bpe_32k.model")))
     assert all(r.ids == sp.encode(texts_of(docs)[i]) for i, r in full.items())
     assert sentencepiece_codec.encode_documents(none, P.path("piece_bpe_32k.model")).count() == 0
@@ -291,7 +293,7 @@ def test_character_map_takes_the_longest_prefix():
 def test_pseudonyms(spark, docs, none):
     card, mail = "4111 1111 1111 1111", "die.55@mail4.example.com"
     rows = [(1, f"{card} x {mail} +1 (017) 555-7713 97.51.17.173"), (2, f"{mail}, {card}. 1984-02-29 31/12/1999"), (3, "4111111111111112 300.1.1.1 2023-02-30 000-12-3456 v2.0"), (4, None), (5, ""), (6, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" 123-45-6789 GB82 WEST 1234 5698 7654 32')]
-    got = by_id(pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = by_id(pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
     assert got[3].text == rows[2][1] and got[3].n_changed == 0 and got[4].text is None and got[5].text == ""
     new_card = re.match(r"\d{4} \d{4} \d{4} \d{4}", got[1].text)[0]
     assert new_card in got[2].text and new_card != card and luhn(new_card.replace(" ", ""))
@@ -301,7 +303,7 @@ def test_pseudonyms(spark, docs, none):
     assert not any(x in got[6].text for x in ("04dbebab", "123-45-6789", "WEST")) and got[6].n_changed == 3
     iban = re.search(r"GB[\w ]+$", got[6].text)[0].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
-    assert pii.pseudonymise(none).count() == 0 and pii.pseudonymise(docs).count() == docs.count()
+    assert pii.pseudonymise(none, "k").count() == 0 and pii.pseudonymise(docs, "k").count() == docs.count()
 
 
 def luhn(d):

@@ -22,7 +22,7 @@ def test_card_groupings_and_long_secrets(spark):
     beside = next(f"{i:03}" for i in range(1000) if not luhn(card.replace(" ", "") + f"{i:03}"))
     texts = [a, b, f"{card} {beside}", f"{card} 123-45-6789", f"{card} 12@mail.example.com", f"token = {token}"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
     for i, t in ((0, short), (1, long)):
         new = got[i].text.replace(" ", "").replace("-", "")
         assert new != t and len(new) == len(t) and luhn(new) and got[i].n_changed == 1
