@@ -81,7 +81,7 @@ def packed_lines(docs: DataFrame, least: int) -> DataFrame:
                 if size > TOGETHER:
                     yield rows()
                     lines, counts, numbers, size, ids = [], [], [], 0, []
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 300_000:
                         seen.clear()
         if lines:
             yield rows()

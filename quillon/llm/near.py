@@ -25,7 +25,7 @@ BLOCK = 512
 #: Members of a bucket of which all pairs with signatures that agree may come out: at most seven for a member.
 SMALL = 16
 #: Pairs that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Slots of the buckets' range for each shuffle partition.
 SLOTS = 8
 PACKED = "slot int, kind int, data binary"

@@ -48,7 +48,7 @@ def packed_sets(docs: DataFrame, k: int = 5) -> DataFrame:
                 ids = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in keys]
                 rows = pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "id", "key"])
                 yield np.frombuffer(b"".join(fresh), np.int64), bands(minhash.signatures(list(fresh.values())), ROWS), rows
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 seen.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,7 +140,7 @@ class WordTokenizer:
     #: How the tokenizer splits; on plain words, where this class and the library agree.
     PART = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
     PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-    WORDS, PARTS = 1_000_000, 1_000_000
+    WORDS, PARTS = 400_000, 500_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
