@@ -94,8 +94,8 @@ def all_caps(x: Column) -> Column:
     return (F.upper(x) == x) & (F.lower(x) != x) & (F.length(x) > 2)
 
 
-#: Titles before names, longest first.
-HONORIFICS = ["grand ayatollah", "prime minister", "vice president", "crown prince", "secretary general", "ayatollah", "president", "chancellor", "minister", "general", "colonel", "senator", "governor", "ambassador", "premier", "emperor", "doctor", "captain", "prince", "princess", "queen", "king", "pope", "sheikh", "imam", "lord", "lady", "sir", "mrs.", "mrs", "mr.", "mr", "ms.", "ms", "dr.", "dr"]
+#: Titles before names.
+HONORIFICS = ["grand ayatollah", "ayatollah", "prime minister", "field marshal", "grand mufti", "sheikh", "sheikha", "imam", "president", "general", "governor", "chancellor", "cardinal", "archbishop", "bishop", "colonel", "major", "captain", "admiral", "king", "queen", "prince", "princess", "sultan", "emir", "senator", "pope", "dr.", "dr", "mr.", "mr", "mrs.", "mrs", "ms.", "ms"]
 
 
 def person_key(name: Column) -> Column:

@@ -126,20 +126,38 @@ def linked_qids(entities: DataFrame, lookup: DataFrame) -> DataFrame:
     return out.withColumn("wikidata_qid", qid).withColumn("canonical_entity_id", F.coalesce(pointer, F.col("canonical_entity_id"))).drop("__qid", "__first")
 
 
-def triggered(indicators: DataFrame, titles: DataFrame) -> DataFrame:
-    """indicator_id, event_id where a title holds half of an indicator's words or more (both of two, or one of one).
+#: Indicators that are held at once beside every title; more are matched in as many turns as it takes.
+TOGETHER = 5_000
 
-    Words shorter than three characters do not count. Titles are cut into words and joined on them, so an indicator
-    meets only titles that share a word with it.
+
+def triggered(indicators: DataFrame, titles: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """indicator_id, event_id, n_hits where a title holds half of an indicator's terms or more (both of two, or the one).
+
+    Terms are what white space delimits, of three characters or more, in lower case; repeated ones count each time. A
+    term is found anywhere in a title, also within a word. The indicators of one turn are one broadcast row.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
-    own = indicators.select("indicator_id", words(F.col("label")).alias("terms")).where("size(terms) > 0")
-    n = F.size("terms")
-    needed = F.when(n <= 2, n).otherwise(F.ceil(n / 2))
-    terms = own.select("indicator_id", needed.alias("needed"), F.explode("terms").alias("term"))
-    heads = titles.select("event_id", F.explode(words(F.col("title"))).alias("term"))
-    hits = terms.join(heads, "term").groupBy("indicator_id", "event_id", "needed").agg(F.count(F.lit(1)).alias("n_hits"))
-    return hits.where("n_hits >= needed").select("indicator_id", "event_id", "n_hits")
+    terms = F.filter(F.split(F.lower(F.trim("label")), r"\s+"), lambda w: F.length(w) > 2)
+    own = indicators.select("indicator_id", terms.alias("terms")).where("size(terms) > 0")
+    turns = -(-own.count() // together)
+    lower = titles.where("title is not null").select("event_id", F.lower("title").alias("title"))
+    out = titles.sparkSession.createDataFrame([], f"indicator_id {dict(indicators.dtypes)['indicator_id']}, event_id {dict(titles.dtypes)['event_id']}, n_hits int")
+    for turn in range(turns):
+        part = own.where(F.pmod(F.xxhash64("indicator_id"), F.lit(turns)) == turn)
+        row = part.agg(F.collect_list(F.struct("indicator_id", "terms")).alias("held"))
+        found = lambda x: F.size(F.filter(x["terms"], lambda t: F.contains(F.col("title"), t)))
+        hits = F.transform("held", lambda x: F.struct(x["indicator_id"].alias("indicator_id"), F.size(x["terms"]).alias("n"), found(x).alias("n_hits")))
+        enough = F.filter(hits, lambda h: h["n_hits"] >= F.when(h["n"] <= 2, h["n"]).otherwise(F.ceil(h["n"] / 2)))
+        out = out.unionByName(lower.crossJoin(F.broadcast(row)).select("event_id", F.explode(enough).alias("h")).select("h.indicator_id", "event_id", "h.n_hits"))
+    return out
+
+
+def fired(items: DataFrame, matches: DataFrame, now: Column) -> DataFrame:
+    """Watchlist items (id, status, triggered_at) after matches (indicator_id, event_id): active ones with a match are
+    triggered, once; others stay as they are."""
+    hit = matches.select(F.col("indicator_id").alias("id")).distinct().withColumn("__hit", F.lit(True))
+    joined = items.join(hit, "id", "left")
+    fires = F.col("__hit").isNotNull() & (F.col("status") == "active")
+    return joined.withColumn("triggered_at", F.when(fires, now).otherwise(F.col("triggered_at"))).withColumn("status", F.when(fires, "triggered").otherwise(F.col("status"))).drop("__hit")
 
 
 def dossier(parts: list[tuple[str, DataFrame, Column, int]]) -> DataFrame:

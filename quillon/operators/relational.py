@@ -25,14 +25,32 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return keyed.unionByName(df.where(~_all_null_free(keys)))
 
 
-def insert_or_ignore(df: DataFrame, unique: Sequence[Sequence[str]], order: Sequence[str | Column], existing: DataFrame | None = None) -> DataFrame:
-    """First wins on any of several unique keys, applied one key after the other.
+def insert_or_ignore(df: DataFrame, unique: Sequence[Sequence[str]], order: Sequence[str], existing: DataFrame | None = None) -> DataFrame:
+    """The rows that a store with several unique keys takes, one after the other in ``order``: a row goes if one that
+    was taken before, or is in ``existing``, has any of its keys. Nulls never conflict; ``order`` tells rows apart.
 
-    A row dropped by an earlier key no longer blocks rows on a later one, as if keys were checked in this order.
+    In each round the rows that come first for all their keys are taken, and those that conflict with them go, until
+    none is left; the first row of all is taken in every round, so it ends.
     """
-    for keys in unique:
-        df = first_wins(df, keys, order, existing)
-    return df
+    left = df
+    if existing is not None:
+        for keys in unique:
+            left = left.join(existing.select(*keys).distinct(), list(keys), "left_anti").select(df.columns)
+    place, taken = F.struct(*order), None
+    left = left.checkpoint()
+    while not left.isEmpty():
+        first = left
+        for k, keys in enumerate(unique):
+            low = left.where(_all_null_free(keys)).groupBy(*keys).agg(F.min(place).alias(f"__low{k}"))
+            first = first.join(low, list(keys), "left")
+            first = first.where(F.col(f"__low{k}").isNull() | (F.col(f"__low{k}") == place)).select(df.columns)
+        first = first.checkpoint()
+        taken = first if taken is None else taken.unionByName(first)
+        left = left.join(first.select(*order), list(order), "left_anti").select(df.columns)
+        for keys in unique:
+            left = left.join(first.where(_all_null_free(keys)).select(*keys).distinct(), list(keys), "left_anti").select(df.columns)
+        left = left.checkpoint()
+    return left if taken is None else taken
 
 
 def last_wins(existing: DataFrame, batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

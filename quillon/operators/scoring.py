@@ -11,7 +11,7 @@ COST, SLIPPAGE, ALPHA = 0.001, 0.0005, 0.001
 #: Fixed values of the published scores.
 ALTMAN_SAFE, ALTMAN_DISTRESS = 2.99, 1.81
 FINANCIAL_SECTORS = ["financial services", "financials", "financial"]
-FINANCIAL_INDUSTRIES = ["bank", "insurance", "capital markets", "asset management", "credit services"]
+FINANCIAL_INDUSTRIES = ["bank", "insurance", "capital markets", "credit"]
 
 
 def brier(probability: Column, happened: Column) -> Column:
@@ -44,6 +44,18 @@ def calibration(predictions: DataFrame, probability: str, outcome: Column, by: S
     return frame.join(own, [*by, "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def calibration_summary(predictions: DataFrame, probability: Column, happened: Column, resolved: Column, horizon: Column, by: Sequence[str]) -> DataFrame:
+    """Resolved predictions by group: how many, mean Brier score, mean time-adjusted score, and the share that happened
+    in time. ``happened`` is null where a prediction is still open."""
+    own = predictions.where(happened.isNotNull())
+    return own.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(brier(probability, happened)).alias("mean_brier"),
+        F.avg(time_adjusted(probability, happened, resolved, horizon)).alias("mean_time_adjusted"),
+        F.avg(F.when(on_time(happened, resolved, horizon), 1.0).otherwise(0.0)).alias("share_in_time"),
+    )
+
+
 def per_share_costs(price: Column) -> Column:
     return price * (COST + SLIPPAGE)
 
