@@ -214,7 +214,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, counts: bool
     joined = docs.join(drops.hint("merge"), docs["doc_id"].cast("long") == drops[own], "left")
     out = joined
     if counts:
-        out = out.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
+        out = out.withColumn("n_lines", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"))
         out = out.withColumn("n_dropped", F.when(F.col("text").isNull() | F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
     # Texts that lose nothing don't leave the JVM.
     left = F.pandas_udf(_without, "string")(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone))
