@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.lookups import AMBIGUOUS, place_label
 from quillon.functions.scalar import clean_name, last_token, person_key
 
 DOMINANCE = 3
@@ -48,12 +49,23 @@ def canonical_people(entities: DataFrame) -> DataFrame:
     return variants.union(bare)
 
 
-def canonical_places(entities: DataFrame, keys: DataFrame) -> DataFrame:
-    """id, canonical_id, label of places (id, name, mentions) whose lower-case name has an entry (name, label) in
-    ``keys``; of each label the most mentioned row is canonical."""
-    own = entities.join(keys.withColumnRenamed("name", "__name"), F.lower("name") == F.col("__name"))
-    top = own.groupBy("label").agg(F.max(F.struct("mentions", (-F.col("id")).alias("neg"))).alias("t"), F.count(F.lit(1)).alias("n"))
-    return own.join(top.where("n >= 2"), "label").select("id", (-F.col("t.neg")).alias("canonical_id"), "label")
+def canonical_places(entities: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """id, canonical_id, label of places (id, name, mentions) that name one place in different words; of each label the
+    most mentioned row is canonical.
+
+    A name's label is that of ``keys`` (name in lower case, label) where it has an entry, else the country that it is an
+    adjective of, else the one that it is an alias of; other names are labels themselves, whatever their case, so that a
+    country's own name meets its other words.
+    """
+    label = place_label(F.col("name"))
+    own = entities
+    if keys is not None:
+        own = own.join(keys.select(F.col("name").alias("__name"), F.col("label").alias("__label")).dropDuplicates(["__name"]), F.lower("name") == F.col("__name"), "left")
+        label = F.coalesce("__label", label)
+    own = own.withColumn("label", F.coalesce(label, "name")).withColumn("__key", F.lower("label"))
+    top = own.groupBy("__key").agg(F.max(F.struct("mentions", (-F.col("id")).alias("neg"))).alias("t"), F.min(F.when(F.lower("name") != F.lower("label"), F.col("label"))).alias("known"), F.count(F.lit(1)).alias("n"))
+    out = own.join(top.where("n >= 2"), "__key")
+    return out.select("id", (-F.col("t.neg")).alias("canonical_id"), F.coalesce("known", "label").alias("label"))
 
 
 def retyped(mentions: DataFrame, entities: DataFrame, new_type: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -69,6 +81,16 @@ def retyped(mentions: DataFrame, entities: DataFrame, new_type: Column) -> tuple
     return out, added, moved
 
 
+def repointed(edges: DataFrame, moved: DataFrame, weight: str = "strength") -> DataFrame:
+    """Edges (entity_a, entity_b, weight) between the rows that are kept (id -> kept): loops go, and edges that then are
+    the same become the strongest of them."""
+    a, b = (moved.select(F.col("id").alias(c), F.col("kept").alias(f"__{c}")) for c in ("entity_a", "entity_b"))
+    out = edges.join(a, "entity_a", "left").join(b, "entity_b", "left")
+    x, y = F.coalesce("__entity_a", "entity_a"), F.coalesce("__entity_b", "entity_b")
+    out = out.select(F.least(x, y).alias("entity_a"), F.greatest(x, y).alias("entity_b"), weight).where("entity_a <> entity_b")
+    return out.groupBy("entity_a", "entity_b").agg(F.max(weight).alias(weight))
+
+
 def without_noise(entities: DataFrame, noise: list[str]) -> DataFrame:
     """Entities that are not noise; pointers to noise rows become null."""
     bad = entities.where(F.lower("name").isin([x.lower() for x in noise])).select(F.col("id").alias("__bad"))
@@ -115,15 +137,24 @@ def geocoded(events: DataFrame, cache: DataFrame, most: int = 50) -> tuple[DataF
 
 
 def linked_qids(entities: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Entities with the id that a lookup (name, entity_type, qid) gives; of several rows with one id the most mentioned
-    keeps it and the others point to that row."""
-    found = entities.join(lookup.select("name", "entity_type", F.col("qid").alias("__qid")), ["name", "entity_type"], "left")
-    order = Window.partitionBy("__qid").orderBy(F.col("mentions").desc(), "id")
-    first = F.first("id").over(order)
-    out = found.withColumn("__first", F.when(F.col("__qid").isNotNull(), first))
+    """Entities with the id that a lookup (name, entity_type, qid, and maybe found_type) gives; of several rows with one
+    id one keeps it and the others point to that row.
+
+    The keeper is one whose type is the one that the knowledge base gives (found_type), of those the most mentioned. A
+    name that stands for a country and something else is linked only where found_type says that it is the same thing.
+    """
+    typed = "found_type" in lookup.columns
+    cols = ["name", "entity_type", F.col("qid").alias("__qid"), (F.col("found_type") if typed else F.lit(None).cast("string")).alias("__type")]
+    found = entities.join(lookup.select(*cols), ["name", "entity_type"], "left")
+    right = F.coalesce(F.col("__type") == F.col("entity_type"), F.lit(False))
+    found = found.withColumn("__qid", F.when(right | ~F.lower("name").isin(AMBIGUOUS), F.col("__qid")))
+    # The best of each id is a grouped maximum, combined before it is shuffled.
+    best = found.where("__qid is not null").groupBy("__qid").agg(F.max(F.struct(right.alias("r"), F.col("mentions"), (-F.col("id")).alias("neg"))).alias("t"))
+    out = found.join(best.select("__qid", (-F.col("t.neg")).alias("__first")), "__qid", "left")
     qid = F.when(F.col("__first") == F.col("id"), F.col("__qid"))
     pointer = F.when(F.col("__first") != F.col("id"), F.col("__first"))
-    return out.withColumn("wikidata_qid", qid).withColumn("canonical_entity_id", F.coalesce(pointer, F.col("canonical_entity_id"))).drop("__qid", "__first")
+    out = out.withColumn("wikidata_qid", qid).withColumn("canonical_entity_id", F.coalesce(pointer, F.col("canonical_entity_id")))
+    return out.drop("__qid", "__first", "__type")
 
 
 #: Indicators that are held at once beside every title; more are matched in as many turns as it takes.

@@ -192,3 +192,24 @@ def valid_predictions(df: DataFrame, areas: Sequence[str], kinds: Sequence[str])
     )
     marked = df.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
+def prediction_domains(predictions: DataFrame, valid: Sequence[str]) -> DataFrame:
+    """prediction_id, domain: the valid domains of predictions (id, domains), each once."""
+    rows = predictions.select(F.col("id").alias("prediction_id"), F.explode("domains").alias("domain"))
+    return rows.where(F.col("domain").isin(list(valid))).distinct()
+
+
+def revisions(predictions: DataFrame, asked: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Predictions (id, resolved, probability, ...) with the probability last asked for (id, seq, probability, reason),
+    and a log of all changes: id, seq, old_probability, new_probability, reason, revised_at.
+
+    Resolved predictions, and probabilities that are null or not within 0 and 1, are passed over.
+    """
+    open_ = predictions.where("not resolved").select("id", F.col("probability").alias("__now"))
+    new = asked.where("probability >= 0 and probability <= 1").join(open_, "id")
+    before = F.lag("probability").over(Window.partitionBy("id").orderBy("seq"))
+    log = new.select("id", "seq", F.coalesce(before, "__now").alias("old_probability"), F.col("probability").alias("new_probability"), "reason", now.alias("revised_at"))
+    last = new.groupBy("id").agg(F.max_by("probability", "seq").alias("__new"))
+    out = predictions.join(last, "id", "left").withColumn("probability", F.coalesce("__new", "probability")).select(predictions.columns)
+    return out, log

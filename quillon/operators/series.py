@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 LEAST_BASELINE = 10
 
 
-def trailing_anomalies(series: DataFrame, keys: Sequence[str], time: str, value: str, baseline: int = 30, threshold: float = 2.0, direction: str = "both", least: float | None = 0.0, latest_only: bool = False) -> DataFrame:
-    """Points far from the rows before them: keys, time, value, mean, std, z, pct.
+def trailing_anomalies(series: DataFrame, keys: Sequence[str], time: str, value: str, baseline: int = 30, threshold: float = 2.0, direction: str = "both", least: float | None = 0.0, latest_only: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """Points far from the rows before them: keys, time, value, mean, std, z, pct, and the columns to ``carry``.
 
     Null values go first. The baseline is up to ``baseline`` rows (not days) strictly before a point, of which ten are
     needed; points below ``least`` and flat baselines are passed over. Thresholds are inclusive.
@@ -19,7 +19,7 @@ def trailing_anomalies(series: DataFrame, keys: Sequence[str], time: str, value:
     order = Window.partitionBy(*keys).orderBy(time)
     before = order.rowsBetween(-baseline, -1)
     x = F.col(value)
-    out = series.where(x.isNotNull()).select(*keys, time, value)
+    out = series.where(x.isNotNull()).select(*keys, time, value, *carry)
     if latest_only:
         out = out.withColumn("__last", F.lead(time).over(order).isNull())
     out = out.withColumn("n", F.count(value).over(before)).withColumn("mean", F.avg(value).over(before)).withColumn("std", F.stddev_samp(value).over(before))
@@ -32,7 +32,7 @@ def trailing_anomalies(series: DataFrame, keys: Sequence[str], time: str, value:
     out = out.withColumn("pct", F.when(F.col("mean") != 0, (x - F.col("mean")) / F.col("mean") * 100).otherwise(F.lit(0.0)))
     z = F.col("z")
     test = {"both": F.abs(z) >= threshold, "surge": z >= threshold, "drop": z <= -threshold}[direction]
-    return out.where(test).select(*keys, time, value, "mean", "std", "z", "pct")
+    return out.where(test).select(*keys, time, value, "mean", "std", "z", "pct", *carry)
 
 
 def calendar(keys: DataFrame, start: Column, end: Column, name: str = "day") -> DataFrame:

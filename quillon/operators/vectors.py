@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import dot, norm
@@ -127,3 +127,32 @@ def lsh_buckets(df: DataFrame, id_col: str, vector: str, dims: int, planes: int
 
     source = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
     return source.mapInPandas(run, "id long, table int, bucket long")
+
+
+def packed_floats(vector: Column) -> Column:
+    """The little-endian 32-bit floats of a vector as binary, which other stores keep."""
+
+    def pack(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return F.pandas_udf(pack, "binary")(vector)
+
+
+def unpacked_floats(raw: Column) -> Column:
+    """The vector that such binary holds."""
+
+    def unpack(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+    return F.pandas_udf(unpack, "array<float>")(raw)
+
+
+def plane(df: DataFrame, id_col: str, vector: str, dims: int = 2) -> DataFrame:
+    """id and the coordinates of vectors on their first principal components."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.where(F.col(vector).isNotNull()).select(id_col, array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    fitted = PCA(k=dims, inputCol="__v", outputCol="__p").fit(rows)
+    at = vector_to_array("__p")
+    return fitted.transform(rows).select(id_col, *(at[i].alias(f"pc{i + 1}") for i in range(dims)))

@@ -477,27 +477,24 @@ def brier_time_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS p FROM lineitem)
-SELECT l_orderkey, l_linenumber, greatest(0.01, round(p, 3)) AS probability FROM s""")
+SELECT l_orderkey, l_linenumber, greatest(0.01, round_even(p, 4)) AS probability FROM s""")
 def probability_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    w = Window.partitionBy("l_orderkey")
-    return lines.select("l_orderkey", "l_linenumber", F.greatest(F.lit(0.01), F.round(F.col("l_extendedprice") / F.sum("l_extendedprice").over(w), 3)).alias("probability"))
+    return scoring.normalised_probabilities(lines, "l_orderkey", F.col("l_extendedprice")).drop("l_extendedprice")
 
 
 @query("""
 WITH f AS (SELECT s_nationkey AS k, sum(s_acctbal) AS sa FROM supplier GROUP BY 1),
 c AS (SELECT c_nationkey AS k, sum(c_acctbal) AS ca, count(*) AS n, max(c_acctbal) AS hi, sum(c_acctbal) FILTER (WHERE c_acctbal > 5000) AS big FROM customer GROUP BY 1),
 z AS (SELECT n_name AS company, 1.2 * sa / nullif(ca, 0) + 1.4 * hi / nullif(ca, 0) + 3.3 * big / nullif(ca, 0) + 0.6 * n * 1000 / nullif(sa, 0) + big / nullif(ca, 0) AS z FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN f ON f.k = n_nationkey)
-SELECT company, round(z, 3) AS z, CASE WHEN z IS NULL THEN 'unavailable' WHEN z > 2.99 THEN 'safe' WHEN z < 1.81 THEN 'distress' ELSE 'grey' END AS zone FROM z""")
+SELECT company, round_even(z, 2) AS z, CASE WHEN z IS NULL THEN 'unavailable' WHEN z > 2.99 THEN 'safe' WHEN z < 1.81 THEN 'distress' ELSE 'grey' END AS zone FROM z""")
 def altman_like_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sum("s_acctbal").alias("working_capital_0"))
     c = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sum("c_acctbal").alias("total_assets_0"), (F.count(F.lit(1)) * 1000.0).alias("cap"), F.max("c_acctbal").alias("retained_0"), F.sum(F.when(F.col("c_acctbal") > 5000, F.col("c_acctbal"))).alias("ebit_0"))
     rows = read(spark, sf_dir, "nation").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
     rows = rows.withColumn("total_liabilities_0", F.col("working_capital_0")).withColumn("revenue_0", F.col("ebit_0")).withColumn("current_assets_0", F.lit(None).cast("double")).withColumn("current_liabilities_0", F.lit(None).cast("double"))
-    t = F.col
-    z = 1.2 * t("working_capital_0") / F.nullif(t("total_assets_0"), F.lit(0.0)) + 1.4 * t("retained_0") / F.nullif(t("total_assets_0"), F.lit(0.0)) + 3.3 * t("ebit_0") / F.nullif(t("total_assets_0"), F.lit(0.0)) + 0.6 * t("cap") / F.nullif(t("total_liabilities_0"), F.lit(0.0)) + t("revenue_0") / F.nullif(t("total_assets_0"), F.lit(0.0))
-    _, zone = scoring.altman(F.col("cap"), F.lit(False))
-    return rows.select(F.col("n_name").alias("company"), F.round(z, 3).alias("z"), zone.alias("zone"))
+    z, zone = scoring.altman(F.col("cap"), F.lit(False))
+    return rows.select(F.col("n_name").alias("company"), z.alias("z"), zone.alias("zone"))
 
 
 @query("""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions.lookups import lookup
 from quillon.functions.scalar import compact_date, content_hash, epoch_ms, joined_key, number, parse_time, safe_float, safe_int, severity_deaths, severity_goldstein, severity_magnitude, strip_tags, title_country, wkt_point
 from quillon.operators.relational import first_wins
 
@@ -28,13 +29,10 @@ EVENT_COLUMNS = [
 ]
 #: Names of the twenty root codes of the event code book.
 EVENT_TYPES = {"01": "statement", "02": "appeal", "03": "cooperate_intent", "04": "consult", "05": "diplomatic", "06": "material_coop", "07": "aid", "08": "yield", "09": "investigate", "10": "demand", "11": "disapprove", "12": "reject", "13": "threaten", "14": "protest", "15": "force_posture", "16": "reduce_relations", "17": "coerce", "18": "assault", "19": "fight", "20": "mass_violence"}
+#: Kinds of violence, directions of trade, and short names of the commodities that are watched.
 VIOLENCE = {"1": "state-based conflict", "2": "non-state conflict", "3": "one-sided violence"}
 FLOWS = {"M": "Import", "X": "Export"}
-
-
-def lookup(values: dict[str, str], key: Column, default: Column | None = None) -> Column:
-    found = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[key]
-    return found if default is None else F.coalesce(found, default)
+COMMODITIES = {"8541": "semiconductor devices", "8542": "integrated circuits", "8486": "chip-making machinery"}
 
 
 def file_slots(spark: SparkSession, first: str, last: str, sample_hours: int = 0) -> DataFrame:
@@ -172,22 +170,34 @@ def periods(spark: SparkSession, first: str, last: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(a, b, F.expr("interval 1 month"))).alias("m")).select(F.date_format("m", "yyyyMM").alias("period"))
 
 
+def recent_periods(spark: SparkSession, today: str, n: int = 3, lag: int = 2) -> DataFrame:
+    """The last ``n`` months YYYYMM that are published ``lag`` months after they end, the newest first."""
+    month = F.trunc(F.to_date(F.lit(today)), "month")
+    return spark.range(n).select(F.date_format(F.add_months(month, -F.col("id").cast("int") - lag), "yyyyMM").alias("period")).orderBy(F.col("period").desc())
+
+
 def trade_flows(spark: SparkSession, path: str) -> DataFrame:
     record = "reporterCode int, reporterISO string, reporterDesc string, flowCode string, flowDesc string, partnerDesc string, cmdCode string, cmdDesc string, period string, refYear int, refMonth int, primaryValue double, netWgt double"
     pages = spark.read.schema("data array<struct<" + record.replace(", ", ",").replace(" ", ":") + ">>").json(path, multiLine=True)
     return pages.select(F.explode("data").alias("d")).select("d.*")
 
 
+def _grouped(x: Column, digits: int) -> Column:
+    """A number with commas between thousands, halves as the even number."""
+    return F.format_string(f"%,.{digits}f", F.bround(x, digits))
+
+
 def trade_documents(flows: DataFrame) -> DataFrame:
     """A document for each flow: url, title, body, published_at, content_hash over url and value."""
     c = F.col
     value = F.coalesce("primaryValue", F.lit(0.0))
     label = lookup(FLOWS, c("flowCode"), c("flowCode"))
     who = F.coalesce("reporterISO", c("reporterCode").cast("string"), F.lit("?"))
+    short = lookup(COMMODITIES, c("cmdCode"), c("cmdCode"))
     url = F.concat(F.lit("comtrade://"), F.concat_ws("/", who, "cmdCode", "flowCode", "period"))
-    title = F.concat(who, F.lit(" "), label, F.lit(" HS"), c("cmdCode"), F.lit(" "), c("period"), F.lit(": $"), F.format_number(value / 1e6, 1), F.lit("M"))
-    body = F.concat(F.coalesce("reporterDesc", who), F.lit(" "), F.lower(label), F.lit(" of HS "), c("cmdCode"), F.lit(" — "), F.coalesce("cmdDesc", c("cmdCode")), F.lit(". Partner: "), F.coalesce("partnerDesc", F.lit("World")), F.lit(". Period "), c("period"), F.lit(". Trade value: $"), F.format_number(value, 0), F.lit("."))
-    body = F.concat(body, F.when(c("netWgt") > 0, F.concat(F.lit(" Net weight: "), F.format_number("netWgt", 0), F.lit(" kg."))).otherwise(""))
+    title = F.concat(who, F.lit(" "), label, F.lit(" HS"), c("cmdCode"), F.lit(" ("), short, F.lit(") "), c("period"), F.lit(": $"), _grouped(value / 1e6, 1), F.lit("M"))
+    body = F.concat(F.coalesce("reporterDesc", who), F.lit(" "), F.lower(label), F.lit(" of HS "), c("cmdCode"), F.lit(" — "), F.coalesce("cmdDesc", short), F.lit(". Partner: "), F.coalesce("partnerDesc", F.lit("World")), F.lit(". Period "), c("period"), F.lit(". Trade value: $"), _grouped(value, 0), F.lit("."))
+    body = F.concat(body, F.when(c("netWgt") > 0, F.concat(F.lit(" Net weight: "), _grouped(c("netWgt"), 0), F.lit(" kg."))).otherwise(""))
     published = F.date_format(F.make_date("refYear", "refMonth", F.lit(1)), "yyyy-MM-dd'T'00:00:00")
     return flows.select(url.alias("url"), title.alias("title"), body.alias("body"), published.alias("published_at"), content_hash(url, value.cast("string")).alias("content_hash"))
 
@@ -247,9 +257,14 @@ def conflicts(spark: SparkSession, path: str, least_deaths: int = 25, start: str
     where = F.coalesce(F.nullif(t("where_description"), F.lit("")), F.nullif(t("adm_1"), F.lit("")), t("country"))
     kind = lookup(VIOLENCE, t("type_of_violence"), F.lit("violence"))
     span = F.when(F.col("d0") == F.col("d1"), F.concat(F.lit("on "), "d0")).otherwise(F.concat("d0", F.lit(" to "), "d1"))
-    summary = F.concat(F.concat(F.upper(F.substring(kind, 1, 1)), F.substring(kind, 2, 99)), F.lit(": "), t("side_a"), F.lit(" vs "), t("side_b"), F.lit(", "), where, F.lit(", "), t("country"), F.lit(", "), span, F.lit(". "), F.col("deaths").cast("string"), F.lit(" deaths."))
+    side = lambda c: F.trim(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("?")))
+    civilians = F.coalesce(F.nullif(F.col("deaths_civilians"), F.lit("")), F.lit("0"))
+    head = F.concat(F.upper(F.substring(kind, 1, 1)), F.substring(kind, 2, 99), F.lit(": "), side("side_a"), F.lit(" vs "), side("side_b"))
+    place = F.concat(where, F.lit(", "), t("country"))
+    toll = F.concat(F.col("deaths").cast("string"), F.lit(" deaths (best estimate, "), civilians, F.lit(" civilians)"))
+    summary = F.concat(head, F.lit(", "), place, F.lit(" ("), F.coalesce("region", F.lit("")), F.lit("), "), span, F.lit(". "), toll, F.lit(". UCDP GED id "), F.coalesce("id", F.lit("")), F.lit("."))
     title = F.concat(t("conflict_name"), F.lit(" — "), where)
-    return _events(rows.where(keep), "conflict", "ucdp", severity_deaths(F.col("deaths")), title, summary, F.col("d0"), F.col("d1"), t("country"), F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double"))
+    return _events(rows.where(keep), "conflict", "ucdp", severity_deaths(F.col("deaths")), title, summary, F.col("d0"), F.col("d1"), place, F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double"))
 
 
 def outbreaks(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, most: int = 2000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,8 @@ def export_dated(df: DataFrame, date_col: str, path: str) -> None:
     """
     month = F.substring(F.col(date_col).cast("string"), 1, 7)
     dated = df.withColumn("year", F.substring(month, 1, 4)).withColumn("month", F.substring(month, 6, 2))
-    dated = dated.where(F.length(month) == 7).repartition("year", "month")
+    # A month goes to few files, and a month too large for one task to several.
+    dated = dated.where(F.length(month) == 7).hint("rebalance", "year", "month")
     dated.write.partitionBy("year", "month").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").parquet(f"{path}/dated")
     df.where(F.col(date_col).isNull()).write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/undated")
 
@@ -43,3 +45,27 @@ def export_all(tables: dict[str, tuple[DataFrame, str | None]], path: str) -> Ex
         except Exception as e:  # noqa: BLE001  the export of the other tables must go on
             out.errors[name] = str(e)
     return out
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write a table beside the old one and put it in its place once it is whole; a write that fails leaves the old one.
+
+    ``df`` may read the table that it replaces. Readers see the old rows or the new ones, and for the moment between two
+    renames none.
+    """
+    spark = df.sparkSession
+    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.option("compression", "snappy").parquet(new)
+    except Exception:
+        files.delete(at(new), True)
+        raise
+    if files.exists(at(path)) and not files.rename(at(path), at(old)):
+        files.delete(at(new), True)
+        raise OSError(f"{path} could not be moved")
+    if not files.rename(at(new), at(path)):
+        files.rename(at(old), at(path))
+        raise OSError(f"{new} could not be moved to {path}")
+    files.delete(at(old), True)

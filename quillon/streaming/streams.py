@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,19 +84,37 @@ def once(items: DataFrame, fired: DataFrame, key: str) -> DataFrame:
     return items.dropDuplicates([key]).join(fired.select(key), key, "left_anti")
 
 
-def run_phases(phases: list[tuple[str, Callable[[], None]]], start_from: str | None = None, retries: int = 3) -> list[str]:
-    """Run phases in order, each once, with retries; the names of those done. Stops at a phase that keeps failing."""
+def run_phases(phases: list[tuple[str, Callable[[], None]]], start_from: str | None = None, retries: int = 3, wait: float = 0.0, state: str | None = None) -> list[str]:
+    """Run phases in order, each once, with retries; the names of those done. Stops at a phase that keeps failing.
+
+    Between tries it waits ``wait`` seconds, then twice as long each time. A file ``state`` keeps what is done and the
+    error that stopped it: a run that finds one goes on after the phases that it names, one that ends removes it.
+    """
     names = [n for n, _ in phases]
-    done = []
-    for name, phase in phases[names.index(start_from) if start_from else 0 :]:
-        for left in range(retries, 0, -1):
+    kept = Path(state) if state else None
+    done: list[str] = json.loads(kept.read_text())["done"] if kept and kept.exists() and start_from is None else []
+    before = set(names[: names.index(start_from)] if start_from else done)
+
+    def note(error: str | None = None) -> None:
+        if kept:
+            kept.write_text(json.dumps({"done": done, "error": error}))
+
+    for name, phase in phases:
+        if name in before:
+            continue
+        for turn in range(retries):
             try:
                 phase()
                 done.append(name)
+                note()
                 break
-            except Exception:
-                if left == 1:
+            except Exception as e:
+                if turn == retries - 1:
+                    note(f"{name}: {e}")
                     raise
+                time.sleep(wait * 2**turn)
+    if kept:
+        kept.unlink(missing_ok=True)
     return done
 
 
