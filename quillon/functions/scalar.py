@@ -29,6 +29,15 @@ def parse_time(text: Column) -> Column:
 
 
 def compact_date(added: Column, occurred: Column) -> Column:
+    """ISO date of a YYYYMMDD... text: the time of observation if it starts with eight digits, else the event's own."""
+    def of(x: Column) -> Column:
+        head = F.substring(x, 1, 8)
+        return F.when(head.rlike("^[0-9]{8}$"), F.concat_ws("-", F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2)))
+
+    return F.coalesce(of(added), of(occurred))
+
+
+def observed_at(added: Column, occurred: Column) -> Column:
     """ISO date and time of a YYYYMMDD... text: the time of observation if it starts with eight digits, else the event's
     own date if it has eight characters, else that as it is."""
     def of(x: Column) -> Column:

@@ -153,6 +153,30 @@ def piotroski_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.statement_items(_statements(spark, sf_dir), scoring.ITEMS).select("ticker", score.alias("score"), n.alias("testable"))
 
 
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, greatest(0.01, round_even(p, 4)) AS probability FROM s""")
+def probability_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of an order's lines by the library's own rule."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return scoring.normalised_probabilities(lines, "l_orderkey", F.col("l_extendedprice")).drop("l_extendedprice")
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS k, sum(c_acctbal) AS ta, max(c_acctbal) AS re, sum(c_acctbal) FILTER (WHERE c_acctbal > 5000) AS big, count(*) * 1000.0 AS cap FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, sum(s_acctbal) AS wc FROM supplier GROUP BY 1),
+z AS (SELECT n_name AS company, 1.2 * wc / nullif(ta, 0) + 1.4 * re / nullif(ta, 0) + 3.3 * big / nullif(ta, 0) + 0.6 * cap / nullif(wc, 0) + big / nullif(ta, 0) AS z FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey)
+SELECT company, round_even(z, 2) AS z, CASE WHEN z IS NULL THEN 'unavailable' WHEN z > 2.99 THEN 'safe' WHEN z < 1.81 THEN 'distress' ELSE 'grey' END AS zone FROM z""")
+def altman_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and zone of nations as companies, by the library's own rule."""
+    c, none = F.col, F.lit(None).cast("double")
+    own = read(spark, sf_dir, "customer").groupBy(c("c_nationkey").alias("n_nationkey")).agg(F.sum("c_acctbal").alias("total_assets_0"), F.max("c_acctbal").alias("retained_0"), F.sum(F.when(c("c_acctbal") > 5000, c("c_acctbal"))).alias("ebit_0"), (F.count(F.lit(1)) * 1000.0).alias("cap"))
+    capital = read(spark, sf_dir, "supplier").groupBy(c("s_nationkey").alias("n_nationkey")).agg(F.sum("s_acctbal").alias("working_capital_0"))
+    rows = read(spark, sf_dir, "nation").join(own, "n_nationkey", "left").join(capital, "n_nationkey", "left")
+    rows = rows.withColumns({"total_liabilities_0": c("working_capital_0"), "revenue_0": c("ebit_0"), "current_assets_0": none, "current_liabilities_0": none})
+    z, zone = scoring.altman(c("cap"), F.lit(False))
+    return rows.select(c("n_name").alias("company"), z.alias("z"), zone.alias("zone"))
+
+
 # Theses ------------------------------------------------------------------------------------------------------------
 
 

@@ -164,7 +164,7 @@ def test_nearest_edges_and_sweep(spark):
 
 def test_dates_of_exports(spark):
     df = spark.createDataFrame([("20240102030405", "19240102"), ("", "20240105"), (None, "2024"), ("x", None)], "a string, s string")
-    assert [r[0] for r in df.select(scalar.compact_date(F.col("a"), F.col("s"))).collect()] == ["2024-01-02T00:00:00", "2024-01-05T00:00:00", "2024", None]
+    assert [r[0] for r in df.select(scalar.observed_at(F.col("a"), F.col("s"))).collect()] == ["2024-01-02T00:00:00", "2024-01-05T00:00:00", "2024", None]
 
 
 def test_months_that_are_published(spark):
