@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, each over its whole table."""
+"""The queries op1 to op13, each over its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_text, line_dedup, near_dedup, packing, pii, quality, sentencepiece_codec, toxicity
+from . import alignment, exact_dedup, fingerprints, html_text, line_dedup, near_dedup, packing, pii, quality, sentencepiece_codec, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -59,9 +59,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests=True)
 
 
+def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fuzzy_lines, op2_sum_of_squares_packing, op3_nonnegative_pu, op4_content_sort, op5_feistel_pseudonyms, op6_weighted_sampling, op7_block_labeller, op8_attention_mil, op9_circulant_minhash, op10_sentencepiece)
+    for f in (op1_fuzzy_lines, op2_sum_of_squares_packing, op3_nonnegative_pu, op4_content_sort, op5_feistel_pseudonyms, op6_weighted_sampling, op7_block_labeller, op8_attention_mil, op9_circulant_minhash, op10_sentencepiece, op11_interval_alignment)
 }
 
 ORACLE: dict[str, str] = {"op4_content_sort": exact_dedup.ORACLE, "op9_circulant_minhash": near_dedup.ORACLE}
