@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, exact_dedup, fingerprints, html_text, line_dedup, near_dedup, packing, pii, quality, sentencepiece_codec, toxicity
+from . import alignment, exact_dedup, fingerprints, html_text, lexical_search, license_scan, line_dedup, near_dedup, packing, pii, quality, sentencepiece_codec, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -63,9 +63,17 @@ def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_set_similarity_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents")).drop("matches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fuzzy_lines, op2_sum_of_squares_packing, op3_nonnegative_pu, op4_content_sort, op5_feistel_pseudonyms, op6_weighted_sampling, op7_block_labeller, op8_attention_mil, op9_circulant_minhash, op10_sentencepiece, op11_interval_alignment)
+    for f in (op1_fuzzy_lines, op2_sum_of_squares_packing, op3_nonnegative_pu, op4_content_sort, op5_feistel_pseudonyms, op6_weighted_sampling, op7_block_labeller, op8_attention_mil, op9_circulant_minhash, op10_sentencepiece, op11_interval_alignment, op12_block_max_search, op13_set_similarity_licenses)
 }
 
-ORACLE: dict[str, str] = {"op4_content_sort": exact_dedup.ORACLE, "op9_circulant_minhash": near_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op4_content_sort": exact_dedup.ORACLE, "op9_circulant_minhash": near_dedup.ORACLE, "op12_block_max_search": lexical_search.ORACLE, "op13_set_similarity_licenses": license_scan.ORACLE}
