@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .near import PACKED, pack, shared_buckets, similar_components, slots_of, travelled
-from .scratch import drop, release, table
+from .scratch import drop, release, table, unused
 from .shingles import CirculantMinHash, WordHashes, bands, digest, word_shingles
 
 #: Two texts at the threshold of 0.75 miss all of 48 bands of 5 with a chance of 2e-6.
@@ -24,12 +24,12 @@ TOGETHER = 128
 SALTS = 64
 
 
-ROWS_OF = "doc_id long, n_shingles long, id long, key binary"
+ROWS_OF = "doc_id long, n_shingles long, id long, key binary, mark long"
 
 
 def packed_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The buckets of the sets of all rows (doc_id, text), as ``near`` packs them, and ROWS_OF of every row along with
-    them: a digest of its set, and the first 64 bits of that; null where the set is empty. Equal sets have one id."""
+    """The buckets of the sets of all rows (doc_id, text, mark), as ``near`` packs them, and ROWS_OF of every row along
+    with them: a digest of its set, and the first 64 bits of that; null where the set is empty. Equal sets have one id."""
     slots = slots_of(docs)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -46,7 +46,7 @@ def packed_sets(docs: DataFrame, k: int = 5) -> DataFrame:
                         seen.add(key[:8])
                         fresh[key[:8]] = own
                 ids = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in keys]
-                rows = pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "id", "key"])
+                rows = pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), part.column(2)], ["doc_id", "n_shingles", "id", "key", "mark"])
                 yield np.frombuffer(b"".join(fresh), np.int64), bands(minhash.signatures(list(fresh.values())), ROWS), rows
             if len(seen) > 300_000:
                 seen.clear()
@@ -54,7 +54,7 @@ def packed_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pack(signed(batches), slots, TaskContext.get().partitionId())
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, PACKED)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
@@ -98,8 +98,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     kept. Repeated rows are all returned; all copies of the kept one have kept = true. Of rows with one id and
     different texts each has the component of its own text. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    return _rows(docs, percent, id_col, text_col, k).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _mark(text_col: str) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.col(text_col))
+
+
+def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str, k: int) -> DataFrame:
+    """What ``near_duplicates`` gives, and mark and family (one number for each component; null without words or id)."""
     spark = docs.sparkSession
-    source = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _mark(text_col).alias("mark"))
     shared = table(shared_buckets(packed_sets(source, k)), "shared")
     rows = table(travelled(shared, ROWS_OF), "shingled")
     there = rows.where("key is not null and doc_id is not null")
@@ -115,29 +125,34 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     found = similar_components(shared, contents_of, lambda pairs, sets: verified(pairs, sets, percent), _elements, percent, SLACK)
     linked = found.join(candidates[0].select("id", "key"), "id")
-    nodes = table(classes.join(linked.hint("merge"), ["id", "key"], "left").select("key", "doc_id", "label"), "nodes")
+    nodes = table(classes.join(linked.hint("merge"), ["id", "key"], "left").select("key", "doc_id", "label", "id"), "nodes")
     drop(candidates[0], classes, shared)
     least = table(nodes.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    labelled = nodes.join(least, "label").select("key", "component_id").union(nodes.where("label is null").select("key", F.col("doc_id").alias("component_id")))
+    labelled = nodes.join(least, "label").select("key", "component_id", F.col("label").alias("family")).union(nodes.where("label is null").select("key", F.col("doc_id").alias("component_id"), "id"))
     labelled = table(labelled, "labelled")
     drop(nodes, least)
     # Of joins with written tables adaptive execution splits hot keys; a class of equal sets has SALTS heads at most.
-    salted = there.select("doc_id", "n_shingles", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    salted = there.select("doc_id", "n_shingles", "key", "mark", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     heads = salted.select("key", "salt").distinct().join(labelled, "key")
-    full = salted.join(heads.hint("merge"), ["key", "salt"]).select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = salted.join(heads.hint("merge"), ["key", "salt"]).select("doc_id", "n_shingles", "component_id", "mark", "family")
+    alone = rows.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "mark", F.lit(None).cast("long").alias("family"))
+    return full.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` less its near-duplicates: of each component the document with the smallest id stays, once.
 
-    Rows with a null id stay. Of repeated rows of one id one stays. Texts without words stay. All columns stay, whatever
-    their names; an empty table gives an empty result.
+    What goes is decided for rows, not ids: of rows with one id and different texts each stays that is the first of its
+    own component, and of several rows of that id in one component one. Rows without words stay, repeated ones once;
+    rows with a null id stay. All columns stay, whatever their names; an empty table gives an empty result.
     """
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    mark = unused(docs.columns, "mark")
+    rows = table(_rows(docs, percent, "doc_id", "text", 5).where("doc_id is not null").select("doc_id", "mark", "family", "kept"), "decided")
+    first = rows.where("kept and family is not null").groupBy("doc_id", "family").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least < most")
+    later = rows.where("kept").join(first, ["doc_id", "family"]).where("mark > least").select("doc_id", "mark")
+    gone = rows.where("not kept").select("doc_id", "mark").union(later).distinct().withColumnRenamed("mark", mark)
+    kept = docs.where("doc_id is not null").withColumn(mark, _mark("text")).join(gone, ["doc_id", mark], "left_anti").dropDuplicates(["doc_id", mark]).drop(mark)
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 ORACLE = r"""

@@ -56,3 +56,17 @@ def test_elements_without_content(tag):
     assert texts(f"<p>one</p><{tag}><p>two</p><{tag}>no</{tag}><p>three</p>") == ["one", "two", "three"]
     assert texts(f"<p>one</p><{tag}>no<{tag}>no</{tag}>no</{tag}><p>two</p>") == ["one", "two"]
     assert texts(f"<p>one</p><{tag}/><script>'<{tag}>'</script><p>two</p><script>'</{tag}>'") == ["one", "two"]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_texts_of_one_id_are_decided_apart(spark, parts):
+    a, c = "one two three four five six seven eight nine ten", "red orange yellow green blue indigo violet white black"
+    b, near_b = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (5, near_b, 4), (5, b, 5), (7, c, 6), (8, near_b, 7), (9, None, 8), (9, "", 9), (9, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int").repartition(parts)
+    got = near_dedup.one_of_each(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert (5, b) in kept or (5, near_b) in kept
+    kept = sorted((i, "b" if t in (b, near_b) else t) for i, t in kept if t is not None)
+    assert kept == [(3, a), (5, "b"), (7, c), (9, "")] and got.where("text is null").count() == 1
