@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, ids_sample, one_label, texts_of
+from .scratch import drop, table
 
 BUCKETS = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
@@ -67,7 +68,13 @@ class LinearPU:
         return float(1 / (1 + np.exp(-np.clip(self.weights[buckets].sum(dtype=np.float64) + self.bias, -30, 30))))
 
 
-def _fit_one(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, features: np.ndarray, epochs: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
+#: Classifiers, the share of the rows that each is fitted on, and the features that each uses at most.
+MEMBERS, SHARE, MOST_FEATURES = 5, 0.8, 512
+#: A row's set of labels, and bits that tell which classifiers are fitted on it.
+SAMPLE = "doc_id long, label int, members int, buckets array<int>"
+
+
+def _fit_one(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, features: np.ndarray, epochs: int = 400, rate: float = 0.05, decay: float = 2e-6) -> tuple[np.ndarray, float]:
     index = np.full(BUCKETS, -1, np.int32)
     index[features] = np.arange(len(features))
 
@@ -94,52 +101,105 @@ def _fit_one(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, feature
     return w, b
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, members: int = 3, most_features: int = 512, epochs: int = 400, rate: float = 0.05, decay: float = 2e-6, seed: int = 3) -> LinearPU:
-    """Mean of classifiers, each fitted on a different four fifths of the rows.
+def sampled(docs: DataFrame, ids: DataFrame, seed: int = 3) -> DataFrame:
+    """SAMPLE of the ids (doc_id, label), each once for a label: of several texts of one id the greatest is read."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([words.of(t) for t in part.column(3).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "label", "members", "buckets"])
+
+    draws = [F.pmod(F.xxhash64("doc_id", F.lit(seed + k)), F.lit(1000)) < int(1000 * SHARE) for k in range(MEMBERS)]
+    members = sum((F.when(d, 1 << k).otherwise(0) for k, d in enumerate(draws)), F.lit(0))
+    one = texts_of(docs, ids).groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    return one.select("doc_id", "label", members.cast("int").alias("members"), "text").mapInArrow(encode, SAMPLE)
+
+
+def _shares(sample: DataFrame) -> DataFrame:
+    """bucket, label, member, n: the rows of each classifier that have the bucket; MEMBERS stands for all rows. Each task
+    adds up its own rows first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, MEMBERS + 1, BUCKETS), np.int32)
+        for batch in batches:
+            for label, members, buckets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = buckets.values.to_numpy(zero_copy_only=False)
+                for k in [k for k in range(MEMBERS) if members >> k & 1] + [MEMBERS]:
+                    counts[label, k, own] += 1
+        label, member, bucket = np.nonzero(counts)
+        for at in range(0, len(label), 100_000):
+            own = [x[at : at + 100_000] for x in (bucket, label, member)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in own), pa.array(counts[own[1], own[2], own[0]], pa.int64())], ["bucket", "label", "member", "n"])
+
+    return sample.select("label", "members", "buckets").mapInArrow(run, "bucket int, label int, member int, n long").groupBy("bucket", "label", "member").agg(F.sum("n").alias("n"))
 
-    Features are the buckets whose share among the positives stands out most above their share among the unlabelled.
+
+def _features(counts: DataFrame, member: int, n_pos: int, n_unl: int, prior: float) -> DataFrame:
+    """The buckets whose share among the positives stands out most above their share among the unlabelled."""
+    own = counts.where(F.col("member") == member).groupBy("bucket").agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in ((1, "cp"), (0, "cu"))))
+    p, u = F.col("cp") / n_pos, F.col("cu") / n_unl
+    z = (p - u) / F.sqrt((F.col("cp") + 1) / n_pos**2 + (F.col("cu") + 1) / n_unl**2)
+    # prior * p / u: the share of toxic texts among those with the feature
+    found = own.where((F.col("cp") >= 3) & (prior * p >= 0.6 * u)).withColumn("z", z).where("z > 2.5")
+    return found.orderBy(F.col("z").desc(), "bucket").limit(MOST_FEATURES).select(F.lit(member).alias("member"), "bucket")
+
+
+def fit(sample: DataFrame, prior: float) -> LinearPU:
+    """Mean of classifiers, each fitted on a different four fifths of the sample (a written table of SAMPLE).
+
+    Features are counted and chosen by grouped sums; what comes to the driver is MEMBERS * MOST_FEATURES buckets, and of
+    each row of the sample those that it has.
     """
     weights, bias = np.zeros(BUCKETS), 0.0
-    if not pos or not unl:
+    size = {(r.label, r.members): r["count"] for r in sample.groupBy("label", "members").count().collect()}  # 16 rows at most
+    n = [[sum(c for (of, m), c in size.items() if of == label and (k == MEMBERS or m >> k & 1)) for k in range(MEMBERS + 1)] for label in (0, 1)]
+    if not n[0][MEMBERS] or not n[1][MEMBERS]:
         return LinearPU(weights.astype(np.float32), -1.0)
-    rng = np.random.default_rng(seed)
-    for k in range(members):
-        p, u = ([d for d in docs if rng.random() < 0.8] or docs for docs in (pos, unl))
-        cp, cu = (np.bincount(np.concatenate(docs), minlength=BUCKETS) for docs in (p, u))
-        sp, su = cp / len(p), cu / len(u)
-        z = (sp - su) / np.sqrt((cp + 1) / len(p) ** 2 + (cu + 1) / len(u) ** 2)
-        z[(cp < 3) | (prior * sp < 0.6 * su)] = 0  # prior * sp / su: the share of toxic texts among those with the feature
-        features = np.argsort(-z, kind="stable")[:most_features]
-        features = features[z[features] > 2.5]
-        w, b = _fit_one(p, u, prior, features, epochs, rate, decay, seed + k)
-        weights[features] += w / members
-        bias += b / members
+    counts = table(_shares(sample), "shares")
+    of = [k if n[0][k] and n[1][k] else MEMBERS for k in range(MEMBERS)]
+    chosen = None
+    for k in sorted(set(of)):
+        one = _features(counts, k, n[1][k], n[0][k], prior)
+        chosen = one if chosen is None else chosen.unionByName(one)
+    features: dict[int, list[int]] = {k: [] for k in of}
+    for r in chosen.collect():
+        features[r.member].append(r.bucket)
+    wanted = np.unique(np.array([b for own in features.values() for b in own], np.int32))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(x := b.values.to_numpy(zero_copy_only=False))[np.isin(x, wanted)].tobytes() for b in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], ["doc_id", "label", "members", "rows"])
+
+    rows = sorted((r.label, r.doc_id, r.members, bytes(r.rows)) for r in sample.mapInArrow(cut, "doc_id long, label int, members int, rows binary").collect())
+    drop(counts)
+    for k in of:
+        pos, unl = ([np.frombuffer(x, np.int32) for is_of, _, m, x in rows if is_of == label and (k == MEMBERS or m >> k & 1)] for label in (1, 0))
+        own = np.sort(np.array(features[k], np.int32))
+        w, b = _fit_one(pos, unl, prior, own)
+        weights[own] += w / MEMBERS
+        bias += b / MEMBERS
     return LinearPU(weights.astype(np.float32), float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most_positive: int = 2000, most_unlabelled: int = 4000) -> LinearPU:
     """Fit on at most ``most_positive`` toxic documents and ``most_unlabelled`` others, all outside the held-out fold.
 
-    The class prior is the share of toxic rows among labelled rows there. Without toxic rows all scores are low.
+    Documents are ids: however many rows an id has, it is drawn once and one text of it is read. The class prior is the
+    share of toxic rows among labelled rows there. Without toxic rows all scores are low.
     """
     known = one_label(labels, "toxic").where(fold("doc_id", folds) != held_out)
     toxic, n = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     prior = float(np.clip(toxic / max(n, 1), 0.01, 0.5))
     positive = ids_sample(known.where("label = 1"), most_positive, 3)
-    other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(fold("doc_id", folds) != held_out).withColumn("label", F.lit(0))
+    other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(fold("doc_id", folds) != held_out).distinct().withColumn("label", F.lit(0))
     unlabelled = ids_sample(other, most_unlabelled, 5)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            got = [words.of(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], ["doc_id", "label", "rows"])
-
-    ids = positive.unionByName(unlabelled)
-    got = texts_of(docs, ids).select("doc_id", "label", "text").mapInArrow(encode, "doc_id long, label int, rows binary").collect()
-    own = sorted((r.label, r.doc_id, bytes(r.rows)) for r in got)
-    pos, unl = ([np.frombuffer(r, np.int32) for label, _, r in own if label == k] for k in (1, 0))
-    return fit(pos, unl, prior)
+    sample = table(sampled(docs, positive.unionByName(unlabelled)), "sample")
+    model = fit(sample, prior)
+    drop(sample)
+    return model
 
 
 def score_documents(docs: DataFrame, model: LinearPU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,6 +219,11 @@ def score_documents(docs: DataFrame, model: LinearPU, id_col: str = "doc_id", te
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted. Repeated rows get equal scores."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted (1 from the threshold on).
+
+    Null texts count as empty; texts of any length are read whole; equal texts get equal scores, repeated rows a result
+    each; a null id is held out of nothing; other columns are ignored, whatever their names; an empty table gives an empty
+    result, and without toxic labels all scores are low.
+    """
     scored = score_documents(docs, train(docs, labels, folds, held_out))
     return scored.select("doc_id", (F.coalesce(fold("doc_id", folds), F.lit(-1)) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
