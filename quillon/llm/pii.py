@@ -19,15 +19,19 @@ from .scratch import unused
 ROUNDS = 8
 #: The setting that holds the key.
 KEY = "spark.quillon.pseudonym.key"
-#: Days of 400 years of the calendar, 189 * 773, from the first day of 1800.
+#: Days are counted from here. 400 years of the calendar have 189 * 773 days; a date stays within its 400 years.
 EPOCH, DAYS_HIGH, DAYS_LOW = "1800-01-01", 189, 773
+#: What is left at the ends of the calendar of four digits, as days and two factors of their number: 1-199 and 9800-9999.
+FIRST_DAYS, LAST_DAYS = (-657071, -584388, 13, 5591), (2921940, 2994988, 184, 397)
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{16})(?=[A-Za-z_-]*[0-9])(?<=(?i:token|secret|password|api.?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_-]{16,}+"
+LABEL = r"(?i:token|secret|password|api.?key)\s*+[=:]\s*+[\"']?"
+SECRET = rf"{LABEL}(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{{16,}}+(?![\p{{L}}\p{{N}}._%+-]*+@)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-PHONE = r"(?<![0-9+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,5})(?![0-9])"
-IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+PHONE = r"(?<![0-9+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,5})(?![0-9])"
+#: A version number is no address.
+IP = r"(?<![0-9.vV])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
+SSN = r"(?<![0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3} [0-9]{2} [0-9]{4})(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 #: A last group of one to three digits is not the start of a date, a phone number, an address or the like.
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}(?![\p{L}\p{N}]|[./-][0-9]|[\p{L}\p{N}._%+-]*+@)|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])"
@@ -86,7 +90,10 @@ def permuted(s: Column, key: str, kind: str) -> Column:
     def of(text: Column, chars: Column) -> Column:
         codes = F.transform(chars, lambda c: F.ascii(c).cast("long") - _alphabet(c))
         moduli = F.transform(chars, lambda c: F.when(c <= "9", F.lit(10)).otherwise(F.lit(26)).cast("long"))
-        new = F.zip_with(feistel(codes, moduli, key, kind), chars, lambda x, c: F.char(x + _alphabet(c)))
+        # Halves of nothing and one character would only shift its alphabet: it is cut in two numbers.
+        whole = lambda c, m: let(feistel(F.array(F.floor(c / m).cast("long"), c % m), F.array(F.lit(2).cast("long"), m), key, kind), lambda v: F.get(v, F.lit(0)) * m + F.get(v, F.lit(1)))
+        one = F.array(whole(F.get(codes, F.lit(0)), F.floor(F.get(moduli, F.lit(0)) / 2).cast("long")))
+        new = F.zip_with(F.when(F.size(chars) == 1, one).otherwise(feistel(codes, moduli, key, kind)), chars, lambda x, c: F.char(x + _alphabet(c)))
         # What stands between the letters and digits, and then those, in turn.
         return F.concat(F.array_join(F.zip_with(F.slice(F.split(text, ALNUM, -1), F.lit(1), F.size(chars)), new, lambda gap, c: F.concat(gap, c)), ""), F.element_at(F.split(text, ALNUM, -1), -1))
 
@@ -120,12 +127,15 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
+    """The label and the gap stay."""
+
     def as_hex(chars: Column) -> Column:
         codes = F.transform(chars, lambda c: F.conv(c, 16, 10).cast("long"))
         new = feistel(codes, F.transform(chars, lambda c: F.lit(16).cast("long")), key, "hex")
         return F.array_join(F.transform(new, lambda x: F.lower(F.hex(x))), "")
 
-    return F.when(m.rlike("^[0-9a-f]+$"), let(_chars(m), as_hex)).otherwise(permuted(m, key, "secret"))
+    value = lambda v: F.when(v.rlike("^[0-9a-f]+$"), let(_chars(v), as_hex)).otherwise(permuted(v, key, "secret"))
+    return let(F.regexp_extract(m, f"^{LABEL}", 0), lambda label: F.concat(label, let(F.substring(m, F.length(label) + 1, F.length(m)), value)))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -155,7 +165,8 @@ def _ssn(m: Column, key: str) -> Column:
 
     def shown(new: Column) -> Column:
         area = F.get(new, F.lit(0)) + 1 + F.when(F.get(new, F.lit(0)) >= 665, 1).otherwise(0)
-        return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.get(new, F.lit(1)) + 1).cast("string"), 2, "0"), F.lpad((F.get(new, F.lit(2)) + 1).cast("string"), 4, "0"))
+        mark = F.substring(m, 4, 1)
+        return F.concat(F.lpad(area.cast("string"), 3, "0"), mark, F.lpad((F.get(new, F.lit(1)) + 1).cast("string"), 2, "0"), mark, F.lpad((F.get(new, F.lit(2)) + 1).cast("string"), 4, "0"))
 
     def of(parts: Column) -> Column:
         area, group, serial = (F.get(parts, F.lit(i)) for i in range(3))
@@ -163,26 +174,33 @@ def _ssn(m: Column, key: str) -> Column:
         valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
         return F.when(valid, let(feistel(F.array(rank, group - 1, serial - 1), moduli, key, "ssn"), shown)).otherwise(m)
 
-    return let(F.transform(F.split(m, "-"), lambda p: p.cast("long")), of)
+    return let(F.transform(F.split(m, "[ -]"), lambda p: p.cast("long")), of)
 
 
 def _date(m: Column, key: str) -> Column:
-    moduli = F.array(*(F.lit(x).cast("long") for x in (DAYS_HIGH, DAYS_LOW)))
     # Day first where both readings are dates, so that a form is read in one way.
     forms = (("^....-", "yyyy-MM-dd"), ("^..../", "yyyy/MM/dd"), ("^../", "dd/MM/yyyy"), ("^../", "MM/dd/yyyy"), (r"^..\.", "dd.MM.yyyy"))
     reads = F.array(*(F.struct(F.when(m.rlike(shape), F.date_diff(F.try_to_date(m, form), F.to_date(F.lit(EPOCH)))).cast("long").alias("n"), F.lit(k).alias("form")) for k, (shape, form) in enumerate(forms)))
 
-    def shown(new: Column, form: Column) -> Column:
-        day = F.date_add(F.to_date(F.lit(EPOCH)), (F.get(new, F.lit(0)) * DAYS_LOW + F.get(new, F.lit(1))).cast("int"))
+    era = lambda start, high, low: F.struct(start.cast("long").alias("start"), F.lit(high).cast("long").alias("high"), F.lit(low).cast("long").alias("low"))
+
+    def shown(new: Column, of: Column, form: Column) -> Column:
+        day = F.date_add(F.to_date(F.lit(EPOCH)), (of["start"] + F.get(new, F.lit(0)) * of["low"] + F.get(new, F.lit(1))).cast("int"))
         texts = [F.date_format(day, f) for _, f in forms]
         return F.element_at(F.array(*texts), form + 1)
 
+    def within(read: Column, of: Column) -> Column:
+        n = read["n"] - of["start"]
+        new = feistel(F.array(F.floor(n / of["low"]).cast("long"), n % of["low"]), F.array(of["high"], of["low"]), key, "date")
+        return F.when(read.isNotNull(), let(new, lambda x: shown(x, of, read["form"]))).otherwise(m)
+
     def of(read: Column) -> Column:
         n = read["n"]
-        new = feistel(F.array(F.floor(n / DAYS_LOW).cast("long"), n % DAYS_LOW), moduli, key, "date")
-        return F.when(read.isNotNull(), let(new, lambda x: shown(x, read["form"]))).otherwise(m)
+        regular = era(F.floor(n / (DAYS_HIGH * DAYS_LOW)) * (DAYS_HIGH * DAYS_LOW), DAYS_HIGH, DAYS_LOW)
+        ends = [era(F.lit(x[0]), *x[2:]) for x in (FIRST_DAYS, LAST_DAYS)]
+        return let(F.when(n < FIRST_DAYS[1], ends[0]).when(n >= LAST_DAYS[0], ends[1]).otherwise(regular), lambda e: within(read, e))
 
-    return let(F.get(F.filter(reads, lambda r: (r["n"] >= 0) & (r["n"] < DAYS_HIGH * DAYS_LOW)), F.lit(0)), of)
+    return let(F.get(F.filter(reads, lambda r: (r["n"] >= FIRST_DAYS[0]) & (r["n"] < LAST_DAYS[1])), F.lit(0)), of)
 
 
 def _card(m: Column, key: str) -> Column:

@@ -1,5 +1,8 @@
 """Edge cases of the training-text operators that earlier versions left out."""
 
+import re
+from datetime import date
+
 import pytest
 
 pytest.importorskip("sentencepiece")
@@ -70,3 +73,32 @@ def test_texts_of_one_id_are_decided_apart(spark, parts):
     assert (5, b) in kept or (5, near_b) in kept
     kept = sorted((i, "b" if t in (b, near_b) else t) for i, t in kept if t is not None)
     assert kept == [(3, a), (5, "b"), (7, c), (9, "")] and got.where("text is null").count() == 1
+
+
+def test_gaps_of_any_length_and_dates_of_all_years(spark):
+    gap = " " * 70
+    values = ["31/12/1799", "2201-01-05", "0001-01-01", "9999-12-31", "2024-02-29", "0199/12/31", "01.01.0200", "555 123 4567", "123 45 6789", "10.1.2.3"]
+    rows = [(1, f"token:{gap}abcdef1234567890abcd end"), (2, "a@example.com b@example.com"), (3, "v1.2.3.4 stays, 0000-05-05 and 31/02/2020 too")] + [(10 + i, f"x {v} y") for i, v in enumerate(values)]
+    rows += [(100 + i, f"on {y:04d}-{m:02d}-28.") for i, (y, m) in enumerate((y, m) for y in range(1, 10000, 371) for m in (2, 12))]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert re.fullmatch(rf"token:{gap}[0-9a-f]{{20}} end", got[1].text) and got[1].text != rows[0][1]
+    assert got[3].text == rows[2][1]
+    a, b = re.fullmatch(r"([a-z])@example.com ([a-z])@example.com", got[2].text).groups()
+    assert a != b
+    for i, v in enumerate(values):
+        new = got[10 + i].text[2:-2]
+        assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", v) or v == "10.1.2.3", (v, new)
+        assert got[10 + i].n_found == 1 and new != v, v
+    dates = [got[100 + i].text[3:-1] for i in range(len(rows) - 13)]
+    assert len(set(dates)) == len(dates)
+    for text, (_, old) in zip(dates, rows[13:], strict=True):
+        date.fromisoformat(text)
+        assert (int(text[:4]) + 200) // 400 == (int(old[3:7]) + 200) // 400  # within the same 400 years
+
+
+def test_one_letter_names_are_permuted_not_shifted(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    df = spark.createDataFrame([(i, f"{c}@example.com") for i, c in enumerate(letters)], "doc_id long, text string")
+    new = [r.text[0] for r in sorted(pii.pseudonymise(df, "k").collect())]
+    assert sorted(new) == list(letters)
+    assert len({(ord(n) - ord(c)) % 26 for n, c in zip(new, letters, strict=True)}) > 1
