@@ -1,7 +1,7 @@
 """Alignment of the tokens that two tokenizers make of one text, by the bytes that they stand for.
 
 Tokens of B are held in a static index of intervals: their begins in order and the furthest end so far, so two bisections
-find all that a token of A overlaps. Gaps between bytes that no token of either side spans are borders of groups.
+for each token of A find all that it overlaps. Gaps between bytes that no token of either side spans are borders of groups.
 
 Most texts are made of stretches that recur: both tokenizers treat a space before something else, after anything but a
 space, as a border that no token crosses. A stretch is aligned once and then looked up. A task writes its documents in
@@ -15,9 +15,7 @@ import hashlib
 import json
 import os
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,30 +39,41 @@ BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 class IntervalIndex:
-    """Static index over intervals [begin, end) in order of begin: which of them overlap a stretch."""
+    """Static index over intervals [begin, end) in order of begin: which of them overlap others."""
 
-    def __init__(self, begins: list[int], ends: list[int]) -> None:
+    def __init__(self, begins: np.ndarray, ends: np.ndarray) -> None:
         self.begins, self.ends = begins, ends
-        self.reach = list(accumulate(ends, max))
-
-    def overlapping(self, begin: int, end: int) -> list[int]:
-        low, high = bisect_right(self.reach, begin), bisect_left(self.begins, end)
-        return [i for i in range(low, high) if self.ends[i] > begin]
-
-
-def groups_of(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Groups as (first of A, first of B), and links (i, j), of tokens given by the numbers of their bytes, whose sums
-    are the same on both sides."""
-    ends_a, ends_b = list(accumulate(a)), list(accumulate(b))
-    index = IntervalIndex([0, *ends_b[:-1]], ends_b)
-    groups, links, last = [], [], -1
-    for i, (end, n) in enumerate(zip(ends_a, a, strict=True)):
-        found = index.overlapping(end - n, end)
-        if found[0] > last:  # no token of B spans the gap before this one
-            groups.append((i, found[0]))
-        last = found[-1]
-        links += [(i, j) for j in found]
-    return groups, links
+        self.reach = np.maximum.accumulate(ends) if len(ends) else ends
+
+    def between(self, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch, by bisection: where the first interval that reaches into it stands, and the first one that
+        begins behind it. Where the intervals don't overlap each other, all between the two overlap the stretch."""
+        return np.searchsorted(self.reach, begins, "right"), np.searchsorted(self.begins, ends, "left")
+
+    def overlapping(self, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (stretch, interval) that overlap, in order."""
+        low, high = self.between(begins, ends)
+        n = np.maximum(high - low, 0)
+        of = np.repeat(np.arange(len(n)), n)
+        found = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[of]
+        real = self.ends[found] > begins[of]
+        return of[real], found[real]
+
+
+class Alignment:
+    """Groups and links of tokens given by the numbers of their bytes, whose sums are the same on both sides."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.ends_a, self.ends_b = np.cumsum(a), np.cumsum(b)
+        index = IntervalIndex(self.ends_b - b, self.ends_b)
+        self.link_a, self.link_b = index.overlapping(self.ends_a - a, self.ends_a)
+        first, last = (np.zeros(len(a), np.int64) for _ in range(2))
+        first[self.link_a[::-1]], last[self.link_a] = self.link_b[::-1], self.link_b
+        # A group begins where no token of B spans the gap before a token of A.
+        new = np.r_[True, first[1:] > last[:-1]][: len(a)]
+        self.group_a = np.cumsum(new) - 1
+        self.ends = self.ends_a[np.r_[np.flatnonzero(new)[1:], len(a)] - 1] if len(a) else self.ends_a
+        self.group_b = np.searchsorted(self.ends, self.ends_b, "left")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -95,10 +104,9 @@ class Aligner:
         self.bytes_a = {i: bytes(byte[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in byte for c in t)}
         self.bytes_b = [self._piece(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
         self.cuts = self._cuts(spec, b_path)
-        self.number: dict[str, int] = {}
-        self.known: list[tuple[bool, int, int, int, str]] = []  # alike, tokens of A, of B, groups, the groups' text
-        self.links: list[np.ndarray] = []
-        self.held = 0
+        self.sizes_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)], np.int64)
+        self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.forget()
 
     @staticmethod
     def _piece(piece: str, is_byte: bool) -> bytes:
@@ -116,39 +124,79 @@ class Aligner:
         """The stretches of a space and the text, each without the space that it begins with."""
         return [x for x in CUT.split(text)] if self.cuts else [text]
 
-    def encoded(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and of B of a space and each part."""
-        a = self.a.encode_batch([f" {p}" for p in parts], add_special_tokens=False)
-        return zip([x.ids for x in a], self.b.encode(parts, num_threads=1), strict=True)
+    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and of B of a space and a text; none where those of one side don't stand for its bytes."""
+        a, b, whole = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text), f" {text}".encode()
+        if b"".join([self.bytes_a.get(i, b"") for i in a]) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
 
-    def alike(self, part: str, a: list[int], b: list[int]) -> bool:
-        """Whether the tokens of both sides stand for the bytes of a space and the part."""
-        whole = f" {part}".encode()
-        return b"".join([self.bytes_a.get(i, b"") for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
-
-    def aligned(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        return groups_of([len(self.bytes_a[i]) for i in a], [len(self.bytes_b[i]) for i in b])
+    def aligned(self, a: np.ndarray, b: np.ndarray) -> Alignment:
+        return Alignment(self.sizes_a[a], self.sizes_b[b])
 
     def learn(self, parts: set[str]) -> None:
-        """Align stretches that are not yet known."""
+        """Align stretches that are not yet known: those that stand between borders again when a space joins them
+        together, the others one by one."""
         new = sorted(p for p in parts if p not in self.number)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for part, (a, b) in zip(some, self.encoded(some), strict=True):
-                ok = self.alike(part, a, b)
-                groups, links = self.aligned(a, b) if ok else ([], [])
-                ends = [*groups[1:], (len(a), len(b))]
-                texts = [f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for (i, j), (k, m) in zip(groups, ends, strict=False)]
-                self.number[part] = len(self.known)
-                self.known.append((ok, len(a), len(b), len(groups), ";".join(texts)))
-                self.links.append(np.array([a[i] << 32 | b[j] for i, j in links], np.int64))
-                self.held += len(part)
+        plain = [p for p in new if not p[:1].isspace() and p[-1:] not in ("", " ")] if self.cuts else []
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            if not self._learn(some):
+                for p in some:
+                    self._learn([p])
+        if len(plain) < len(new):
+            for p in sorted(set(new).difference(plain)):
+                self._learn([p])
+
+    def _learn(self, parts: list[str]) -> bool:
+        """Align stretches as one text; False if there are several and they have to be taken one by one."""
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        found = self.encoded(" ".join(parts))
+        if found is None:
+            if len(parts) == 1:
+                self.bad.add(len(self.texts))
+                self._keep(parts[0], "", np.zeros(0, np.int64), (0, 0, 0))
+            return len(parts) == 1
+        a, b = found
+        own = self.aligned(a, b)
+        if not np.isin(ends, own.ends).all():
+            return False
+        # Each token, group and link belongs to the part that it ends in.
+        pairs = a[own.link_a] << 32 | b[own.link_b]
+        n_a, n_b, n_groups = (np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (own.ends_a, own.ends_b, own.ends))
+        at_links = np.searchsorted(own.ends_a[own.link_a], ends, "right").tolist()
+        # Tokens by group, A's before B's, and what stands behind each: a comma within a side, else the mark of the next.
+        group, side = np.concatenate([own.group_a, own.group_b]), np.repeat([0, 1], [len(a), len(b)])
+        order = np.lexsort((side, group))
+        group, side = group[order], side[order]
+        marks = np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
+        shown = [x + m for x, m in zip(map(str, np.concatenate([a, b])[order].tolist()), [*map(",|;".__getitem__, marks.tolist()), ""], strict=True)]
+        at_tokens, low, link = np.cumsum(n_a + n_b).tolist(), 0, 0
+        sizes = list(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), strict=True))
+        for p, high, links, size in zip(parts, at_tokens, at_links, sizes, strict=True):
+            text = "".join(shown[low:high])
+            self._keep(p, text[:-1] if text.endswith(";") else text, pairs[link:links], size)
+            low, link = high, links
+        return True
+
+    def _keep(self, part: str, text: str, links: np.ndarray, sizes: tuple[int, int, int]) -> None:
+        self.number[part] = len(self.texts)
+        self.texts.append(text)
+        self.links.append(links)
+        self.sizes.append((*sizes, len(links)))
+        self.held += len(part)
 
     def full(self) -> bool:
-        return len(self.known) > self.MEMO or self.held > self.MEMO_CHARS
+        return len(self.texts) > self.MEMO or self.held > self.MEMO_CHARS
 
     def forget(self) -> None:
-        self.number, self.known, self.links, self.held = {}, [], [], 0
+        """Of known stretches: their numbers, groups as text, linked pairs, and tokens of A, of B, groups, links."""
+        self.number: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.links: list[np.ndarray] = []
+        self.sizes: list[tuple[int, int, int, int]] = []
+        self.bad: set[int] = set()
+        self.held = 0
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -185,44 +233,51 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
                 texts = part.column(1).to_pylist()
                 for doc, text in zip(part.column(0).to_pylist(), texts, strict=True):
                     row = {"doc_id": doc, "a": [], "b": [], "groups": [], "links": []}
-                    if text:
-                        ((a, b),) = own.encoded([text])
-                        if own.alike(text, a, b):
-                            groups, links = own.aligned(a, b)
-                            ends, bytes_a = [*groups[1:], (len(a), len(b))], [0, *accumulate(len(own.bytes_a[i]) for i in a)]
-                            row |= {"a": a, "b": b, "links": [{"a": i, "b": j} for i, j in links]}
-                            row["groups"] = [{"a_from": i, "a_to": k, "b_from": j, "b_to": m, "begin": bytes_a[i], "end": bytes_a[k]} for (i, j), (k, m) in zip(groups, ends, strict=True)]
+                    if text and (found := own.encoded(text)) is not None:
+                        a, b = found
+                        x = own.aligned(a, b)
+                        row |= {"a": a.tolist(), "b": b.tolist(), "links": [{"a": i, "b": j} for i, j in zip(x.link_a.tolist(), x.link_b.tolist(), strict=True)]}
+                        to_a, to_b = (np.searchsorted(ends, x.ends, "right").tolist() for ends in (x.ends_a, x.ends_b))
+                        to = x.ends.tolist()
+                        names = ("a_from", "a_to", "b_from", "b_to", "begin", "end")
+                        row["groups"] = [dict(zip(names, g, strict=True)) for g in zip([0, *to_a[:-1]], to_a, [0, *to_b[:-1]], to_b, [0, *to[:-1]], to, strict=True)]
                     rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, WHOLE)
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of ``values``."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
 class Block:
     """Documents as lists of numbered stretches."""
 
     def __init__(self) -> None:
         self.ids: list[int | None] = []
         self.parts: list[np.ndarray] = []
-        self.stats: list[tuple[int, int, int, int, str]] = []
+        self.shas: list[str] = []
         self.chars = 0
 
     def add(self, own: Aligner, doc: int | None, parts: list[str] | None, chars: int) -> None:
         at = list(map(own.number.__getitem__, parts)) if parts else []
-        known = list(map(own.known.__getitem__, at))
-        if not all(k[0] for k in known):
-            at, known = [], []
+        if own.bad and not own.bad.isdisjoint(at):
+            at = []
         self.ids.append(doc)
         self.parts.append(np.array(at, np.int32))
+        self.shas.append(hashlib.sha256(";".join(map(own.texts.__getitem__, at)).encode()).hexdigest() if at else "")
         self.chars += chars
-        n_a, n_b, n_groups = (sum([k[i] for k in known]) for i in (1, 2, 3))
-        sha = hashlib.sha256(";".join([k[4] for k in known]).encode()).hexdigest() if known else ""
-        self.stats.append((n_a, n_b, n_groups, sum([len(own.links[i]) for i in at]), sha))
 
     def row(self, own: Aligner, number: int) -> pa.RecordBatch:
         """The block with numbers of its own: parts of documents, links of parts, and the distinct pairs with how many
         links of the block hold each."""
         used, parts = np.unique(np.concatenate(self.parts), return_inverse=True)
+        doc_parts = np.array([len(p) for p in self.parts], np.int64)
+        sizes_of = np.array(own.sizes, np.int64).reshape(-1, 4)[used]
         links = [own.links[i] for i in used.tolist()]
         sizes = np.array([len(x) for x in links], np.int32)
         pairs, of = np.unique(np.concatenate([*links, np.zeros(0, np.int64)]), return_inverse=True)
@@ -232,9 +287,9 @@ class Block:
         cols = {
             "block": pa.array([number], pa.int64()),
             "doc_ids": one(self.ids, pa.int64()),
-            **{name: one([s[k] for s in self.stats], pa.int64()) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
-            "shas": one([s[4] for s in self.stats], pa.string()),
-            **{name: pa.array([np.asarray(x, np.int32).tobytes()], pa.binary()) for name, x in (("doc_parts", [len(p) for p in self.parts]), ("parts", parts), ("part_links", sizes), ("links", of))},
+            **{name: one(_sums(sizes_of[parts, k], doc_parts), pa.int64()) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
+            "shas": one(self.shas, pa.string()),
+            **{name: pa.array([np.asarray(x, np.int32).tobytes()], pa.binary()) for name, x in (("doc_parts", doc_parts), ("parts", parts), ("part_links", sizes), ("links", of))},
             "pairs": one(pairs, pa.int64()),
             "counts": one(counts, pa.int64()),
         }
@@ -270,13 +325,6 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS)
 
 
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of consecutive stretches of ``values``."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
-
-
 def _counted(blocks: pa.Table, known: pa.Table) -> pa.Table:
     """DIGEST of the documents of one block: ``known`` has pos (of a pair in the block), count, best."""
     order = np.argsort(known.column("pos").to_numpy())
