@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,28 +159,75 @@ def linked_qids(entities: DataFrame, lookup: DataFrame) -> DataFrame:
     return out.drop("__qid", "__first", "__type")
 
 
-#: Indicators that are held at once beside every title; more are matched in as many turns as it takes.
-TOGETHER = 5_000
-
-
-def triggered(indicators: DataFrame, titles: DataFrame, together: int = TOGETHER) -> DataFrame:
+#: Characters of the terms of one turn's indicators: what every task holds, as one automaton.
+TERM_CHARS = 2_000_000
+
+
+class TermAutomaton:
+    """Terms of indicators in one Aho-Corasick automaton: all that a text holds are found in one pass over it."""
+
+    def __init__(self, indicators: list[list[str]]) -> None:
+        import ahocorasick
+
+        number: dict[str, int] = {}
+        of, times = [], []
+        for k, terms in enumerate(indicators):
+            for term, n in Counter(terms).items():
+                at = number.setdefault(term, len(number))
+                if at == len(of):
+                    of.append([])
+                    times.append([])
+                of[at].append(k)
+                times[at].append(n)
+        self.size = len(indicators)
+        self.needs = np.array([len(t) if len(t) <= 2 else -(-len(t) // 2) for t in indicators])
+        self.of, self.times = [np.array(x) for x in of], [np.array(x) for x in times]
+        self.automaton = ahocorasick.Automaton()
+        for term, at in number.items():
+            self.automaton.add_word(term, at)
+        self.automaton.make_automaton()
+
+    def matches(self, text: str) -> list[tuple[int, int]]:
+        """(indicator, terms that the text holds) of the indicators that hold enough."""
+        found = {at for _, at in self.automaton.iter(text)} if self.of else ()
+        if not found:
+            return []
+        hits = np.bincount(np.concatenate([self.of[at] for at in found]), np.concatenate([self.times[at] for at in found]), self.size).astype(np.int64)
+        enough = np.flatnonzero((hits >= self.needs) & (hits > 0))
+        return list(zip(enough.tolist(), hits[enough].tolist(), strict=True))
+
+
+def triggered(indicators: DataFrame, titles: DataFrame, term_chars: int = TERM_CHARS) -> DataFrame:
     """indicator_id, event_id, n_hits where a title holds half of an indicator's terms or more (both of two, or the one).
 
     Terms are what white space delimits, of three characters or more, in lower case; repeated ones count each time. A
-    term is found anywhere in a title, also within a word. The indicators of one turn are one broadcast row.
+    term is found anywhere in a title, also within a word. The indicators are cut into turns of ``term_chars`` characters
+    of terms, each turn's terms go to the tasks as one automaton, and each task reads its titles once: the work grows with
+    the titles' length and with what is found in them, not with titles times indicators.
     """
+    spark = titles.sparkSession
+    kind_i, kind_e = (dict(df.dtypes)[c] for df, c in ((indicators, "indicator_id"), (titles, "event_id")))
     terms = F.filter(F.split(F.lower(F.trim("label")), r"\s+"), lambda w: F.length(w) > 2)
     own = indicators.select("indicator_id", terms.alias("terms")).where("size(terms) > 0")
-    turns = -(-own.count() // together)
+    chars = own.agg(F.sum(F.length(F.array_join("terms", "")))).first()[0] or 0
+    turns = -(-chars // term_chars)
     lower = titles.where("title is not null").select("event_id", F.lower("title").alias("title"))
-    out = titles.sparkSession.createDataFrame([], f"indicator_id {dict(indicators.dtypes)['indicator_id']}, event_id {dict(titles.dtypes)['event_id']}, n_hits int")
+    out = spark.createDataFrame([], f"indicator_id {kind_i}, event_id {kind_e}, n_hits int")
+
+    def of_turn(turn: int) -> DataFrame:
+        held = own.where(F.pmod(F.xxhash64("indicator_id"), F.lit(turns)) == turn).collect()  # about term_chars characters
+        ids, lists = [r.indicator_id for r in held], [list(r.terms) for r in held]
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            automaton = TermAutomaton(lists)
+            for pdf in parts:
+                rows = [(ids[k], e, n) for e, title in zip(pdf["event_id"], pdf["title"], strict=True) for k, n in automaton.matches(title)]
+                yield pd.DataFrame(rows, columns=["indicator_id", "event_id", "n_hits"])
+
+        return lower.mapInPandas(run, out.schema)
+
     for turn in range(turns):
-        part = own.where(F.pmod(F.xxhash64("indicator_id"), F.lit(turns)) == turn)
-        row = part.agg(F.collect_list(F.struct("indicator_id", "terms")).alias("held"))
-        found = lambda x: F.size(F.filter(x["terms"], lambda t: F.contains(F.col("title"), t)))
-        hits = F.transform("held", lambda x: F.struct(x["indicator_id"].alias("indicator_id"), F.size(x["terms"]).alias("n"), found(x).alias("n_hits")))
-        enough = F.filter(hits, lambda h: h["n_hits"] >= F.when(h["n"] <= 2, h["n"]).otherwise(F.ceil(h["n"] / 2)))
-        out = out.unionByName(lower.crossJoin(F.broadcast(row)).select("event_id", F.explode(enough).alias("h")).select("h.indicator_id", "event_id", "h.n_hits"))
+        out = out.unionByName(of_turn(turn))
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalar import joined_key, key_part, strip_tags
 from quillon.operators import entities, grouping, relational, scoring, series, vectors
+from quillon.storage import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -591,12 +593,16 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _close_pairs(spark: SparkSession, sf_dir: str, cosine: float) -> DataFrame:
-    return vectors.similar_pairs(read(spark, sf_dir, "embeddings"), (2 * (1 - cosine)) ** 0.5)
+    rows = read(spark, sf_dir, "embeddings")
+    return written(grouping.nearest_edges(rows, (2 * (1 - cosine)) ** 0.5, 20, "vec_id", "embedding"), "pairs")
 
 
 @query()
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(None).cast("timestamp").alias("published"))
+    """The 20 nearest within a distance, and 72 hours; one row of ten has no time."""
+    hour = F.pmod(F.col("vec_id") * 7919, F.lit(500))
+    at = F.when(F.col("vec_id") % 10 != 0, F.timestamp_seconds(1704067200 + 3600 * hour))
+    docs = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), at.alias("published"))
     return grouping.greedy_duplicates(docs, _close_pairs(spark, sf_dir, 0.30))
 
 
@@ -704,15 +710,7 @@ def describe_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT CAST(strftime(o_orderdate, '%Y') AS INTEGER) AS year, CAST(strftime(o_orderdate, '%m') AS INTEGER) AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
