@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.storage import discard, written
+
 
 def _all_null_free(keys: Sequence[str]) -> Column:
     out = F.lit(True)
@@ -37,19 +40,19 @@ def insert_or_ignore(df: DataFrame, unique: Sequence[Sequence[str]], order: Sequ
         for keys in unique:
             left = left.join(existing.select(*keys).distinct(), list(keys), "left_anti").select(df.columns)
     place, taken = F.struct(*order), None
-    left = left.checkpoint()
+    left = written(left, "left")
     while not left.isEmpty():
         first = left
         for k, keys in enumerate(unique):
             low = left.where(_all_null_free(keys)).groupBy(*keys).agg(F.min(place).alias(f"__low{k}"))
             first = first.join(low, list(keys), "left")
             first = first.where(F.col(f"__low{k}").isNull() | (F.col(f"__low{k}") == place)).select(df.columns)
-        first = first.checkpoint()
+        first = written(first, "taken")
         taken = first if taken is None else taken.unionByName(first)
         left = left.join(first.select(*order), list(order), "left_anti").select(df.columns)
         for keys in unique:
             left = left.join(first.where(_all_null_free(keys)).select(*keys).distinct(), list(keys), "left_anti").select(df.columns)
-        left = left.checkpoint()
+        left = written(left, "left")
     return left if taken is None else taken
 
 
@@ -69,9 +72,13 @@ def column_upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str], co
 
 
 def additive_upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Counts of equal keys are added."""
-    both = existing.select(*keys, *columns).unionByName(batch.select(*keys, *columns))
-    return both.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in columns))
+    """Counts of equal keys are added; all other columns of a key that exists stay, those of a new one are the batch's
+    (of its several rows the one with the smallest values)."""
+    rest = [c for c in existing.columns if c not in keys and c not in columns]
+    both = existing.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    first = F.min(F.struct("__new", *rest)).alias("__r")
+    out = both.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in columns), first)
+    return out.select(*(F.col(f"__r.{c}").alias(c) if c in rest else F.col(c) for c in existing.columns))
 
 
 def insert_if_absent(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -199,15 +206,73 @@ def only_from(df: DataFrame, key: str, value: str, wanted: str) -> DataFrame:
     return df.groupBy(key).agg(F.bool_and(F.coalesce(F.col(value) == wanted, F.lit(False))).alias("__all")).where("__all").select(key)
 
 
-def resolve_pointers(df: DataFrame, id_col: str, pointer: str, transitive: bool = False, most_hops: int = 16) -> DataFrame:
-    """id and the id that its pointer leads to: one hop, or followed up to ``most_hops`` times."""
+def resolve_pointers(df: DataFrame, id_col: str, pointer: str, transitive: bool = False) -> DataFrame:
+    """id and the id that its pointer leads to: one hop, or followed to the end, each round twice as far. A pointer to an
+    id that no row has ends there; a circle leads to the smallest id in it."""
     ptr = df.select(F.col(id_col).alias("id"), F.coalesce(pointer, id_col).alias("canonical"))
     if not transitive:
         return ptr
-    hop = ptr.select(F.col("id").alias("canonical"), F.col("canonical").alias("__next"))
-    out, reach = ptr, 1
-    while reach < most_hops:
-        out = out.join(hop, "canonical", "left").select("id", F.coalesce("__next", "canonical").alias("canonical"))
-        hop = out.select(F.col("id").alias("canonical"), F.col("canonical").alias("__next"))
-        reach *= 2
-    return out
+    # low: the smallest id passed so far. A walk longer than there are rows goes round a circle.
+    out = written(ptr.withColumn("low", F.least("id", "canonical")), "pointers")
+    rows, reach = out.count(), 1
+    while True:
+        hop = out.select(F.col("id").alias("canonical"), F.col("canonical").alias("next"), F.col("low").alias("further"))
+        after = written(out.join(hop, "canonical", "left").select("id", F.coalesce("next", "canonical").alias("canonical"), F.least("low", "further").alias("low")), "pointers")
+        moved = not after.join(out.select("id", F.col("canonical").alias("before")), "id").where("canonical <> before").isEmpty()
+        discard(out)
+        out, reach = after, 2 * reach
+        if not moved or reach > rows:
+            break
+    ends = out.join(ptr.select(F.col("id").alias("canonical"), F.col("canonical").alias("next")), "canonical", "left")
+    # The end of a walk that has not ended is in a circle: from there the smallest id passed is the circle's.
+    circle = out.select(F.col("id").alias("canonical"), F.col("low").alias("least"))
+    return ends.join(circle, "canonical", "left").select("id", F.when(F.col("next").isNotNull() & (F.col("next") != F.col("canonical")), F.col("least")).otherwise(F.col("canonical")).alias("canonical"))
+
+
+def seeded_sample(df: DataFrame, strata: Sequence[str], id_col: str, n: int, seed: int | str) -> DataFrame:
+    """The ``n`` rows of each stratum whose keyed hashes are smallest: the same ones at any partitioning and order.
+
+    Each task keeps the n smallest hashes of each stratum of its own rows, so only those are shuffled and ranked; then the
+    rows are found again by id, which tells rows apart. Null strata count as one; rows without an id are never drawn.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    own = df.where(F.col(id_col).isNotNull()).select(*strata, F.col(id_col), key.alias("__key"))
+
+    def smallest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in parts:
+            both = pdf if held is None else pd.concat([held, pdf])
+            ranked = both.sort_values("__key")
+            held = ranked.groupby(list(strata), dropna=False, sort=False).head(n) if strata else ranked.head(n)
+        if held is not None:
+            yield held
+
+    order = Window.partitionBy(*strata).orderBy("__key", id_col)
+    drawn = own.mapInPandas(smallest, own.schema).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n)
+    return df.join(drawn.select(id_col), id_col, "left_semi")
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """group, n and an array of quantiles (between neighbouring values, as by rank) of the values that are not null.
+
+    Rows are range-partitioned by group and value and sorted inside; partitions are counted, which gives each row its
+    rank, and only the rows at the wanted ranks are picked. No group's values meet in one task or buffer; a value that
+    is very frequent is dealt to several partitions.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    ranged = own.repartitionByRange(parts, "g", "x", "deal").sortWithinPartitions("g", "x")
+    placed = written(ranged.select("g", "x", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "ranged")
+    # A row for each partition of each group: what is before it in the group.
+    heads = placed.groupBy("g", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("g").orderBy("part")
+    heads = heads.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("g")))
+    spot = lambda q: (F.col("total") - 1) * F.lit(float(q))
+    heads = heads.select(F.col("g").alias("of"), F.col("part").alias("own"), "first", "before", "total")
+    ranked = placed.join(heads, F.col("g").eqNullSafe(F.col("of")) & (F.col("part") == F.col("own"))).select("g", "x", "total", (F.col("before") + F.col("at") - F.col("first")).alias("rank"))
+    wanted = F.array(*(f(spot(q)).cast("long") for q in shares for f in (F.floor, F.ceil)))
+    picked = ranked.where(F.array_contains(wanted, F.col("rank")))
+    at = lambda q, f: F.max(F.when(F.col("rank") == f(spot(q)).cast("long"), F.col("x")))
+    between = [(at(q, F.floor) + (at(q, F.ceil) - at(q, F.floor)) * F.max(spot(q) - F.floor(spot(q)))) for q in shares]
+    return picked.groupBy(F.col("g").alias(group)).agg(F.max("total").alias("n"), F.array(*between).alias("quantiles"))

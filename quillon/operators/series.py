@@ -110,10 +110,14 @@ def hotspots(daily: DataFrame, key: str, as_of: Column, window_days: int = 14, b
     return out.orderBy(F.col("score").desc(), key)
 
 
+#: Bars of a year, over which the range runs.
+YEAR = 252
+
+
 def technicals(bars: DataFrame, keys: Sequence[str], day: str = "day", close: str = "close") -> DataFrame:
     """Indicators at the last bar of each series: returns, distance from moving averages, volatility, drawdown, range.
 
-    Each is null where the series does not cover it.
+    Each is null where the series does not cover it; the range is that of the last YEAR bars.
     """
     order = Window.partitionBy(*keys).orderBy(day)
     trail = lambda k: order.rowsBetween(-(k - 1), 0)
@@ -128,8 +132,8 @@ def technicals(bars: DataFrame, keys: Sequence[str], day: str = "day", close: st
     for k in (20, 50, 200):
         rows = rows.withColumn(f"sma_{k}_distance", F.when(F.col("__n") >= k, F.try_divide(x, F.avg(close).over(trail(k))) - 1))
     rows = rows.withColumn("volatility_21", F.when(F.count("__change").over(trail(21)) >= 2, F.stddev_samp("__change").over(trail(21)) * F.sqrt(F.lit(252.0))))
-    rows = rows.withColumn("max_drawdown", F.min("__draw").over(up_to))
-    rows = rows.withColumn("from_high", F.try_divide(x, F.max(close).over(up_to)) - 1).withColumn("from_low", F.try_divide(x, F.min(close).over(up_to)) - 1)
+    rows = rows.withColumn("max_drawdown", F.when(F.col("__n") >= 2, F.min("__draw").over(up_to)))
+    rows = rows.withColumn("from_high", F.try_divide(x, F.max(close).over(trail(YEAR))) - 1).withColumn("from_low", F.try_divide(x, F.min(close).over(trail(YEAR))) - 1)
     rows = rows.withColumn("return_1y", F.when(F.col("__n") >= 240, F.try_divide(x, F.first(close).over(up_to)) - 1))
     n = F.col("__n")
     rows = rows.withColumn("quality", F.when(n >= 200, "full").when(n >= 60, "partial").otherwise("minimal")).withColumn("bars", n.cast("long"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import dot, norm
+from quillon.storage import written
 
 
 def centroids(df: DataFrame, keys: list[str], vector: str, unit: bool = True) -> DataFrame:
@@ -46,17 +48,11 @@ def _blocks(df: DataFrame, id_col: str, vector: str, n: int) -> DataFrame:
     return df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("block"))
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", most_distance: float | None = None, include_self: bool = False) -> DataFrame:
-    """The k nearest rows of each query by L2 distance: id, neighbour, distance, rank; of equals the smaller id.
+FOUND = "id long, neighbour long, distance double"
 
-    Queries and rows are dealt into blocks of about BLOCK vectors; each pair of blocks is one product of matrices in
-    one task, which keeps the best k of each query, and a ranked merge keeps the best k of all. Nothing is broadcast
-    and no pair outside the best k leaves a task. The work is queries times rows, as for any exact search.
-    """
-    n_rows, n_queries = rows.count(), queries.count()
-    nr, nq = max(1, -(-n_rows // BLOCK)), max(1, -(-n_queries // BLOCK))
-    left = _blocks(queries, id_col, vector, nq).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).select("id", "v", F.lit(True).alias("query"), (F.col("block") * nr + F.col("other")).alias("cell"))
-    right = _blocks(rows, id_col, vector, nr).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("id", "v", F.lit(False).alias("query"), (F.col("other") * nr + F.col("block")).alias("cell"))
+
+def _best(k: int, include_self: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The best k rows of each query of a cell (id, v, query: which of both it is)."""
 
     def best(cell: pd.DataFrame) -> pd.DataFrame:
         q, r = cell[cell["query"]].sort_values("id"), cell[~cell["query"]].sort_values("id")
@@ -83,12 +79,138 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vec
                 out += [(qi[at + i], ri[own[o]], exact[o]) for o in order]
         return pd.DataFrame(out, columns=["id", "neighbour", "distance"])
 
-    found = left.unionByName(right).groupBy("cell").applyInPandas(best, "id long, neighbour long, distance double")
+    return best
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", most_distance: float | None = None, include_self: bool = False) -> DataFrame:
+    """The k nearest rows of each query by L2 distance: id, neighbour, distance, rank; of equals the smaller id.
+
+    Queries and rows are dealt into blocks of about BLOCK vectors; each pair of blocks is one product of matrices in
+    one task, which keeps the best k of each query, and a ranked merge keeps the best k of all. Nothing is broadcast
+    and no pair outside the best k leaves a task. The work is queries times rows, as for any exact search.
+    """
+    n_rows, n_queries = rows.count(), queries.count()
+    nr, nq = max(1, -(-n_rows // BLOCK)), max(1, -(-n_queries // BLOCK))
+    left = _blocks(queries, id_col, vector, nq).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).select("id", "v", F.lit(True).alias("query"), (F.col("block") * nr + F.col("other")).alias("cell"))
+    right = _blocks(rows, id_col, vector, nr).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("id", "v", F.lit(False).alias("query"), (F.col("other") * nr + F.col("block")).alias("cell"))
+
+    found = left.unionByName(right).groupBy("cell").applyInPandas(_best(k, include_self), FOUND)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     out = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return out if most_distance is None else out.where(F.col("distance") <= most_distance)
 
 
+#: Rows that cells are fitted on, and cells, at most.
+CELL_SAMPLE, MOST_CELLS = 20_000, 1024
+
+
+@dataclass
+class CellIndex:
+    """Rows (id, v, cell) by their nearest centre; of each cell its rows, and the least and greatest distance to its centre."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    sizes: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+
+
+def _to_centres(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (centres * centres).sum(1) - 2 * v @ centres.T, 0))
+
+
+def _vectors(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["v"].to_numpy()).astype(np.float64)
+
+
+def cell_index(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cells: int | None = None, seed: int = 1) -> CellIndex:
+    """An inverted file: all rows by cell. Centres are fitted on CELL_SAMPLE rows at most, those of the smallest hashes;
+    they decide how much a search reads, never what it finds."""
+    own = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    sample = own.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(CELL_SAMPLE).toPandas()
+    if not len(sample):
+        return CellIndex(written(own.withColumn("cell", F.lit(0)), "cells"), np.zeros((1, 1)), *(np.zeros(1) for _ in range(3)))
+    v = _vectors(sample)
+    n = min(cells or max(1, int(len(v) ** 0.5)), MOST_CELLS, len(v))
+    centres = v[np.random.default_rng(seed).choice(len(v), n, replace=False)]
+    for _ in range(10):
+        near = _to_centres(v, centres).argmin(1)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, v)
+        count = np.bincount(near, minlength=n)[:, None]
+        centres = np.where(count > 0, total / np.maximum(count, 1), centres)
+
+    def assigned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                x = _vectors(pdf)
+                cell = _to_centres(x, centres).argmin(1)
+                yield pdf.assign(cell=cell, r=np.sqrt(((x - centres[cell]) ** 2).sum(1)))
+
+    table = written(own.mapInPandas(assigned, f"id long, v {dict(own.dtypes)['v']}, cell int, r double"), "cells")
+    of = {r.cell: r for r in table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}  # a row a cell
+    figures = np.array([(of[c].n, of[c].lo, of[c].hi) if c in of else (0, np.inf, -np.inf) for c in range(n)])
+    return CellIndex(table.drop("r"), centres, *figures.T)
+
+
+def knn_by_cells(queries: DataFrame, index: CellIndex, k: int, id_col: str = "vec_id", vector: str = "embedding", include_self: bool = False) -> tuple[DataFrame, float]:
+    """What ``knn`` gives, and the share of all pairs of query and row that were compared.
+
+    A query is first compared with the nearest cells that hold k rows, which bounds its k-th distance. By the triangle
+    inequality a row of a cell is no nearer than the distance to the centre less the cell's greatest radius, or its least
+    radius less that distance: only cells that can reach below the bound are compared too. The result is exact.
+    """
+    centres, sizes, least, most = index.centres, index.sizes, index.least, index.most
+    own = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    kind = dict(own.dtypes)["v"]
+    n_queries, n_rows = own.count(), int(sizes.sum())
+    if not n_queries or not n_rows:
+        return own.sparkSession.createDataFrame([], FOUND + ", rank int"), 0.0
+    wanted = k + (not include_self)
+
+    def first(d: np.ndarray) -> np.ndarray:
+        order = np.argsort(d, kind="stable")
+        return order[: int(np.searchsorted(np.cumsum(sizes[order]), wanted)) + 1]
+
+    def cells(second: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                if not len(pdf):
+                    continue
+                d = _to_centres(_vectors(pdf), centres)
+                found = []
+                for i in range(len(pdf)):
+                    near = first(d[i])
+                    if second:
+                        bound = np.maximum(d[i] - most, least - d[i])
+                        tau = pdf["tau"].iloc[i]
+                        near = np.setdiff1d(np.flatnonzero((bound <= tau * (1 + 1e-9) + 1e-7) & (sizes > 0)), near)
+                    found.append(near)
+                at = np.repeat(np.arange(len(pdf)), [len(x) for x in found])
+                yield pdf[["id", "v"]].iloc[at].assign(cell=np.concatenate(found).astype(np.int32))
+
+        return run
+
+    def searched(asked: DataFrame) -> tuple[DataFrame, int]:
+        asked = written(asked, "asked")
+        n = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row a cell
+        counts = lambda x: F.array(*(F.lit(max(1, -(-int(c) // BLOCK))) for c in x))
+        nq, nr = F.get(counts([n.get(c, 0) for c in range(len(sizes))]), F.col("cell")), F.get(counts(sizes), F.col("cell"))
+        block = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
+        key = lambda a, b: F.concat_ws("-", F.col("cell"), a, b).alias("cell")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
+        left = asked.select("id", "v", "cell", block(nq).alias("own"), every(nr)).select("id", "v", F.lit(True).alias("query"), key(F.col("own"), F.col("other")))
+        right = index.rows.where(F.col("cell").isin(list(n))).select("id", "v", "cell", block(nr).alias("own"), every(nq)).select("id", "v", F.lit(False).alias("query"), key(F.col("other"), F.col("own")))
+        return written(left.unionByName(right).groupBy("cell").applyInPandas(_best(k, include_self), FOUND), "found"), sum(int(sizes[c]) * m for c, m in n.items())
+
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
+    near, n_near = searched(own.mapInPandas(cells(False), f"id long, v {kind}, cell int"))
+    bound = ranked(near).groupBy("id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("tau"))
+    bounded = own.join(bound, "id", "left").select("id", "v", F.coalesce("tau", F.lit(float("inf"))).alias("tau"))
+    far, n_far = searched(bounded.mapInPandas(cells(True), f"id long, v {kind}, cell int"))
+    return ranked(near.unionByName(far)), (n_near + n_far) / (n_queries * n_rows)
+
+
 def similar_pairs(df: DataFrame, most_distance: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """All pairs a < b within a distance: a, b, distance, compared block by block."""
     n = max(1, -(-df.count() // BLOCK))

@@ -395,10 +395,10 @@ def _closes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT o_orderstatus AS ticker, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS close FROM orders GROUP BY 1, 2),
 w AS (SELECT *, row_number() OVER o AS n, lead(day) OVER o IS NULL AS is_last, lag(close, 21) OVER o AS c21, avg(close) OVER (o ROWS 19 PRECEDING) AS s20, avg(close) OVER (o ROWS 199 PRECEDING) AS s200,
-  max(close) OVER (o ROWS UNBOUNDED PRECEDING) AS hi, min(close) OVER (o ROWS UNBOUNDED PRECEDING) AS lo, close / lag(close) OVER o - 1 AS r FROM c WINDOW o AS (PARTITION BY ticker ORDER BY day)),
+  max(close) OVER (o ROWS UNBOUNDED PRECEDING) AS hi, max(close) OVER (o ROWS 251 PRECEDING) AS hi_year, min(close) OVER (o ROWS UNBOUNDED PRECEDING) AS lo, close / lag(close) OVER o - 1 AS r FROM c WINDOW o AS (PARTITION BY ticker ORDER BY day)),
 v AS (SELECT *, min(close / hi - 1) OVER (PARTITION BY ticker ORDER BY day ROWS UNBOUNDED PRECEDING) AS dd, stddev_samp(r) OVER (PARTITION BY ticker ORDER BY day ROWS 20 PRECEDING) AS sd FROM w)
 SELECT ticker, n AS bars, round(close / c21 - 1, 4) AS return_21, round(close / s20 - 1, 4) AS sma_20_distance, round(CASE WHEN n >= 200 THEN close / s200 - 1 END, 4) AS sma_200_distance,
-  round(dd, 4) AS max_drawdown, round(sd * sqrt(252), 3) AS volatility_21, round(close / hi - 1, 4) AS from_high, CASE WHEN n >= 200 THEN 'full' WHEN n >= 60 THEN 'partial' ELSE 'minimal' END AS quality
+  round(CASE WHEN n >= 2 THEN dd END, 4) AS max_drawdown, round(sd * sqrt(252), 3) AS volatility_21, round(close / hi_year - 1, 4) AS from_high, CASE WHEN n >= 200 THEN 'full' WHEN n >= 60 THEN 'partial' ELSE 'minimal' END AS quality
 FROM v WHERE is_last""")
 def technicals_sma_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = series.technicals(_closes(spark, sf_dir), ["ticker"])
@@ -592,6 +592,14 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.knn(e, e, 5).select("id", "neighbour", F.col("rank").cast("int").alias("rank"))
 
 
+@query(ORACLE["knn_topk"])
+def knn_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index of cells, which leaves out those that are too far."""
+    e = read(spark, sf_dir, "embeddings")
+    found, _ = vectors.knn_by_cells(e, vectors.cell_index(e), 5)
+    return found.select("id", "neighbour", F.col("rank").cast("int").alias("rank"))
+
+
 def _close_pairs(spark: SparkSession, sf_dir: str, cosine: float) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     return written(grouping.nearest_edges(rows, (2 * (1 - cosine)) ** 0.5, 20, "vec_id", "embedding"), "pairs")
@@ -702,8 +710,18 @@ def distinct_users_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.25), 4) AS q25, round(median(value), 4) AS q50, round(quantile_cont(value, 0.75), 4) AS q75, round(stddev_samp(value), 4) AS sd FROM events GROUP BY 1")
 def describe_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile("value", p), 4)
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.round(F.stddev_samp("value"), 4).alias("sd"))
+    events = read(spark, sf_dir, "events")
+    found = relational.exact_quantiles(events, "event_type", "value", [0.25, 0.5, 0.75]).select("event_type", *(F.round(F.get("quantiles", F.lit(k)), 4).alias(c) for k, c in enumerate(("q25", "q50", "q75"))))
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_samp("value"), 4).alias("sd")).join(found, "event_type", "left")
+
+
+@query("""
+SELECT lang, source, doc_id, n_chars FROM documents
+QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) <= 20""")
+def seeded_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty documents of each language and source, the same ones at each run."""
+    docs = read(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars")
+    return relational.seeded_sample(docs, ["lang", "source"], "doc_id", 20, 7)
 
 
 # Sinks and streams -------------------------------------------------------------------------------------------------
@@ -725,7 +743,7 @@ def parquet_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.streaming.streams import drain, file_stream, upsert_into
+    from quillon.streaming.streams import drain, file_stream, latest_table, upsert_into
 
     path = _folder(spark, "stream")
     rows = read(spark, sf_dir, "events")
@@ -734,12 +752,5 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = table.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(table).isDirectory()
     source, options = (f"{sf_dir}/events.parquet", {}) if folder else (sf_dir, {"pathGlobFilter": "events.parquet"})
     stream = file_stream(spark, source, rows._jdf.schema().toDDL(), **options).select("user_id", "event_type", "event_id", "value")
-    batches: list[int] = []
-    write = upsert_into(spark, path, ["user_id", "event_type"], "event_id")
-
-    def one(batch: DataFrame, number: int) -> None:
-        write(batch, number)
-        batches.append(number)
-
-    drain(stream, f"{path}/checkpoint", one)
-    return spark.read.parquet(f"{path}/{max(batches) % 2}")
+    drain(stream, f"{path}/checkpoint", upsert_into(spark, f"{path}/table", ["user_id", "event_type"], "event_id"))
+    return latest_table(spark, f"{path}/table")

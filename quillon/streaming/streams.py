@@ -38,21 +38,47 @@ def daily_counts(df: DataFrame, keys: list[str], time: str, delay: str = "1 day"
     return df.withWatermark(time, delay).groupBy(*keys, F.window(time, "1 day")).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("window.start").alias("day"), "n")
 
 
-def upsert_into(spark: SparkSession, path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps the newest row of each key. Tables alternate between two folders, so that a batch that
-    runs again reads what the one before it left."""
+#: Buckets of a table that batches are merged into.
+BUCKETS = 64
+
+
+def upsert_into(spark: SparkSession, path: str, keys: list[str], order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch writer that keeps the newest row of each key, in a table of folders by a hash of the key.
+
+    A batch reads and overwrites the buckets of its own keys only; the others' files stay as they are. A batch that runs
+    again finds its own rows there and leaves the same.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), F.col(order)).alias("r")).select(*keys, "r.*").select(batch.columns)
-        if number:
-            batch = last_wins(spark.read.parquet(f"{path}/{(number - 1) % 2}"), batch, keys, order)
-        batch.write.mode("overwrite").parquet(f"{path}/{number % 2}")
+        columns = batch.columns
+        batch = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), F.col(order)).alias("r")).select(*keys, "r.*").select(columns)
+        batch = batch.withColumn("bucket", bucket).persist()
+        try:
+            touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            if not touched:
+                return
+            table, target = batch, spark._jvm.org.apache.hadoop.fs.Path(path)
+            if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+                old = spark.read.schema(batch.schema).parquet(path).where(F.col("bucket").isin(touched))
+                table = last_wins(old, batch, [*keys, "bucket"], order)
+            table.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        finally:
+            batch.unpersist()
 
     return write
 
 
-def latest_table(spark: SparkSession, path: str, batches: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/{(batches - 1) % 2}")
+def latest_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_into`` keeps."""
+    return spark.read.parquet(path).drop("bucket")
+
+
+def session_stream(df: DataFrame, user: str, time: str, gap: str, delay: str = "1 hour") -> DataFrame:
+    """``series.sessions`` on a stream: a session comes out, once, when the watermark has passed its end; rows that come
+    late but before that are merged, also where they join two sessions into one. Later rows are dropped."""
+    own = df.withWatermark(time, delay).groupBy(user, F.session_window(time, gap).alias("w"))
+    return own.agg(F.count(F.lit(1)).alias("n_events"), F.min(time).alias("started"), F.max(time).alias("ended")).drop("w")
 
 
 def stateful_baseline(df: DataFrame, key: str, time: str, value: str, baseline: int = 30, threshold: float = 2.0) -> DataFrame:
@@ -118,4 +144,4 @@ def run_phases(phases: list[tuple[str, Callable[[], None]]], start_from: str | N
     return done
 
 
-__all__ = ["StreamingQuery", "daily_counts", "deduplicated", "drain", "file_stream", "latest_table", "once", "run_phases", "stateful_baseline", "upsert_into"]
+__all__ = ["StreamingQuery", "daily_counts", "deduplicated", "drain", "file_stream", "latest_table", "once", "run_phases", "session_stream", "stateful_baseline", "upsert_into"]

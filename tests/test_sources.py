@@ -85,6 +85,6 @@ def test_streams(spark, tmp_path):
     drain()
     drain()
     assert seen == [0]
-    assert {r.k: r.x for r in streams.latest_table(spark, str(tmp_path / "t"), 1).collect()} == {1: 2.0, 2: 5.0}
+    assert {r.k: r.x for r in streams.latest_table(spark, str(tmp_path / "t")).collect()} == {1: 2.0, 2: 5.0}
     calls = []
     assert streams.run_phases([("a", lambda: calls.append(1)), ("b", lambda: calls.append(2))], start_from="b") == ["b"] and calls == [2]
