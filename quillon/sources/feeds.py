@@ -1,4 +1,5 @@
-"""Readers of the landed feeds, each a projection to typed columns. Fetching is left to whatever lands the files.
+"""Readers of the feeds, each a projection to typed columns. A reader takes the path of landed files, or fetched pages
+(a DataFrame with ``content``, one document a row; ``quillon.sources.fetched`` gives such).
 
 ``EVENT`` is the common shape of events from all of them.
 """
@@ -35,6 +36,60 @@ FLOWS = {"M": "Import", "X": "Export"}
 COMMODITIES = {"8541": "semiconductor devices", "8542": "integrated circuits", "8486": "chip-making machinery"}
 
 
+Source = str | DataFrame
+#: Rows of one batch of a zip's member.
+ZIP_ROWS = 20_000
+
+
+def _json(spark: SparkSession, source: Source, schema: str) -> DataFrame:
+    """JSON documents, one a file or one a page."""
+    if isinstance(source, str):
+        return spark.read.schema(schema).json(source, multiLine=True)
+    return source.where("content is not null").select(F.from_json("content", schema).alias("j")).select("j.*")
+
+
+def zipped_rows(spark: SparkSession, path: str, columns: list[str], header: bool = False, delimiter: str = ",") -> DataFrame:
+    """Rows of all members of zip files, columns as text, empty values as null. With a header, columns go by name and
+    values may be quoted and hold line breaks; without one they go by place and quotes are plain characters.
+
+    A member is read as a stream: a task holds a compressed file and one batch of rows.
+    """
+    limit = ZIP_ROWS
+
+    def run(parts: Iterator) -> Iterator:
+        import csv
+        import io
+        import itertools
+        import zipfile
+
+        import pandas as pd
+
+        csv.field_size_limit(2**31 - 1)
+        n = len(columns)
+
+        def rows(member: io.BufferedIOBase) -> Iterator[list]:
+            if header:
+                for row in csv.DictReader(io.TextIOWrapper(member, "utf-8-sig", "replace", newline=""), delimiter=delimiter):
+                    yield [row.get(c) or None for c in columns]
+            else:
+                for line in io.TextIOWrapper(member, "utf-8", "replace", newline="\n"):
+                    if line.strip():
+                        row = [x or None for x in line.rstrip("\r\n").split(delimiter)]
+                        yield (row + [None] * n)[:n]
+
+        for pdf in parts:
+            for content in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():
+                        with z.open(name) as member:
+                            found = rows(member)
+                            while batch := list(itertools.islice(found, limit)):
+                                yield pd.DataFrame(batch, columns=columns, dtype=object)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(run, ", ".join(f"{c} string" for c in columns))
+
+
 def file_slots(spark: SparkSession, first: str, last: str, sample_hours: int = 0) -> DataFrame:
     """Names of the 15-minute export files from the first to the last day; with sampling, one in so many hours."""
     step = F.sequence(F.to_timestamp(F.lit(first)), F.to_timestamp(F.lit(last)) + F.expr("interval 23 hours 45 minutes"), F.expr("interval 15 minutes"))
@@ -52,22 +107,7 @@ def event_export(spark: SparkSession, path: str) -> DataFrame:
 
 def event_export_zips(spark: SparkSession, path: str) -> DataFrame:
     """Rows of zipped exports. A zip file is one unit of work; it holds 15 minutes of events."""
-
-    def run(parts: Iterator) -> Iterator:
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        for pdf in parts:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        lines = z.read(name).decode("utf-8", "replace").split("\n")
-                        rows = [(x.split("\t") + [""] * len(EVENT_COLUMNS))[: len(EVENT_COLUMNS)] for x in lines if x.strip()]
-                        yield pd.DataFrame(rows, columns=EVENT_COLUMNS)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"{c} string" for c in EVENT_COLUMNS))
+    return zipped_rows(spark, path, EVENT_COLUMNS, delimiter="\t")
 
 
 def filtered_export(rows: DataFrame, quads: list[int], least_mentions: int, most_goldstein: float | None = None, countries: list[str] | None = None) -> DataFrame:
@@ -114,9 +154,7 @@ def stored_export(rows: DataFrame, order: str) -> dict[str, DataFrame]:
     return {"documents": documents, "events": events, "event_documents": rows.select("url", c("key").alias("event_title")).distinct(), "details": details}
 
 
-def articles(spark: SparkSession, path: str) -> DataFrame:
-    """Items of landed RSS or Atom files: file, url, title, body, published. One file is one unit of work."""
-
+def _article_rows(spark: SparkSession, source: Source) -> DataFrame:
     def run(parts: Iterator) -> Iterator:
         import xml.etree.ElementTree as ET
 
@@ -130,7 +168,8 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     root = ET.fromstring(content)
-                except ET.ParseError:
+                except ET.ParseError as e:
+                    out.append((name, None, None, None, None, str(e)))
                     continue
                 for item in root.iter():
                     if tag(item) not in ("item", "entry"):
@@ -141,24 +180,38 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
                         got.setdefault(tag(e), text)
                     bodies = [got.get(k, "") for k in ("encoded", "content", "summary", "description")]
                     when = next((got[k] for k in ("pubdate", "published", "updated", "date") if got.get(k)), None)
-                    out.append((name, got.get("link") or None, got.get("title") or None, next((b for b in bodies if b), None), when))
-            yield pd.DataFrame(out, columns=["file", "url", "title", "body", "published"])
+                    out.append((name, got.get("link") or None, got.get("title") or None, next((b for b in bodies if b), None), when, None))
+            yield pd.DataFrame(out, columns=["file", "url", "title", "body", "published", "error"])
+
+    if isinstance(source, str):
+        files = spark.read.format("binaryFile").load(source).select("path", "content")
+    else:
+        files = source.where("content is not null").select(F.concat_ws("#", "request", "page").alias("path"), "content")
+    return files.mapInPandas(run, "file string, url string, title string, body string, published string, error string")
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = files.mapInPandas(run, "file string, url string, title string, body string, published string")
+
+def articles(spark: SparkSession, source: Source) -> DataFrame:
+    """Items of RSS or Atom documents: file, url, title, body, published. One document is one unit of work; those that do
+    not parse are told by ``unreadable_articles``."""
+    found = _article_rows(spark, source).where("error is null").drop("error")
     return found.withColumn("published_at", parse_time(F.col("published"))).withColumn("content_hash", content_hash(F.coalesce("body", F.lit(""))))
 
 
+def unreadable_articles(spark: SparkSession, source: Source) -> DataFrame:
+    """file, error of the documents that do not parse."""
+    return _article_rows(spark, source).where("error is not null").select("file", "error")
+
+
 def recent(articles: DataFrame, cutoff: Column) -> DataFrame:
     """Articles not older than a cutoff; those without a readable date stay."""
     return articles.where(F.col("published_at").isNull() | (F.col("published_at") >= cutoff))
 
 
-def chokepoints(spark: SparkSession, path: str) -> DataFrame:
+def chokepoints(spark: SparkSession, source: Source) -> DataFrame:
     """Daily ship counts from landed feature pages."""
     names = ["n_total", "n_tanker", "n_container", "n_dry_bulk", "n_cargo"]
     attributes = "struct<portid:string,portname:string,date:string," + ",".join(f"{n}:int" for n in names) + ",capacity:double>"
-    pages = spark.read.schema(f"features array<struct<attributes:{attributes}>>").json(path, multiLine=True)
+    pages = _json(spark, source, f"features array<struct<attributes:{attributes}>>")
     rows = pages.select(F.explode("features.attributes").alias("a")).select("a.*")
     day = F.coalesce(F.to_date(epoch_ms(F.col("date"))), F.to_date(parse_time(F.col("date"))))
     return rows.withColumn("date", day).where(F.col("portid").isNotNull() & F.col("date").isNotNull())
@@ -176,9 +229,9 @@ def recent_periods(spark: SparkSession, today: str, n: int = 3, lag: int = 2) ->
     return spark.range(n).select(F.date_format(F.add_months(month, -F.col("id").cast("int") - lag), "yyyyMM").alias("period")).orderBy(F.col("period").desc())
 
 
-def trade_flows(spark: SparkSession, path: str) -> DataFrame:
+def trade_flows(spark: SparkSession, source: Source) -> DataFrame:
     record = "reporterCode int, reporterISO string, reporterDesc string, flowCode string, flowDesc string, partnerDesc string, cmdCode string, cmdDesc string, period string, refYear int, refMonth int, primaryValue double, netWgt double"
-    pages = spark.read.schema("data array<struct<" + record.replace(", ", ",").replace(" ", ":") + ">>").json(path, multiLine=True)
+    pages = _json(spark, source, "data array<struct<" + record.replace(", ", ",").replace(" ", ":") + ">>")
     return pages.select(F.explode("data").alias("d")).select("d.*")
 
 
@@ -206,9 +259,9 @@ def _events(df: DataFrame, kind: str, origin: str, severity: Column, title: Colu
     return df.select(title.alias("title"), summary.alias("summary"), first.alias("first_seen"), last.alias("last_seen"), F.lit(kind).alias("event_type"), F.lit(origin).alias("origin"), severity.cast("int").alias("severity"), place.alias("location_name"), lat.alias("lat"), lon.alias("lon"))
 
 
-def earthquakes(spark: SparkSession, path: str) -> DataFrame:
+def earthquakes(spark: SparkSession, source: Source) -> DataFrame:
     feature = "struct<properties:struct<mag:double,place:string,time:bigint>,geometry:struct<coordinates:array<double>>>"
-    f = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True).select(F.explode("features").alias("f"))
+    f = _json(spark, source, f"features array<{feature}>").select(F.explode("features").alias("f"))
     mag, at = F.col("f.properties.mag"), F.date_format(F.timestamp_millis("f.properties.time"), "yyyy-MM-dd'T'HH:mm:ss")
     place = F.coalesce("f.properties.place", F.lit("unknown location"))
     xyz = [F.get("f.geometry.coordinates", F.lit(i)) for i in range(3)]
@@ -232,10 +285,10 @@ def fire_metrics(spark: SparkSession, path: str, area: Column) -> DataFrame:
     return rows.groupBy("area", F.to_date("acq_date").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(frp), F.lit(0.0)).alias("frp_sum"), F.max(frp).alias("frp_max"), F.avg(number(F.col("latitude"))).alias("lat"), F.avg(number(F.col("longitude"))).alias("lon"))
 
 
-def outage_signals(spark: SparkSession, path: str) -> DataFrame:
+def outage_signals(spark: SparkSession, source: Source) -> DataFrame:
     """country, datasource, from, step, values of signal responses in any of their three shapes."""
     sig = "struct<entityCode:string,datasource:string,`from`:bigint,until:bigint,step:bigint,nativeStep:bigint,`values`:array<double>>"
-    raw = spark.read.text(path, wholetext=True).select("value")
+    raw = spark.read.text(source, wholetext=True).select("value") if isinstance(source, str) else source.select(F.col("content").alias("value"))
     data = F.get_json_object("value", "$.data")
     shapes = F.coalesce(
         F.when(F.startswith(data, F.lit("{")), F.from_json(F.get_json_object("value", "$.data.signals"), f"array<{sig}>")),
@@ -246,8 +299,13 @@ def outage_signals(spark: SparkSession, path: str) -> DataFrame:
     return one.select(F.col("entityCode").alias("country"), "datasource", "from", F.coalesce("step", "nativeStep", F.lit(300)).alias("step"), "values")
 
 
+#: Columns of the conflict file that are read.
+CONFLICT_COLUMNS = ["id", "conflict_name", "type_of_violence", "side_a", "side_b", "where_description", "adm_1", "country", "region", "latitude", "longitude", "date_start", "date_end", "best", "deaths_civilians"]
+
+
 def conflicts(spark: SparkSession, path: str, least_deaths: int = 25, start: str | None = None, end: str | None = None) -> DataFrame:
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    """Conflict events of plain or zipped (``*.zip``) files with so many deaths at least, in a span of first days."""
+    rows = zipped_rows(spark, path, CONFLICT_COLUMNS, header=True) if path.endswith(".zip") else spark.read.csv(path, header=True, multiLine=True, escape='"')
     t = lambda c: F.trim(F.coalesce(c, F.lit("")))
     day = lambda c: F.nullif(F.substring(c, 1, 10), F.lit(""))
     rows = rows.withColumn("deaths", F.when(F.coalesce("best", F.lit("")) == "", 0).otherwise(F.col("best").try_cast("int"))).withColumn("d0", day("date_start")).withColumn("d1", F.coalesce(day("date_end"), day("date_start")))
@@ -267,8 +325,8 @@ def conflicts(spark: SparkSession, path: str, least_deaths: int = 25, start: str
     return _events(rows.where(keep), "conflict", "ucdp", severity_deaths(F.col("deaths")), title, summary, F.col("d0"), F.col("d1"), place, F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double"))
 
 
-def outbreaks(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, most: int = 2000) -> DataFrame:
-    rows = spark.read.schema("value array<struct<DonId:string,UrlName:string,Title:string,PublicationDateAndTime:string,Summary:string,Overview:string>>").json(path, multiLine=True).select(F.explode("value").alias("v")).select("v.*")
+def outbreaks(spark: SparkSession, source: Source, start: str | None = None, end: str | None = None, most: int = 2000) -> DataFrame:
+    rows = _json(spark, source, "value array<struct<DonId:string,UrlName:string,Title:string,PublicationDateAndTime:string,Summary:string,Overview:string>>").select(F.explode("value").alias("v")).select("v.*")
     day, title = F.substring("PublicationDateAndTime", 1, 10), F.trim("Title")
     keep = (day != "") & (title != "")
     keep = keep & (day >= start) if start else keep
@@ -279,9 +337,9 @@ def outbreaks(spark: SparkSession, path: str, start: str | None = None, end: str
     return _events(rows.where(keep), "epidemic", "who_don", F.lit(2), title, summary, day, day, title_country(title), none, none)
 
 
-def disasters(spark: SparkSession, path: str, most: int = 2000) -> DataFrame:
+def disasters(spark: SparkSession, source: Source, most: int = 2000) -> DataFrame:
     fields = "struct<name:string,description:string,date:struct<event:string,created:string>,primary_country:struct<name:string,location:struct<lat:double,lon:double>>,primary_type:struct<name:string>>"
-    rows = spark.read.schema(f"data array<struct<fields:{fields}>>").json(path, multiLine=True).select(F.explode("data.fields").alias("f")).select("f.*")
+    rows = _json(spark, source, f"data array<struct<fields:{fields}>>").select(F.explode("data.fields").alias("f")).select("f.*")
     title, day = F.trim("name"), F.substring(F.coalesce("date.event", "date.created"), 1, 10)
     kind, text = F.coalesce("primary_type.name", F.lit("disaster")), F.substring(F.trim(F.coalesce("description", F.lit(""))), 1, most)
     country = F.col("primary_country.name")
@@ -289,11 +347,11 @@ def disasters(spark: SparkSession, path: str, most: int = 2000) -> DataFrame:
     return _events(rows.where((title != "") & (day != "")), "hazard", "reliefweb", F.lit(3), title, summary, day, day, country, F.col("primary_country.location.lat"), F.col("primary_country.location.lon"))
 
 
-def crises(spark: SparkSession, path: str) -> DataFrame:
+def crises(spark: SparkSession, source: Source) -> DataFrame:
     """One row for each item of query bindings: first date, countries in order of first appearance, first coordinate."""
     names = ["item", "itemLabel", "itemDescription", "start", "pit", "countryLabel", "coord"]
     binding = "struct<" + ",".join(f"{n}:struct<value:string>" for n in names) + ">"
-    rows = spark.read.schema(f"results struct<bindings:array<{binding}>>").json(path, multiLine=True).select(F.posexplode("results.bindings").alias("seq", "b"))
+    rows = _json(spark, source, f"results struct<bindings:array<{binding}>>").select(F.posexplode("results.bindings").alias("seq", "b"))
     rows = rows.select("seq", *(F.col(f"b.{n}.value").alias(n) for n in names)).withColumn("qid", F.substring_index("item", "/", -1)).where("itemLabel is not null and itemLabel <> qid")
     lat, lon = wkt_point(F.col("coord"))
     rows = rows.withColumn("day", F.substring(F.coalesce("start", "pit"), 1, 10)).withColumn("lat", lat).withColumn("lon", lon)
