@@ -251,6 +251,40 @@ def lsh_buckets(df: DataFrame, id_col: str, vector: str, dims: int, planes: int
     return source.mapInPandas(run, "id long, table int, bucket long")
 
 
+def embedded(docs: DataFrame, model: Callable[[], Callable[[list[str]], np.ndarray]], id_col: str = "id", text: str = "text", batch: int = 32) -> DataFrame:
+    """id, vector, status of texts. ``model`` is loaded once for each task and turns a list of ``batch`` texts at most
+    into rows of numbers; vectors have length 1, and one of zeros stays as it is.
+
+    A null text is 'skipped'. Where the model fails on a batch, its rows are 'error' with the reason and without a
+    vector, and the others go on. Repeated rows are embedded each; an empty table gives no rows.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = model()
+        for pdf in parts:
+            own = pdf.assign(vector=None, status="skipped", error=None)
+            known = np.flatnonzero(own["text"].notna().to_numpy())
+            vectors, status, error = (own[c].to_numpy(dtype=object, copy=True) for c in ("vector", "status", "error"))
+            for at in range(0, len(known), batch):
+                rows = known[at : at + batch]
+                try:
+                    v = np.asarray(encode(own["text"].iloc[rows].tolist()), np.float64)
+                    if v.ndim != 2 or len(v) != len(rows):
+                        raise ValueError(f"{len(rows)} texts gave an array of shape {v.shape}")
+                except Exception as e:  # noqa: BLE001  whatever a model raises
+                    status[rows], error[rows] = "error", f"{type(e).__name__}: {e}"
+                    continue
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                v = (v / np.where(n > 0, n, 1)).astype(np.float32)
+                status[rows] = "embedded"
+                for i, row in zip(rows, v, strict=True):
+                    vectors[i] = row
+            yield pd.DataFrame({"id": own["id"], "vector": vectors, "status": status, "error": error})
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    return source.mapInPandas(run, f"id {dict(source.dtypes)['id']}, vector array<float>, status string, error string")
+
+
 def packed_floats(vector: Column) -> Column:
     """The little-endian 32-bit floats of a vector as binary, which other stores keep."""
 

@@ -265,7 +265,7 @@ def earthquakes(spark: SparkSession, source: Source) -> DataFrame:
     mag, at = F.col("f.properties.mag"), F.date_format(F.timestamp_millis("f.properties.time"), "yyyy-MM-dd'T'HH:mm:ss")
     place = F.coalesce("f.properties.place", F.lit("unknown location"))
     xyz = [F.get("f.geometry.coordinates", F.lit(i)) for i in range(3)]
-    title = F.concat(F.lit("M"), F.format_string("%.1f", mag), F.lit(" earthquake — "), place)
+    title = F.concat(F.lit("M"), F.format_number(mag, 1), F.lit(" earthquake — "), place)
     summary = F.concat(F.lit("Magnitude "), mag.cast("string"), F.lit(" earthquake, "), place, F.lit(", at "), at, F.lit(" UTC"), F.coalesce(F.concat(F.lit(", depth "), xyz[2].cast("string"), F.lit(" km.")), F.lit(".")))
     own = f.where(mag.isNotNull() & at.isNotNull())
     return _events(own, "hazard", "usgs", severity_magnitude(mag), title, summary, at, at, place, xyz[1], xyz[0])

@@ -1,7 +1,7 @@
 import pytest
 from oracle import check
 
-from quillon.plans import catalog, reports  # noqa: F401  reports adds its queries to the catalogue
+from quillon.plans import catalog, landed, reports, worked  # noqa: F401  they add their queries to the catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
