@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar
-from quillon.operators import entities, relational, scoring, series, vectors
+from quillon.operators import entities, relational, scoring, series, shape, trading, vectors
 from quillon.plans.catalog import query, read
 
 
@@ -273,3 +273,83 @@ def lenient_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k % 4 == 0, F.concat(iso, F.lit("Z"))).when(k % 4 == 1, iso).when(k % 4 == 2, F.concat(F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000"))).otherwise("soon")
     added, occurred = F.when(k % 2 == 0, F.date_format("ts", "yyyyMMddHHmmss")).otherwise("none"), F.date_format("ts", "yyyyMMdd")
     return e.select("event_id", scalar.safe_int(n).alias("lenient"), F.date_format(scalar.parse_time(text), "yyyy-MM-dd'T'HH:mm:ss").alias("at"), scalar.compact_date(added, occurred).alias("compact"), scalar.observed_at(added, occurred).alias("observed"))
+
+
+@query("""
+WITH f AS (SELECT event_type, count(*) AS n, avg(value) AS mean, median(value) AS median, min(value) AS least, max(value) AS most, stddev_samp(value) * pow(count(*), -0.2) AS w FROM events WHERE value IS NOT NULL GROUP BY 1),
+i AS (SELECT *, unnest(range(0, 50)) AS i FROM f), c AS (SELECT event_type, value AS x, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT event_type, i, least + (most - least) * i / 49 AS spot, any_value(n) AS n, any_value(w) AS w, any_value(mean) AS mean, any_value(median) AS median, sum(c * exp(-pow((least + (most - least) * i / 49 - x) / w, 2) / 2)) AS s FROM i JOIN c USING (event_type) GROUP BY 1, 2, 3)
+SELECT event_type, i AS point, n, round(mean, 6) AS mean, round(median, 6) AS median, round(spot, 6) AS x, round(s / (n * w * sqrt(2 * pi())), 8) AS density FROM d""")
+def value_violins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shape.violins(read(spark, sf_dir, "events"), "event_type", "value", 50)
+    rows = out.select("event_type", "n", "mean", "median", F.posexplode("points").alias("point", "p"))
+    return rows.select("event_type", F.col("point").cast("long").alias("point"), "n", *(F.round(c, 6).alias(c) for c in ("mean", "median")), F.round("p.x", 6).alias("x"), F.round("p.density", 8).alias("density"))
+
+
+@query()
+def value_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the values of each kind of event, and all of them, are from having one mode."""
+    rows = read(spark, sf_dir, "events").select("event_type", "value")
+    return shape.dips(rows.unionByName(rows.withColumn("event_type", F.lit("all"))), "event_type", "value")
+
+
+# Trades ------------------------------------------------------------------------------------------------------------
+
+_THESES_SQL = """
+WITH t AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'pending' WHEN 'O' THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN o_custkey % 5 > 0 THEN 'T' || o_custkey % 30 END AS instrument, CASE WHEN o_custkey % 2 = 0 THEN 'short' ELSE 'long' END AS direction, o_totalprice / 300000 AS confidence FROM orders),
+r AS (SELECT id FROM t WHERE id % 3 > 0 UNION ALL SELECT -c_custkey - 1 FROM customer),
+"""
+
+
+def _theses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    status = F.when(F.col("o_orderstatus") == "F", "pending").when(F.col("o_orderstatus") == "O", "approved").otherwise("rejected")
+    theses = read(spark, sf_dir, "orders").select(k.alias("id"), status.alias("status"), F.when(c % 5 > 0, F.concat(F.lit(" t"), (c % 30).cast("string"))).alias("instrument"), F.when(c % 2 == 0, "short").otherwise("long").alias("direction"), F.col("o_orderpriority").alias("title"), (F.col("o_totalprice") / 300000).alias("confidence"), F.lit(30).alias("horizon_days"))
+    unknown = read(spark, sf_dir, "customer").select((-F.col("c_custkey") - 1).alias("id"))
+    return theses, theses.where("id % 3 > 0").select("id").unionByName(unknown)
+
+
+@query(_THESES_SQL + """x AS (SELECT r.id, t.status, t.instrument, t.confidence FROM r LEFT JOIN t ON t.id = r.id)
+SELECT id, CASE WHEN status IS NULL THEN 'not found' WHEN status = 'pending' THEN 'approved' ELSE 'not pending' END AS outcome, CASE WHEN instrument IS NOT NULL THEN CAST(substr(instrument, 2) AS INTEGER) < 25 END AS ticker_valid, CASE WHEN status = 'pending' THEN round(least(greatest(confidence, 0), 1), 9) END AS probability FROM x""")
+def theses_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    theses, asked = _theses(spark, sf_dir)
+    tickers = read(spark, sf_dir, "nation").select(F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("ticker"))
+    done = trading.approved(theses, asked, tickers, F.lit("2024-01-01").cast("date"))
+    forecasts = done.predictions.select(F.col("thesis_id").alias("id"), F.round("probability", 9).alias("probability"))
+    return done.report.join(forecasts, "id", "left")
+
+
+@query(_THESES_SQL + """p AS (SELECT 'T' || n_nationkey AS ticker, CASE WHEN n_nationkey % 4 > 0 THEN 10.0 + n_nationkey WHEN n_nationkey % 8 = 0 THEN 5.0 END AS price FROM nation),
+h AS (SELECT id FROM t WHERE id % 7 = 0), x AS (SELECT r.id, t.status, t.instrument, t.direction, p.price, h.id AS held FROM r LEFT JOIN t ON t.id = r.id LEFT JOIN p ON p.ticker = t.instrument LEFT JOIN h ON h.id = r.id),
+o AS (SELECT *, CASE WHEN status IS NULL THEN 'not found' WHEN status <> 'approved' THEN 'not approved' WHEN instrument IS NULL THEN 'no instrument' WHEN held IS NOT NULL THEN 'has an open trade' WHEN price IS NULL THEN 'no price' ELSE 'opened' END AS outcome FROM x)
+SELECT id, outcome, CASE WHEN outcome = 'opened' THEN id * 2 END AS trade_id, CASE WHEN outcome = 'opened' THEN round(10000 / price, 6) END AS quantity, CASE WHEN outcome = 'opened' THEN CASE direction WHEN 'short' THEN 'sell' ELSE 'buy' END END AS direction, CASE WHEN outcome = 'opened' AND id % 2 = 0 THEN id * 10 END AS prediction_id FROM o""")
+def trades_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices come from one source, for some tickers from a second one; theses of even ids have two forecasts."""
+    theses, asked = _theses(spark, sf_dir)
+    k, c = F.col("n_nationkey"), F.col
+    ticker = F.concat(F.lit("T"), k.cast("string")).alias("ticker")
+    nation = read(spark, sf_dir, "nation")
+    sources = [nation.select(ticker, F.when(k % 4 > 0, k + 10.0).otherwise(0.0).alias("price")), nation.where(k % 8 == 0).select(ticker, F.lit(5.0).alias("price"))]
+    held = theses.where("id % 7 = 0").select(c("id").alias("thesis_id"), F.lit(None).cast("string").alias("closed_at"))
+    two = F.explode(F.array(F.lit(0), F.lit(1))).alias("n")
+    forecasts = theses.where("id % 2 = 0").select("id", two).select((c("id") * 10 + c("n")).alias("id"), c("id").alias("thesis_id"), F.lit("economic").alias("macro_area"), F.lit(None).cast("long").alias("trade_id"), F.lit(False).alias("resolved"))
+    done = trading.opened(theses, asked, held, forecasts, sources, ["T1", "T2", "T3"], F.lit("2024-01-01"))
+    agent = done.trades.where("portfolio = 'agent'").select(c("thesis_id").alias("id"), "trade_id", F.round("quantity", 6).alias("quantity"), "direction")
+    linked = done.predictions.where("trade_id is not null").select(c("thesis_id").alias("id"), c("id").alias("prediction_id"))
+    return done.report.join(agent, "id", "left").join(linked, "id", "left")
+
+
+@query("""
+SELECT n_name AS portfolio, 'T' || l_partkey % 30 AS ticker, l_quantity AS quantity, strftime(l_shipdate, '%Y-%m-%d') AS opened_at FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_linestatus = 'O'""")
+def trades_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("name"))
+    trades = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("portfolio_id"), F.concat(F.lit("T"), (F.col("l_partkey") % 30).cast("string")).alias("ticker"), F.lit("long").alias("direction"), F.col("l_quantity").alias("quantity"), F.lit(1.0).alias("price_open"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("opened_at"), F.when(F.col("l_linestatus") != "O", "then").alias("closed_at"))
+    return trading.open_trades(trades, names).select("portfolio", "ticker", "quantity", "opened_at")
+
+
+@query("""
+SELECT o_custkey AS set_id, o_orderpriority AS scenario, 'item ' || l_linenumber AS label, l_returnflag AS indicator_query, CASE WHEN l_linestatus = 'F' THEN 'triggered' ELSE 'active' END AS status FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def scenarios_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("set_id"), F.col("o_orderpriority").alias("label"))
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scenario_id"), F.concat(F.lit("item "), F.col("l_linenumber").cast("string")).alias("label"), F.col("l_returnflag").alias("indicator_query"), F.when(F.col("l_linestatus") == "F", "triggered").otherwise("active").alias("status"), F.lit(None).cast("string").alias("triggered_at"))
+    return trading.watched_scenarios(own, items).drop("triggered_at")
