@@ -211,9 +211,9 @@ def proposed_theses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT date_diff('hour', max(ts), TIMESTAMP '2024-02-01') AS h FROM events WHERE event_type = 'click'), n AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'),
+WITH a AS (SELECT event_type, (epoch(TIMESTAMP '2024-02-01') - epoch(max(ts))) / 3600 AS h FROM events WHERE event_type IN ('click', 'view') GROUP BY 1), n AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'),
 o AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS n, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1996-01-01') AS late FROM orders)
-SELECT 'freshness' AS section, 'clicks' AS name, 'ok' AS status FROM a UNION ALL SELECT 'freshness', 'views', 'warn' UNION ALL SELECT 'freshness', 'none', 'skip'
+SELECT 'freshness' AS section, event_type || 's' AS name, CASE WHEN h <= CASE event_type WHEN 'click' THEN 72 ELSE 2 END THEN 'ok' ELSE 'warn' END AS status FROM a UNION ALL SELECT 'freshness', 'none', 'skip'
 UNION ALL SELECT 'backlog', 'pending', CASE WHEN n >= 500 THEN 'warn' ELSE 'ok' END FROM n UNION ALL SELECT 'state', 'open', CASE WHEN late > 0 THEN 'warn' ELSE 'ok' END FROM o""")
 def health_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, orders, c = read(spark, sf_dir, "events"), read(spark, sf_dir, "orders"), F.col
