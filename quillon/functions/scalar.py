@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import string
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,20 +69,45 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def ascii_lower(x: Column) -> Column:
+    return F.translate(x, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def contains_ci(x: Column, needle: Column | str) -> Column:
     """LIKE '%needle%' with ASCII case folding."""
-    return F.contains(F.lower(x), F.lower(needle if isinstance(needle, Column) else F.lit(needle)))
+    return F.contains(ascii_lower(x), ascii_lower(needle if isinstance(needle, Column) else F.lit(needle)))
+
+
+#: Characters of the named references of HTML by name, with the semicolon and, where it may be missing, without.
+_NAMED = json.dumps(html5)
+_BARE = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
+#: Numbers that stand for the characters which Windows has at them.
+_WINDOWS = json.dumps({str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)})
 
 
-#: The named references of HTML that feeds use.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”", "&amp;": "&"}
+def _numbered(n: Column) -> Column:
+    """The character of a numeric reference: the replacement mark for what is none, nothing for controls and non-characters."""
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    nothing = ((n < 32) & ~n.isin(9, 10, 12, 13)) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+    windows = F.from_json(F.lit(_WINDOWS), "map<string,string>")[n.cast("string")]
+    return F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(n.between(0x80, 0x9F), windows).when(nothing, "").otherwise(char)
 
 
 def unescape(x: Column) -> Column:
-    """Replace the named references above, the ampersand last so that nothing is replaced twice."""
-    for name, char in ENTITIES.items():
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    """Replace the character references of HTML, named and numeric, once each, as browsers do: a known name without its
+    semicolon counts as well, also before other letters where the standard says so. Unknown names stay."""
+
+    def plain(t: Column) -> Column:
+        # Numbers of more digits than characters have are cut to one that is too large as well.
+        tens, hexed = F.regexp_extract(t, "^&#0*([0-9]*)", 1), F.regexp_extract(t, "^&#[xX]0*([0-9a-fA-F]*)", 1)
+        code = F.when(t.rlike("^&#[xX]"), F.conv(F.concat(F.lit("0"), F.substring(hexed, 1, 7)), 16, 10)).otherwise(F.concat(F.lit("0"), F.substring(tens, 1, 8)))
+        named = F.from_json(F.lit(_NAMED), "map<string,string>")
+        bare = F.regexp_extract(t, f"^&({_BARE})", 1)
+        known = F.coalesce(named[F.substring(t, 2, 99)], F.when(bare != "", F.concat(named[bare], F.substr(t, F.length(bare) + 2))), t)
+        return F.when(~F.startswith(t, F.lit("&")) | (t == "&"), t).when(F.startswith(t, F.lit("&#")), _numbered(code.try_cast("long"))).otherwise(known)
+
+    pieces = F.regexp_extract_all(x, F.lit("&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"), 0)
+    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(pieces, plain), "")).otherwise(x)
 
 
 def strip_tags(html: Column, spaced: bool = False) -> Column:

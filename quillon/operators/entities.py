@@ -16,8 +16,11 @@ from quillon.functions.scalar import clean_name, last_token, person_key
 DOMINANCE = 3
 
 
-def extracted(docs: DataFrame, model: Callable[[], Callable[[list[str]], list[list[tuple[str, str]]]]], labels: dict[str, str], stop: list[str]) -> DataFrame:
-    """document_id, name, entity_type, mentions. ``model`` is loaded once for each task and gives (text, label) lists."""
+def extracted(docs: DataFrame, model: Callable[[], Callable[[list[str]], list[list[tuple[str, str]]]]], labels: dict[str, str], stop: list[str] | DataFrame) -> DataFrame:
+    """document_id, name, entity_type, mentions. ``model`` is loaded once for each task and gives (text, label) lists.
+
+    Names in ``stop``, whatever their case, are left out; a table of them (name) may have any size.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = model()
@@ -29,8 +32,17 @@ def extracted(docs: DataFrame, model: Callable[[], Callable[[list[str]], list[li
     found = docs.select("document_id", "text").mapInPandas(run, "document_id long, name string, label string")
     kind = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))[F.col("label")]
     named = found.withColumn("name", clean_name(F.col("name"))).withColumn("entity_type", kind)
-    kept = named.where(F.col("name").isNotNull() & F.col("entity_type").isNotNull() & ~F.lower("name").isin(stop))
-    return kept.groupBy("document_id", "name", "entity_type").agg(F.count(F.lit(1)).alias("mentions"))
+    kept = named.where(F.col("name").isNotNull() & F.col("entity_type").isNotNull())
+    counted = kept.groupBy("document_id", "name", "entity_type").agg(F.count(F.lit(1)).alias("mentions"))
+    return without_listed(counted, "name", stop)
+
+
+def without_listed(df: DataFrame, column: str, stop: list[str] | DataFrame) -> DataFrame:
+    """Rows whose name is not in a list, whatever its case: a condition for a list at hand, a join for a table (name)."""
+    own = F.lower(F.col(column))
+    if isinstance(stop, DataFrame):
+        return df.join(stop.select(F.lower("name").alias("__stop")).distinct(), own == F.col("__stop"), "left_anti")
+    return df.where(~own.isin([s.lower() for s in stop]) | own.isNull())
 
 
 def canonical_people(entities: DataFrame) -> DataFrame:

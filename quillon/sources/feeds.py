@@ -121,11 +121,12 @@ def filtered_export(rows: DataFrame, quads: list[int], least_mentions: int, most
     return rows.where(keep)
 
 
-def stored_export(rows: DataFrame, order: str) -> dict[str, DataFrame]:
+def stored_export(rows: DataFrame, order: str, existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """documents, events, event_documents (url, title) and details of export rows, first wins on each key in ``order``.
 
     Rows without a url are passed over; an event is one for each key of actors, root code, date and place, with what
-    its first row says; details need a number above zero.
+    its first row says; details need a number above zero. What ``existing`` tables of these names have already, whatever
+    its origin, does not come again; rows about a known event or document are linked with it.
     """
     c = F.col
     rows = rows.withColumn("url", F.trim("SOURCEURL")).where("url <> ''")
@@ -151,7 +152,9 @@ def stored_export(rows: DataFrame, order: str) -> dict[str, DataFrame]:
         safe_float(c("AvgTone")).alias("avg_tone"), *(safe_int(c(x)).alias(y) for x, y in (("NumMentions", "num_mentions"), ("NumSources", "num_sources"), ("NumArticles", "num_articles"))),
         F.nullif("ActionGeo_CountryCode", F.lit("")).alias("action_geo_country"),
     )
-    return {"documents": documents, "events": events, "event_documents": rows.select("url", c("key").alias("event_title")).distinct(), "details": details}
+    out = {"documents": documents, "events": events, "event_documents": rows.select("url", c("key").alias("event_title")).distinct(), "details": details}
+    keys = {"documents": ["url"], "events": ["title"], "event_documents": ["url", "event_title"], "details": ["global_event_id"]}
+    return out | {name: out[name].join(known.select(keys[name]), keys[name], "left_anti") for name, known in (existing or {}).items()}
 
 
 def _article_rows(spark: SparkSession, source: Source) -> DataFrame:

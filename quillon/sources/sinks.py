@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,8 +57,7 @@ def replace_table(df: DataFrame, path: str) -> None:
     """
     spark = df.sparkSession
     new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
-    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files, at = _files(spark, path)
     try:
         df.write.option("compression", "snappy").parquet(new)
     except Exception:
@@ -69,3 +70,62 @@ def replace_table(df: DataFrame, path: str) -> None:
         files.rename(at(old), at(path))
         raise OSError(f"{new} could not be moved to {path}")
     files.delete(at(old), True)
+
+
+def publish(tables: dict[str, DataFrame], path: str) -> str:
+    """Replace several tables at once: all are written into a new folder, whole, and one rename of a file that names it
+    shows them. The version's name. A table that fails leaves all tables as they were.
+
+    ``tables`` may read what they replace, and tables that are not among them stay published. Readers take
+    ``published``; versions before the last are kept for those who still read them, until ``vacuum``.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    files, at = _files(spark, path)
+    before = _listed(spark, path)
+    try:
+        for name, df in tables.items():
+            df.write.option("compression", "snappy").parquet(f"{path}/{version}/{name}")
+    except Exception:
+        files.delete(at(f"{path}/{version}"), True)
+        raise
+    named = before | {name: f"{version}/{name}" for name in tables}
+    stream = files.create(at(f"{path}/{version}.tmp"))
+    stream.write(bytearray(json.dumps(named).encode()))
+    stream.close()
+    if not files.rename(at(f"{path}/{version}.tmp"), at(f"{path}/{version}.published")):
+        files.delete(at(f"{path}/{version}"), True)
+        raise OSError(f"{version} could not be published")
+    return version
+
+
+def published(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table as it was last published."""
+    return spark.read.parquet(f"{path}/{_listed(spark, path)[name]}")
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Delete the versions that no table of the last publication comes from."""
+    used, (files, at) = {where.partition("/")[0] for where in _listed(spark, path).values()}, _files(spark, path)
+    last = max(_publications(spark, path), default="")
+    for status in files.listStatus(at(path)):
+        name = status.getPath().getName()
+        if name.startswith("v") and name.partition(".")[0] not in used and name != last:
+            files.delete(status.getPath(), True)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _publications(spark: SparkSession, path: str) -> list[str]:
+    files, at = _files(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(at(path))] if files.exists(at(path)) else []
+    return [n for n in names if n.endswith(".published")]
+
+
+def _listed(spark: SparkSession, path: str) -> dict[str, str]:
+    """Where the published tables are, by name; one small file is read."""
+    last = max(_publications(spark, path), default=None)
+    return json.loads(spark.read.text(f"{path}/{last}", wholetext=True).first().value) if last else {}
