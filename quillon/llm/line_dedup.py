@@ -152,12 +152,13 @@ def verified_lines(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFram
     return joined.mapInArrow(run, "a long, b long")
 
 
-def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
+def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 1, slack: float = SLACK) -> DataFrame:
     """doc_id, drops: the numbers of the lines (from 0) that go, for the documents that lose some.
 
     Lines are linked where 100 * intersection >= percent * union of their 5-character shingles, white space normalised.
     Of a component the occurrence with the smallest (doc_id, line number) stays; of two rows with that id and different
     texts, the line of that number stays in both. Rows with a null id do not count. An empty table gives an empty result.
+    With ``slack`` 1 the second round verifies all that share a bucket, whatever their signatures say.
     """
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where("doc_id is not null")
@@ -173,7 +174,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFra
         candidates.append(table(at, "candidates"))
         return texts_at(docs, candidates[0])
 
-    similar = similar_components(shared, contents_of, lambda pairs, lines: verified_lines(pairs, lines, percent), lambda lines: char_shingles(lines, SHINGLE), percent, SLACK)
+    similar = similar_components(shared, contents_of, lambda pairs, lines: verified_lines(pairs, lines, percent), lambda lines: char_shingles(lines, SHINGLE), percent, slack)
     release(spark)
     linked = similar.join(candidates[0].select("id", "chk"), "id")
     repeated = classes.join(linked.hint("merge"), ["id", "chk"], "left").where("n > 1 or label is not null")

@@ -89,16 +89,18 @@ def _elements(contents: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", k: int = 5, slack: float = SLACK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * intersection >= percent * union of their sets of k-word shingles; component_id is
     the smallest doc_id that links reach. Texts of any length are read whole; texts without words (null, empty, white
     space) have an empty set and stay alone, and so do rows with a null id, whose component_id is null and which are
     kept. Repeated rows are all returned; all copies of the kept one have kept = true. Of rows with one id and
-    different texts each has the component of its own text. Other columns are ignored, whatever their names; an empty table gives an empty result.
+    different texts each has the component of its own text. Other columns are ignored, whatever their names; an empty
+    table gives an empty result. With ``slack`` 1 the second round verifies all that share a bucket, whatever their
+    signatures say.
     """
-    return _rows(docs, percent, id_col, text_col, k).select("doc_id", "n_shingles", "component_id", "kept")
+    return _rows(docs, percent, id_col, text_col, k, slack).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _mark(text_col: str) -> Column:
@@ -106,7 +108,7 @@ def _mark(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col))
 
 
-def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str, k: int) -> DataFrame:
+def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str, k: int, slack: float = SLACK) -> DataFrame:
     """What ``near_duplicates`` gives, and mark and family (one number for each component; null without words or id)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _mark(text_col).alias("mark"))
@@ -123,7 +125,7 @@ def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str, k: int) ->
         candidates.append(table(at, "candidates"))
         return sets_of(source.where("doc_id is not null"), candidates[0], k)
 
-    found = similar_components(shared, contents_of, lambda pairs, sets: verified(pairs, sets, percent), _elements, percent, SLACK)
+    found = similar_components(shared, contents_of, lambda pairs, sets: verified(pairs, sets, percent), _elements, percent, slack)
     linked = found.join(candidates[0].select("id", "key"), "id")
     nodes = table(classes.join(linked.hint("merge"), ["id", "key"], "left").select("key", "doc_id", "label", "id"), "nodes")
     drop(candidates[0], classes, shared)

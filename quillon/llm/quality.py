@@ -170,7 +170,11 @@ def score_documents(docs: DataFrame, model: AttentionModel, id_col: str = "doc_i
 
 
 def good_documents(docs: DataFrame, model: AttentionModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose whole text scores ``threshold`` or more, with all their columns."""
+    """The rows of ``docs`` whose whole text scores ``threshold`` or more, with all their columns, whatever their names.
+
+    Null and empty texts score as one passage without bytes; texts of any length are read whole; equal texts, and so
+    repeated rows, stay or go together, and rows with a null id are judged like others. An empty table gives an empty result.
+    """
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +188,11 @@ def good_documents(docs: DataFrame, model: AttentionModel, threshold: float = 0.
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted. Repeated rows get equal scores."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted (1 from the threshold on).
+
+    Null texts count as empty; texts of any length are read whole, passage by passage; equal texts get equal scores,
+    repeated rows a result each; a null id is held out of nothing; other columns are ignored, whatever their names; an
+    empty table gives an empty result, and without labels to learn from scores mean nothing.
+    """
     scored = score_documents(docs, train(docs, labels, folds, held_out))
     return scored.select("doc_id", (F.coalesce(fold("doc_id", folds), F.lit(-1)) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
