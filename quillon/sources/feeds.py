@@ -239,8 +239,8 @@ def trade_flows(spark: SparkSession, source: Source) -> DataFrame:
 
 
 def _grouped(x: Column, digits: int) -> Column:
-    """A number with commas between thousands, halves as the even number."""
-    return F.format_string(f"%,.{digits}f", F.bround(x, digits))
+    """A number with commas between thousands, rounded by its exact binary value; true halves as the even number."""
+    return F.format_number(x, digits)
 
 
 def trade_documents(flows: DataFrame) -> DataFrame:
