@@ -93,9 +93,10 @@ def _numbered(n: Column) -> Column:
     return F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(n.between(0x80, 0x9F), windows).when(nothing, "").otherwise(char)
 
 
-def unescape(x: Column) -> Column:
+def unescape(x: Column, closed: bool = False) -> Column:
     """Replace the character references of HTML, named and numeric, once each, as browsers do: a known name without its
-    semicolon counts as well, also before other letters where the standard says so. Unknown names stay."""
+    semicolon counts as well, also before other letters where the standard says so. Unknown names stay. With ``closed``
+    only references that end in a semicolon count."""
 
     def plain(t: Column) -> Column:
         # Numbers of more digits than characters have are cut to one that is too large as well.
@@ -103,17 +104,20 @@ def unescape(x: Column) -> Column:
         code = F.when(t.rlike("^&#[xX]"), F.conv(F.concat(F.lit("0"), F.substring(hexed, 1, 7)), 16, 10)).otherwise(F.concat(F.lit("0"), F.substring(tens, 1, 8)))
         named = F.from_json(F.lit(_NAMED), "map<string,string>")
         bare = F.regexp_extract(t, f"^&({_BARE})", 1)
-        known = F.coalesce(named[F.substring(t, 2, 99)], F.when(bare != "", F.concat(named[bare], F.substr(t, F.length(bare) + 2))), t)
+        cut = F.lit(None) if closed else F.when(bare != "", F.concat(named[bare], F.substr(t, F.length(bare) + 2)))
+        known = F.coalesce(named[F.substring(t, 2, 99)], cut, t)
         return F.when(~F.startswith(t, F.lit("&")) | (t == "&"), t).when(F.startswith(t, F.lit("&#")), _numbered(code.try_cast("long"))).otherwise(known)
 
-    pieces = F.regexp_extract_all(x, F.lit("&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"), 0)
+    end = ";" if closed else ";?"
+    pieces = F.regexp_extract_all(x, F.lit(f"&#[0-9]+{end}|&#[xX][0-9a-fA-F]+{end}|&[A-Za-z][A-Za-z0-9]*{end}|[^&]+|&"), 0)
     return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(pieces, plain), "")).otherwise(x)
 
 
-def strip_tags(html: Column, spaced: bool = False) -> Column:
-    """Text without tags, references replaced, white space collapsed. ``spaced`` puts a blank where a tag was."""
+def strip_tags(html: Column, spaced: bool = False, closed: bool = False) -> Column:
+    """Text without tags, references (``closed``: as in ``unescape``) replaced, white space collapsed. ``spaced`` puts a
+    blank where a tag was."""
     bare = F.regexp_replace(html, "<[^>]+>", " " if spaced else "")
-    return F.trim(F.regexp_replace(unescape(bare), r"\s+", " "))
+    return F.trim(F.regexp_replace(unescape(bare, closed), r"\s+", " "))
 
 
 def passage(title: Column, body: Column, most: int = 1024, prefix: str = "passage: ") -> Column:
