@@ -102,6 +102,8 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vec
 
 #: Rows that cells are fitted on, and cells, at most.
 CELL_SAMPLE, MOST_CELLS = 20_000, 1024
+#: Queries whose cells a task holds at once.
+ASKED = 128
 
 
 @dataclass
@@ -174,9 +176,8 @@ def knn_by_cells(queries: DataFrame, index: CellIndex, k: int, id_col: str = "ve
 
     def cells(second: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in parts:
-                if not len(pdf):
-                    continue
+            # A query may ask all cells, so what a few ask leaves before the next ones are looked at.
+            for pdf in (whole.iloc[at : at + ASKED] for whole in parts for at in range(0, len(whole), ASKED)):
                 d = _to_centres(_vectors(pdf), centres)
                 found = []
                 for i in range(len(pdf)):
