@@ -40,8 +40,14 @@ def coherence(df: DataFrame, group: str, vector: str) -> DataFrame:
     return df.join(c, group).groupBy(group).agg(F.avg(d).alias("mean_distance"), F.count(F.lit(1)).alias("n")).withColumn("coherence", 1 - F.col("mean_distance") * F.col("mean_distance") / 2)
 
 
-#: Vectors that are compared with one product of matrices.
-BLOCK = 4096
+#: Vectors that are compared with one product of matrices; in a large table, at most so many.
+BLOCK, LARGEST_BLOCK = 4096, 16384
+
+
+def _n_blocks(n: int) -> int:
+    """Blocks of a table for comparing all with all. Each vector goes to as many tasks as there are blocks, so they grow
+    with the table once it has 16, as far as a task can hold."""
+    return max(1, -(-n // max(BLOCK, min(LARGEST_BLOCK, -(-n // 16)))))
 
 
 def _blocks(df: DataFrame, id_col: str, vector: str, n: int) -> DataFrame:
@@ -51,8 +57,8 @@ def _blocks(df: DataFrame, id_col: str, vector: str, n: int) -> DataFrame:
 FOUND = "id long, neighbour long, distance double"
 
 
-def _best(k: int, include_self: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The best k rows of each query of a cell (id, v, query: which of both it is)."""
+def _best(k: int, include_self: bool, most_distance: float | None = None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The best k rows of each query of a cell (id, v, query: which of both it is), of those within a distance."""
 
     def best(cell: pd.DataFrame) -> pd.DataFrame:
         q, r = cell[cell["query"]].sort_values("id"), cell[~cell["query"]].sort_values("id")
@@ -62,12 +68,12 @@ def _best(k: int, include_self: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
         qi, ri = q["id"].to_numpy(), r["id"].to_numpy()
         sizes = (b * b).sum(1)
         longest, slack = sizes[np.isfinite(sizes)].max(initial=0.0), 8 * (b.shape[1] + 2) * np.finfo(np.float64).eps
-        out = []
-        for at in range(0, len(a), 256):
-            part = a[at : at + 256]
-            d = (part * part).sum(1)[:, None] + (b * b).sum(1) - 2 * part @ b.T
+        out, step = [], max(1, min(256, (256 * 4096) // len(b)))
+        for at in range(0, len(a), step):
+            part = a[at : at + step]
+            d = (part * part).sum(1)[:, None] + sizes - 2 * part @ b.T
             if not include_self:
-                d[qi[at : at + 256, None] == ri] = np.inf
+                d[qi[at : at + step, None] == ri] = np.inf
             # All rows within the k-th smallest distance and what rounding may add: ties are settled on exact distances.
             d[~np.isfinite(d)] = np.inf
             m = min(k, len(b))
@@ -76,6 +82,8 @@ def _best(k: int, include_self: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 own = np.flatnonzero((d[i] <= most[i]) & (d[i] < np.inf))
                 exact = np.sqrt(((b[own] - part[i]) ** 2).sum(1))
                 order = np.lexsort((ri[own], exact))[:k]
+                if most_distance is not None:
+                    order = order[exact[order] <= most_distance]
                 out += [(qi[at + i], ri[own[o]], exact[o]) for o in order]
         return pd.DataFrame(out, columns=["id", "neighbour", "distance"])
 
@@ -85,19 +93,19 @@ def _best(k: int, include_self: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def knn(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", most_distance: float | None = None, include_self: bool = False) -> DataFrame:
     """The k nearest rows of each query by L2 distance: id, neighbour, distance, rank; of equals the smaller id.
 
-    Queries and rows are dealt into blocks of about BLOCK vectors; each pair of blocks is one product of matrices in
-    one task, which keeps the best k of each query, and a ranked merge keeps the best k of all. Nothing is broadcast
-    and no pair outside the best k leaves a task. The work is queries times rows, as for any exact search.
+    Queries and rows are dealt into blocks (``_n_blocks``); each pair of blocks is one product of matrices in one task,
+    which keeps the best k of each query, and a ranked merge keeps the best k of all. Nothing is broadcast and no pair
+    outside the best k, or farther apart than ``most_distance``, leaves a task. The work is queries times rows, as for
+    any exact search.
     """
     n_rows, n_queries = rows.count(), queries.count()
-    nr, nq = max(1, -(-n_rows // BLOCK)), max(1, -(-n_queries // BLOCK))
+    nr, nq = _n_blocks(n_rows), _n_blocks(n_queries)
     left = _blocks(queries, id_col, vector, nq).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).select("id", "v", F.lit(True).alias("query"), (F.col("block") * nr + F.col("other")).alias("cell"))
     right = _blocks(rows, id_col, vector, nr).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("id", "v", F.lit(False).alias("query"), (F.col("other") * nr + F.col("block")).alias("cell"))
 
-    found = left.unionByName(right).groupBy("cell").applyInPandas(_best(k, include_self), FOUND)
+    found = left.unionByName(right).groupBy("cell").applyInPandas(_best(k, include_self, most_distance), FOUND)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    out = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return out if most_distance is None else out.where(F.col("distance") <= most_distance)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 #: Rows that cells are fitted on, and cells, at most.
