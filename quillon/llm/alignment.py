@@ -348,7 +348,7 @@ def alignment_digests(docs: DataFrame, a_path: str, b_path: str, id_col: str = "
     empty tables as in ``align_documents``; repeated rows count each time.
     """
     source = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    blocks = table(aligned_blocks(source, a_path, b_path), "aligned")
+    blocks = table(aligned_blocks(source, a_path, b_path), "aligned", large_rows=True)
     held = blocks.select(F.col("block").alias("home"), F.posexplode(F.arrays_zip("pairs", "counts")).alias("pos", "x")).select("home", "pos", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
     totals = table(held.groupBy("pair").agg(F.sum("n").alias("count")), "pairs").withColumn("b", F.expr("pair & 4294967295"))
     most = totals.groupBy("b").agg(F.max("count").alias("most"))

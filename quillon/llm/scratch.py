@@ -44,14 +44,20 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+#: For rows of megabytes: the writer looks at the size of its row group and pages after each row, not after 100. A reader
+#: takes no batch beyond a row group, so neither holds more of them the more rows a task has. Statistics would keep the
+#: least and greatest binary of each row group, whole, until the file is closed.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.column.statistics.enabled": "false"}
+
+
+def table(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later failures restart from these files.
 
     ``drop`` deletes it once no later step reads it; what a result still reads goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(LARGE_ROWS if large_rows else {})).parquet(path)
     files, target = _file_system(spark, path)
     files.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
