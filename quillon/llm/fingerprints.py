@@ -9,12 +9,17 @@ A text and its edited text share most of their words. They are counted together,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import table
 
 COORDINATES = 48
+#: Coordinates of a turn. A row stands once for each turn and draws so many samples in it: an expression for each of all
+#: coordinates makes plans and generated code that fill the driver's memory.
+TURN = 8
 #: A coordinate keeps this many bits of the pair's hash.
 PAIR_BITS = 24
 #: Pairs of a term and its count whose draws are kept at hand, and of how many documents one is asked for such pairs.
@@ -45,15 +50,15 @@ def _known(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
-def sample(term: Column, n: Column, k: int) -> Column:
-    """The race of a term that stands n times in coordinate k as one long: its rank above, the pair's mark below.
+def sample(term: Column, n: Column, k: Column) -> Column:
+    """The race of a term that stands n times in coordinate k (an int) as one long: its rank above, the pair's mark below.
 
     Two hashes of (term, k) give r, c and b. The pair's mark is the end of the first one, which says next to nothing of
     the rank, combined with the level.
     """
-    h = F.xxhash64(term, F.lit(2 * k))
+    h = F.xxhash64(term, 2 * k)
     u1, u2 = _uniforms(h, (32, 31))
-    u3, u4, b = _uniforms(F.xxhash64(term, F.lit(2 * k + 1)), (21, 21, 21))
+    u3, u4, b = _uniforms(F.xxhash64(term, 2 * k + 1), (21, 21, 21))
     r, log_c = -_known(F.ln(u1 * u2)), _known(F.ln(-_known(F.ln(u3 * u4))))
     level = F.floor(_known(_known(F.ln(n.cast("double"))) / r) + b)
     rank = log_c - r * (level - b) - r
@@ -62,21 +67,40 @@ def sample(term: Column, n: Column, k: int) -> Column:
     return F.shiftleft(fixed, PAIR_BITS).bitwiseOR(h.bitwiseXOR(level).bitwiseAND(F.lit((1 << PAIR_BITS) - 1)))
 
 
+def turns() -> Column:
+    """The turns that take all coordinates."""
+    return F.array(*(F.lit(t) for t in range(COORDINATES // TURN)))
+
+
+def raced(held: DataFrame, keys: list[str], race: Callable[[Column], Column], *more: Column) -> DataFrame:
+    """keys, turn, f0, f1, ... and ``more`` of rows with a turn: the least race of each of its coordinates."""
+    least = [F.min(race(F.col("turn") * TURN + i)).alias(f"f{i}") for i in range(TURN)]
+    return held.groupBy(*keys, "turn").agg(*least, *more)
+
+
+def taken(k: int, when: Column) -> Column:
+    """Aggregate over rows of ``raced``: the least race of coordinate k of those for which ``when`` holds."""
+    return F.min(F.when(when & (F.col("turn") == k // TURN), F.col(f"f{k % TURN}")))
+
+
 def drawn(counts: DataFrame) -> DataFrame:
     """term, n, races: the samples of the pairs of a term and its count that are in most of the documents of ``counts``.
 
     At most DRAWN rows of 8 * COORDINATES bytes. They only spare the same draws again: results don't depend on them.
     """
     most = counts.where("term is not null").groupBy("term", "n").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc()).limit(DRAWN)
-    return most.select("term", "n", F.array(*(sample(F.col("term"), F.col("n"), k) for k in range(COORDINATES))).alias("races"))
+    some = most.select("term", "n", F.explode(turns()).alias("turn"))
+    some = some.select("term", "n", "turn", F.array(*(sample(F.col("term"), F.col("n"), F.col("turn") * TURN + i) for i in range(TURN))).alias("races"))
+    own = some.groupBy("term", "n").agg(F.array_sort(F.collect_list(F.struct("turn", "races"))).alias("own"))
+    return own.select("term", "n", F.flatten("own.races").alias("races"))
 
 
 def winners(rows: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
     """keys, f0, f1, ...: the least sample of each coordinate over the rows (term, n) of the keys; null without terms."""
-    held = rows.join(F.broadcast(known), ["term", "n"], "left")
+    held = rows.join(F.broadcast(known), ["term", "n"], "left").withColumn("turn", F.explode(turns()))
     term, n = F.col("term"), F.col("n")
-    race = lambda k: F.coalesce(F.get("races", F.lit(k)), sample(F.coalesce(term, F.lit(0)), F.coalesce(n, F.lit(1)), k))
-    return held.groupBy(*keys).agg(*(F.min(F.when(term.isNotNull(), race(k))).alias(f"f{k}") for k in range(COORDINATES)))
+    race = lambda k: F.when(term.isNotNull(), F.coalesce(F.get("races", k), sample(F.coalesce(term, F.lit(0)), F.coalesce(n, F.lit(1)), k)))
+    return raced(held, keys, race).groupBy(*keys).agg(*(taken(k, F.lit(True)).alias(f"f{k}") for k in range(COORDINATES)))
 
 
 def marks(prefix: str) -> Column:
@@ -184,10 +208,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Draws of the pairs that are frequent in one document of so many are made once and not for each document.
     few = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("doc_id", F.explode(F.split(flat(c("text")), " ")).alias("word"))
     known = drawn(counted(few.where("word <> ''"), ["doc_id"]))
-    held = terms.join(F.broadcast(known), ["term", "n"], "left")
-    race = lambda k: F.coalesce(F.get("races", F.lit(k)), sample(c("term"), F.greatest(c("n"), F.lit(1)), k))
-    won = held.groupBy("span", "doc_id", "side").agg(*(F.min(race(k)).alias(f"f{k}") for k in range(COORDINATES)), F.max("term").alias("value"))
-    of = lambda name, side: [F.min(F.when(c("side").isin(0, side), c(f"f{k}"))).alias(f"{name}{k}") for k in range(COORDINATES)]
+    held = terms.join(F.broadcast(known), ["term", "n"], "left").withColumn("turn", F.explode(F.when(c("side") < 3, turns()).otherwise(F.array(F.lit(0)))))
+    race = lambda k: F.coalesce(F.get("races", k), sample(c("term"), F.greatest(c("n"), F.lit(1)), k))
+    won = raced(held, ["span", "doc_id", "side"], race, F.max("term").alias("value"))
+    of = lambda name, side: [taken(k, c("side").isin(0, side)).alias(f"{name}{k}") for k in range(COORDINATES)]
     values = [F.max(F.when(c("side") == i + 3, c("value"))).alias(f"v{i}") for i in range(len(numbers))]
     won = won.groupBy("span", "doc_id").agg(*of("own", 1), *of("new", 2), *values)
     digest = F.lower(F.concat(*(F.lpad(F.hex(f"v{i}"), 16, "0") for i in range(4))))

@@ -59,3 +59,13 @@ def test_every_row(spark, monkeypatch, drawn):
         own, changed, near_edited, near_next = want[r.doc_id]
         assert (r.fingerprint, r.edited_fingerprint) == (show(own), show(changed))
         assert (r.near_edited, r.near_next) == (pytest.approx(near_edited), pytest.approx(near_next))
+
+
+def test_few_samples_in_a_plan(spark, monkeypatch):
+    """A plan that draws each coordinate in an expression of its own fills the driver's memory."""
+    drawn, whole = [], fingerprints.sample
+    monkeypatch.setattr(fingerprints, "sample", lambda *a: drawn.append(a) or whole(*a))
+    rows = [(1, "a b c"), (2, "d e d f")]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(drawn) <= 2 * fingerprints.COORDINATES // 6
+    assert {r.doc_id: r.fingerprint for r in got} == {i: "".join("%06x" % v for v in marks(t)) for i, t in rows}
