@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("sentencepiece")
@@ -59,3 +60,34 @@ def test_short_lines_take_part(spark):
     assert dropped(rows) == want
     assert {r.doc_id: r.drops for r in line_dedup.dropped_lines(df).collect()} == want
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}[2] == "\nLas."
+
+
+def test_blocks_hash_many_contents_at_once(spark, monkeypatch):
+    """op1: a call for each member of a block, and a mean for each pair, were most of its time."""
+    from quillon.llm import near
+    from quillon.llm.shingles import char_shingles
+
+    sigs, own = np.random.default_rng(3).integers(0, 2, (40, 300), dtype=np.uint8), np.ones(300, np.uint8)
+    assert np.array_equal(near.agreement(sigs.T, own), (sigs == own).mean(1))
+    texts = [f"a line that is told again {'x' * (k % 3)}{k // 20}" for k in range(40)] + ["", "abc", "zq" * 60]
+    rows = [(1, 0, False, k, k, bytes([7] * 140), t) for k, t in enumerate(texts)]
+    blocks = spark.createDataFrame(rows, "block long, side int, across boolean, id long, label long, sig binary, content string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def elements(lines):
+        calls.add(1)
+        return char_shingles(lines, 5)
+
+    root = list(range(len(texts)))
+    for r in near.alike(blocks, 80, 0.64, elements).collect():
+        x, y = root[r.a], root[r.b]
+        root = [min(x, y) if z in (x, y) else z for z in root]
+    sets = [set(char_shingles([t], 5)[0].tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = want[i], want[j]
+                want = [min(x, y) if z in (x, y) else z for z in want]
+    assert root == want and len(set(want)) > 3
+    assert 1 <= calls.value <= 2
