@@ -67,7 +67,7 @@ def packed_lines(docs: DataFrame, least: int) -> DataFrame:
                     fresh.append(k)
             new = [lines[k] for k in fresh]
             places = [np.repeat(np.array(ids, np.int64), counts), np.array(numbers, np.int32), own, chk]
-            return own[fresh], bands(minhash.of(*char_shingles(new, SHINGLE), len(new)), ROWS), pa.RecordBatch.from_arrays([pa.array(c) for c in places], ["doc_id", "line_no", "id", "chk"])
+            return own[fresh], bands(minhash.of(*char_shingles(new, SHINGLE, short=True), len(new)), ROWS), pa.RecordBatch.from_arrays([pa.array(c) for c in places], ["doc_id", "line_no", "id", "chk"])
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -104,7 +104,7 @@ def texts_at(docs: DataFrame, at: DataFrame) -> DataFrame:
             ids, chk = digests(lines)
             # A repeated document id may stand for another text, which is not the one that is asked for.
             right = (ids == np.array([i for i, _, _ in found], np.int64)) & (chk == np.array([c for _, c, _ in found], np.int64))
-            sig = minhash.of(*char_shingles(lines, SHINGLE), len(lines)).astype(np.uint8)
+            sig = minhash.of(*char_shingles(lines, SHINGLE, short=True), len(lines)).astype(np.uint8)
             cols = [pa.array(ids), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(lines, pa.string())]
             return pa.RecordBatch.from_arrays(cols, ["id", "sig", "content"]).filter(pa.array(right))
 

@@ -37,28 +37,57 @@ PAIRS, LINKS, EXTRA = 0, 1, 2
 Elements = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
 
+def roots(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (x, y), in order, and the smallest node that each reaches by these edges alone."""
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if (low == high).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, high, low)  # every root but the least of its neighbours goes, so few turns are needed
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node of the edges (a, b): the smallest node that can be reached.
 
-    Large-star and small-star steps in turn until the edges no longer change, each a grouped minimum, which is combined
-    before it is shuffled, and a join of two written tables, of which adaptive execution splits a hub's edges.
+    Small-star and large-star steps in turn until every node hangs on one that hangs on nothing. Before and after edges
+    are dealt by their larger node, each task puts its own stretch of them together, so a node has one edge a task at
+    most, whatever its neighbours. Smaller nodes are found by a join, of which adaptive execution splits a hub's edges.
     """
-    edges = table(edges.selectExpr("least(a, b) as lo", "greatest(a, b) as hi").where("lo < hi").distinct(), "edges")
-    before = None
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The edges of a task as stars. ``open`` is kept, and set where a node has several smaller neighbours."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        hi, lo, still = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3))
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        several = (hi[1:] == hi[:-1]) & (lo[1:] != lo[:-1])
+        node, root = roots(hi, lo)
+        leaf = node != root
+        mark = np.zeros(int(leaf.sum()), bool)
+        mark[0] = still.any() or several.any()
+        yield pa.RecordBatch.from_arrays([pa.array(node[leaf]), pa.array(root[leaf]), pa.array(mark)], ["hi", "lo", "open"])
+
+    def put_together(found: DataFrame) -> DataFrame:
+        kinds = "hi long, lo long, open boolean"
+        return table(found.mapInArrow(stars, kinds).repartition("hi").mapInArrow(stars, kinds), "edges")
+
+    now = put_together(edges.selectExpr("greatest(a, b) as hi", "least(a, b) as lo", "false as open").where("lo < hi"))
     while True:
-        both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select("hi", "lo"))
-        low = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = table(both.join(low, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct(), "edges")
-        # Each node now looks at its smaller neighbours only.
-        down = large.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        least = table(down.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = table(down.join(least, "u").select(F.col("m").alias("lo"), F.explode(F.array("u", "v")).alias("hi")).where("lo < hi").distinct(), "edges")
-        drop(edges, low, large, least)
-        edges = small
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 40)))).first()
-        if now == before:
-            return edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("label")).union(edges.select("lo", "lo").distinct())
-        before = now
+        # Each edge goes on to what its smaller node hangs on: that keeps what is connected, by induction on the nodes.
+        low = now.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        moved = now.join(low.hint("merge"), F.col("lo") == F.col("u"), "left").select("hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("open"))
+        then = put_together(moved)
+        drop(now)
+        now = then
+        if now.where("open").isEmpty():
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(now.select("lo", "lo").distinct())
 
 
 def slots_of(df: DataFrame) -> int:
@@ -207,6 +236,18 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(both) - n)
 
 
+def may_be_similar(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """False for those of some sets that can't be ``similar`` to x: the elements that have 16 bits in common with one of
+    x are at least as many as the intersection. They are looked up, not sorted."""
+    mark = np.zeros(1 << 16, np.uint8)
+    mark[x.astype(np.uint16)] = 1
+    sizes = np.array([len(y) for y in others], np.int64)
+    total = np.r_[0, np.cumsum(mark[np.concatenate(others).astype(np.uint16)], dtype=np.int64)]
+    ends = np.cumsum(sizes)
+    most = np.minimum(total[ends] - total[ends - sizes], len(x))
+    return 100 * most >= percent * (len(x) + sizes - most)
+
+
 def agreeing(rows: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of ids and la, lb of labels, different ones, of small buckets whose signatures agree in ``least`` of
     their bytes or more. ``rows`` has bucket, id, hub, label, sig. A member has met its hub in the first round."""
@@ -286,8 +327,10 @@ def alike(blocks: DataFrame, percent: int, least: float, elements: Elements) ->
             agree = agreement(sig[other].T if 8 * len(other) < i else columns[:, :i], sig[i])
             agree = agree if 8 * len(other) < i else agree[other]
             near = np.flatnonzero(agree >= least)
-            for k in near[np.argsort(-agree[near], kind="stable")].tolist():
-                j = int(other[k])
+            near = other[near[np.argsort(-agree[near], kind="stable")]]
+            if len(near) > 1:
+                near = near[may_be_similar(elements_of(i), [elements_of(j) for j in near.tolist()], percent)]
+            for j in near.tolist():
                 x, y = int(root[comp[i]]), int(root[comp[j]])
                 if x != y and similar(elements_of(i), elements_of(j), percent):
                     out.append((int(labels[comp[i]]), int(labels[comp[j]])))

@@ -91,3 +91,37 @@ def test_blocks_hash_many_contents_at_once(spark, monkeypatch):
                 want = [min(x, y) if z in (x, y) else z for z in want]
     assert root == want and len(set(want)) > 3
     assert 1 <= calls.value <= 2
+
+
+def test_components_in_few_written_tables(spark, monkeypatch):
+    """A path, a hub, and groups whose members hang on several smaller nodes, against one process."""
+    from quillon.llm import near
+
+    rng = np.random.default_rng(7)
+    edges = [(i, i + 1) for i in range(100, 400)] + [(1000, i) for i in range(1001, 4000)] + [(int(x), int(x) + int(d)) for x, d in zip(rng.integers(5000, 6000, 900), rng.integers(1, 9, 900), strict=True)]
+    nodes, least = near.roots(np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
+    written = []
+    monkeypatch.setattr(near, "table", lambda df, name, keep=near.table: written.append(name) or keep(df, name))
+    dealt = spark.createDataFrame([edges[i] for i in rng.permutation(len(edges))] + [(1, 1)], "a long, b long").repartition(16)
+    got = {r.node: r.label for r in near.components(dealt).collect()}
+    assert got == dict(zip(nodes.tolist(), least.tolist(), strict=True))
+    assert {got[i] for i in range(100, 401)} == {100} and {got[i] for i in range(1000, 4000)} == {1000}
+    assert len(written) <= 10  # it was four a round when each star was a grouped minimum and a join of its own
+
+
+def test_the_bound_leaves_no_similar_set_out():
+    from quillon.llm import near
+
+    rng = np.random.default_rng(3)
+    some = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    for _ in range(60):
+        x = some(int(rng.integers(1, 300)))
+        others = [np.sort(np.r_[x[rng.random(len(x)) < rng.random() ** 0.2], some(int(rng.integers(0, 40)))]) for _ in range(20)]
+        may, are = near.may_be_similar(x, others, 80), np.array([near.similar(x, y, 80) for y in others])
+        assert not (are & ~may).any() and (may & ~are).sum() <= 3
+
+
+def test_short_hashes_tell_the_same_stretches_apart():
+    lines = ["the first line of some length", "abc", "", "the last line: \U0001f600 of some length"]
+    (x, own), (y, other) = shingles.char_shingles(lines, 5), shingles.char_shingles(lines, 5, short=True)
+    assert y.dtype == np.uint32 and own.tolist() == other.tolist() and len(set(x.tolist())) == len(set(y.tolist()))
