@@ -56,11 +56,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Small-star and large-star steps in turn until every node hangs on one that hangs on nothing. Before and after edges
     are dealt by their larger node, each task puts its own stretch of them together, so a node has one edge a task at
-    most, whatever its neighbours. Smaller nodes are found by a join, of which adaptive execution splits a hub's edges.
+    most, whatever its neighbours. Smaller nodes are found by a join of written rows as they are, one for each node, so
+    that adaptive execution splits a hub's edges.
     """
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The edges of a task as stars. ``open`` is kept, and set where a node has several smaller neighbours."""
+        """The edges of a task as stars. ``open`` is kept, and set where a node has several smaller neighbours. ``own`` tells
+        those of nodes that came as larger ones: once dealt, a node has one such edge. Others come of several neighbours only."""
         held = [b for b in batches if b.num_rows]
         if not held:
             return
@@ -72,17 +74,18 @@ def components(edges: DataFrame) -> DataFrame:
         leaf = node != root
         mark = np.zeros(int(leaf.sum()), bool)
         mark[0] = still.any() or several.any()
-        yield pa.RecordBatch.from_arrays([pa.array(node[leaf]), pa.array(root[leaf]), pa.array(mark)], ["hi", "lo", "open"])
+        own = np.isin(node[leaf], hi)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[leaf], root[leaf], mark, own)], ["hi", "lo", "open", "own"])
 
     def put_together(found: DataFrame) -> DataFrame:
-        kinds = "hi long, lo long, open boolean"
+        kinds = "hi long, lo long, open boolean, own boolean"
         return table(found.mapInArrow(stars, kinds).repartition("hi").mapInArrow(stars, kinds), "edges")
 
     now = put_together(edges.selectExpr("greatest(a, b) as hi", "least(a, b) as lo", "false as open").where("lo < hi"))
     while True:
         # Each edge goes on to what its smaller node hangs on: that keeps what is connected, by induction on the nodes.
-        low = now.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
-        moved = now.join(low.hint("merge"), F.col("lo") == F.col("u"), "left").select("hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("open"))
+        low = now.where("own").select(F.col("hi").alias("u"), F.col("lo").alias("m"))
+        moved = now.join(low.hint("merge"), F.col("lo") == F.col("u"), "left").select("hi", F.coalesce("m", "lo").alias("lo"), (F.col("m").isNotNull() | ~F.col("own")).alias("open"))
         then = put_together(moved)
         drop(now)
         now = then
