@@ -44,10 +44,14 @@ def coherence(df: DataFrame, group: str, vector: str) -> DataFrame:
 BLOCK, LARGEST_BLOCK = 4096, 16384
 
 
+def _block_rows(n: int) -> int:
+    """Rows of a block of a table for comparing all with all. Each vector goes to as many tasks as there are blocks, so they
+    grow with the table once it has 16, as far as a task can hold."""
+    return max(BLOCK, min(LARGEST_BLOCK, -(-n // 16)))
+
+
 def _n_blocks(n: int) -> int:
-    """Blocks of a table for comparing all with all. Each vector goes to as many tasks as there are blocks, so they grow
-    with the table once it has 16, as far as a task can hold."""
-    return max(1, -(-n // max(BLOCK, min(LARGEST_BLOCK, -(-n // 16)))))
+    return max(1, -(-n // _block_rows(n)))
 
 
 def _blocks(df: DataFrame, id_col: str, vector: str, n: int) -> DataFrame:
@@ -58,7 +62,8 @@ FOUND = "id long, neighbour long, distance double"
 
 
 def _best(k: int, include_self: bool, most_distance: float | None = None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The best k rows of each query of a cell (id, v, query: which of both it is), of those within a distance."""
+    """The best k rows of each query of a cell (id, v, query: which of both it is), of those within a distance, and within
+    the query's own one where there is a column ``tau``."""
 
     def best(cell: pd.DataFrame) -> pd.DataFrame:
         q, r = cell[cell["query"]].sort_values("id"), cell[~cell["query"]].sort_values("id")
@@ -66,6 +71,7 @@ def _best(k: int, include_self: bool, most_distance: float | None = None) -> Cal
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
         a, b = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(r["v"].to_numpy()).astype(np.float64)
         qi, ri = q["id"].to_numpy(), r["id"].to_numpy()
+        tau = q["tau"].to_numpy() * (1 + 1e-9) if "tau" in q else None
         sizes = (b * b).sum(1)
         longest, slack = sizes[np.isfinite(sizes)].max(initial=0.0), 8 * (b.shape[1] + 2) * np.finfo(np.float64).eps
         out, step = [], max(1, min(256, (256 * 4096) // len(b)))
@@ -84,6 +90,8 @@ def _best(k: int, include_self: bool, most_distance: float | None = None) -> Cal
                 order = np.lexsort((ri[own], exact))[:k]
                 if most_distance is not None:
                     order = order[exact[order] <= most_distance]
+                if tau is not None:
+                    order = order[exact[order] <= tau[at + i]]
                 out += [(qi[at + i], ri[own[o]], exact[o]) for o in order]
         return pd.DataFrame(out, columns=["id", "neighbour", "distance"])
 
@@ -163,12 +171,35 @@ def cell_index(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     return CellIndex(table.drop("r"), centres, *figures.T)
 
 
+def _pieces(centres: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first, parts: the rows of a cell lie in pieces first, first + 1, ... by parts. Cells near each other share a piece as
+    far as a block's rows allow, a larger cell has several of its own."""
+    most, chain, left = _block_rows(int(sizes.sum())), [0], np.ones(len(centres), bool)
+    left[0] = False
+    while left.any():
+        near = np.where(left, ((centres - centres[chain[-1]]) ** 2).sum(1), np.inf)
+        chain.append(int(near.argmin()) if np.isfinite(near).any() else int(left.argmax()))
+        left[chain[-1]] = False
+    first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes.astype(np.int64) // most))
+    piece, held = 0, 0
+    for c in chain:
+        if held and held + sizes[c] > most:
+            piece, held = piece + 1, 0
+        first[c], held = piece, held + sizes[c]
+        if parts[c] > 1:
+            piece, held = piece + parts[c], 0
+    return first, parts
+
+
 def knn_by_cells(queries: DataFrame, index: CellIndex, k: int, id_col: str = "vec_id", vector: str = "embedding", include_self: bool = False) -> tuple[DataFrame, float]:
     """What ``knn`` gives, and the share of all pairs of query and row that were compared.
 
     A query is first compared with the nearest cells that hold k rows, which bounds its k-th distance. By the triangle
     inequality a row of a cell is no nearer than the distance to the centre less the cell's greatest radius, or its least
     radius less that distance: only cells that can reach below the bound are compared too. The result is exact.
+
+    Cells are held in pieces of a block's rows, and a query goes once to each piece of which it asks a cell. So however many
+    cells it asks, no more is shuffled than by ``knn``, and beyond the bound nothing leaves a task.
     """
     centres, sizes, least, most = index.centres, index.sizes, index.least, index.most
     own = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
@@ -177,46 +208,50 @@ def knn_by_cells(queries: DataFrame, index: CellIndex, k: int, id_col: str = "ve
     if not n_queries or not n_rows:
         return own.sparkSession.createDataFrame([], FOUND + ", rank int"), 0.0
     wanted = k + (not include_self)
+    begin, parts = _pieces(centres, sizes)
+    listed = lambda x: F.get(F.array(*(F.lit(int(c)) for c in x)), F.col("cell"))
+    placed = written(index.rows.select("id", "v", (listed(begin) + F.pmod(F.xxhash64("id"), listed(parts))).cast("int").alias("piece")), "pieces")
+    held = {r.piece: r["count"] for r in placed.groupBy("piece").count().collect()}  # a row a piece
 
     def first(d: np.ndarray) -> np.ndarray:
         order = np.argsort(d, kind="stable")
         return order[: int(np.searchsorted(np.cumsum(sizes[order]), wanted)) + 1]
 
+    def among(cells: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([np.arange(begin[c], begin[c] + parts[c]) for c in cells])) if len(cells) else np.zeros(0, np.int64)
+
     def cells(second: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            # A query may ask all cells, so what a few ask leaves before the next ones are looked at.
-            for pdf in (whole.iloc[at : at + ASKED] for whole in parts for at in range(0, len(whole), ASKED)):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in (whole.iloc[at : at + ASKED] for whole in frames for at in range(0, len(whole), ASKED)):
                 d = _to_centres(_vectors(pdf), centres)
                 found = []
                 for i in range(len(pdf)):
-                    near = first(d[i])
+                    near = among(first(d[i]))
                     if second:
                         bound = np.maximum(d[i] - most, least - d[i])
                         tau = pdf["tau"].iloc[i]
-                        near = np.setdiff1d(np.flatnonzero((bound <= tau * (1 + 1e-9) + 1e-7) & (sizes > 0)), near)
-                    found.append(near)
-                at = np.repeat(np.arange(len(pdf)), [len(x) for x in found])
-                yield pdf[["id", "v"]].iloc[at].assign(cell=np.concatenate(found).astype(np.int32))
+                        near = np.setdiff1d(among(np.flatnonzero((bound <= tau * (1 + 1e-9) + 1e-7) & (sizes > 0))), near)
+                    found.append(near.astype(np.int32))
+                yield pdf[["id", "v"]].assign(tau=pdf["tau"] if second else np.inf, cells=found)
 
         return run
 
     def searched(asked: DataFrame) -> tuple[DataFrame, int]:
         asked = written(asked, "asked")
-        n = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row a cell
-        counts = lambda x: F.array(*(F.lit(max(1, -(-int(c) // BLOCK))) for c in x))
-        nq, nr = F.get(counts([n.get(c, 0) for c in range(len(sizes))]), F.col("cell")), F.get(counts(sizes), F.col("cell"))
-        block = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
-        key = lambda a, b: F.concat_ws("-", F.col("cell"), a, b).alias("cell")
-        every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
-        left = asked.select("id", "v", "cell", block(nq).alias("own"), every(nr)).select("id", "v", F.lit(True).alias("query"), key(F.col("own"), F.col("other")))
-        right = index.rows.where(F.col("cell").isin(list(n))).select("id", "v", "cell", block(nr).alias("own"), every(nq)).select("id", "v", F.lit(False).alias("query"), key(F.col("other"), F.col("own")))
-        return written(left.unionByName(right).groupBy("cell").applyInPandas(_best(k, include_self), FOUND), "found"), sum(int(sizes[c]) * m for c, m in n.items())
+        n = {r.piece: r["count"] for r in asked.select(F.explode("cells").alias("piece")).groupBy("piece").count().collect()}  # a row a piece
+        most_queries = _block_rows(n_queries)
+        deals = F.get(F.array(*(F.lit(max(1, -(-n.get(c, 0) // most_queries))) for c in range(max(held) + 1))), F.col("piece"))
+        key = lambda deal: F.concat_ws("-", "piece", deal).alias("cell")
+        left = asked.select("id", "v", "tau", F.explode("cells").alias("piece")).select("id", "v", "tau", F.lit(True).alias("query"), key(F.pmod(F.xxhash64("id"), deals)))
+        right = placed.where(F.col("piece").isin(list(n))).select("id", "v", "piece", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal")).select("id", "v", F.lit(0.0).alias("tau"), F.lit(False).alias("query"), key(F.col("deal")))
+        return written(left.unionByName(right).groupBy("cell").applyInPandas(_best(k, include_self), FOUND), "found"), sum(held.get(c, 0) * m for c, m in n.items())
 
     ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
-    near, n_near = searched(own.mapInPandas(cells(False), f"id long, v {kind}, cell int"))
+    asks = f"id long, v {kind}, tau double, cells array<int>"
+    near, n_near = searched(own.mapInPandas(cells(False), asks))
     bound = ranked(near).groupBy("id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("tau"))
     bounded = own.join(bound, "id", "left").select("id", "v", F.coalesce("tau", F.lit(float("inf"))).alias("tau"))
-    far, n_far = searched(bounded.mapInPandas(cells(True), f"id long, v {kind}, cell int"))
+    far, n_far = searched(bounded.mapInPandas(cells(True), asks))
     return ranked(near.unionByName(far)), (n_near + n_far) / (n_queries * n_rows)
 
 
